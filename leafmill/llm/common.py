@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(batch[text].cast(pa.binary())).to_pylist()], np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch[text].cast(pa.binary())).to_pylist()], np.int64)
         start = 0
         total = 0
         for i, n in enumerate(sizes):

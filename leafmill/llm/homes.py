@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -58,7 +59,7 @@ def settle(docs: DataFrame, folder: str, send: Callable[[int, pa.Table], Iterato
             yield from send(number, rows)
 
         for batch in batches:
-            lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(batch["text"].cast(pa.binary())), 0), np.int64)
+            lengths = np.array(pc.fill_null(pc.binary_length(batch["text"].cast(pa.binary())), 0), np.int64)
             start = 0
             for i, n in enumerate(lengths):
                 if size and size + n > most:
@@ -76,7 +77,7 @@ def settle(docs: DataFrame, folder: str, send: Callable[[int, pa.Table], Iterato
 
 def text_slices(rows: pa.Table, most: int = 1 << 20) -> Iterator[pa.Table]:
     """Pieces of a home, cut between documents."""
-    lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(rows["text"].cast(pa.binary())), 0), np.int64)
+    lengths = np.array(pc.fill_null(pc.binary_length(rows["text"].cast(pa.binary())), 0), np.int64)
     start = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > most:

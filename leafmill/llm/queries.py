@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm.id_files import op3_token_ids
+from leafmill.llm.packing import op10_packing
+from leafmill.llm.simhash import op2_simhash
 from leafmill.llm.substring_dedup import op4_substring_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_substring_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_token_ids, op4_substring_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

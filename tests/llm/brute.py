@@ -18,3 +18,32 @@ def removed(docs, n=13):
         kept = b" ".join(w for w, g in zip(ws, gone) if not g)
         out[d] = (len(ws), sum(gone), hashlib.sha256(kept).hexdigest())
     return out
+
+
+def simhash(docs, distance=2):
+    """{doc_id: (fingerprint, component_id)}."""
+    import xxhash
+
+    prints = {}
+    for d, t in docs.items():
+        ws = (t or "").encode().lower().split()
+        shingles = [b" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [b" ".join(ws)] if ws else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {f: f for f in prints.values()}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    all_prints = list(root)
+    for i, a in enumerate(all_prints):
+        for b in all_prints[:i]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(a)] = find(b)
+    least = {}
+    for d, f in prints.items():
+        r = find(f)
+        least[r] = min(least.get(r, d), d)
+    return {d: (f"{f:016x}", least[find(f)]) for d, f in prints.items()}
