@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm.chat import op9_chat_format
+from leafmill.llm.decontamination import op7_decontamination
 from leafmill.llm.id_files import op3_token_ids
 from leafmill.llm.packing import op10_packing
+from leafmill.llm.quality_rules import op5_quality_rules
 from leafmill.llm.simhash import op2_simhash
 from leafmill.llm.substring_dedup import op4_substring_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_token_ids, op4_substring_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_token_ids, op4_substring_dedup, op5_quality_rules, op7_decontamination, op9_chat_format, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

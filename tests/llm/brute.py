@@ -47,3 +47,55 @@ def simhash(docs, distance=2):
         r = find(f)
         least[r] = min(least.get(r, d), d)
     return {d: (f"{f:016x}", least[find(f)]) for d, f in prints.items()}
+
+
+def rules(docs):
+    """{doc_id: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)}."""
+    import re
+    from collections import Counter
+
+    out = {}
+    for d, t in docs.items():
+        t = t or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+        inside = set()
+        for i in range(len(ws) - 2):
+            if grams[tuple(ws[i : i + 3])] > 1:
+                inside |= {i, i + 1, i + 2}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        out[d] = (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(inside), len(ws) < 50 or 100 * len(inside) > 50 * len(ws))
+    return out
+
+
+def hits(docs, items, n=13):
+    """{doc_id: (n_words, n_hit, n_items, items_sha256, contaminated)}; items: (item_id, text)."""
+    import re
+
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+
+    tests = {}
+    for i, t in items:
+        ws = words(t)
+        m = min(n, len(ws))
+        for a in range(len(ws) - m + 1 if m else 0):
+            tests.setdefault(tuple(ws[a : a + m]), set()).add(str(i))
+    lengths = {len(k) for k in tests}
+    out = {}
+    for d, t in docs.items():
+        ws = words(t)
+        hit, found = set(), set()
+        for m in lengths:
+            for a in range(len(ws) - m + 1):
+                if (w := tuple(ws[a : a + m])) in tests:
+                    hit |= set(range(a, a + m))
+                    found |= tests[w]
+        out[d] = (len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws))
+    return out
