@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.llm.chat import op9_chat_format
 from leafmill.llm.decontamination import op7_decontamination
 from leafmill.llm.id_files import op3_token_ids
+from leafmill.llm.lm_scoring import op8_lm_scores
 from leafmill.llm.packing import op10_packing
 from leafmill.llm.quality_classifier import op6_quality_classifier
 from leafmill.llm.quality_rules import op5_quality_rules
@@ -16,5 +17,5 @@ from leafmill.llm.simhash import op2_simhash
 from leafmill.llm.substring_dedup import op4_substring_dedup
 from leafmill.llm.toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_ids, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_decontamination, op9_chat_format, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_ids, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_lm_scores, op9_chat_format, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

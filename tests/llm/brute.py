@@ -99,3 +99,16 @@ def hits(docs, items, n=13):
                     found |= tests[w]
         out[d] = (len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws))
     return out
+
+
+def base_scores(docs):
+    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)}."""
+    import math
+    import zlib
+    from collections import Counter
+
+    tokens = {d: [*(t or "").encode().lower().split(), None] for d, t in docs.items()}
+    apart = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
+    c = Counter(w for d, ws in tokens.items() if not apart[d] for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {d: (apart[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in tokens.items()}
