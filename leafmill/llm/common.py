@@ -115,6 +115,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(33))
 
 
+_hashers: dict[int, SpanHash] = {}
+
+
 class SpanHash:
     """64-bit hashes of byte spans from prefix sums of table[byte] * base^i, modulo 2^64, whatever the span's place."""
 
@@ -125,6 +128,13 @@ class SpanHash:
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, U64)
 
+    @classmethod
+    def of(cls, seed: int) -> SpanHash:
+        """One for each worker process, which keeps its powers."""
+        if seed not in _hashers:
+            _hashers[seed] = cls(seed)
+        return _hashers[seed]
+
     def _grown(self, have: np.ndarray, factor: int, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             while len(have) <= n:
@@ -144,20 +154,8 @@ class SpanHash:
             return mix((prefix[end] - prefix[start]) * self.down[start] + U64(0x9E3779B97F4A7C15) * (end - start).astype(U64))
 
 
-def pmod_seed(seed: int, *parts: object) -> int:
-    return zlib.crc32(repr((seed, *parts)).encode())
-
-
 def runs(key: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the length at the end."""
     if not len(key):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).astype(np.int64)
-
-
-def unused(taken: Iterable[str], name: str) -> str:
-    """A column name that isn't taken, upper or lower case alike."""
-    have = {x.lower() for x in taken}
-    while name.lower() in have:
-        name = f"_{name}"
-    return name

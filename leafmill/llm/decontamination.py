@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,12 +148,30 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession,
     string, and rows that repeat an item_id are one item. Rows of docs are judged alone, so repeated ones are returned
     as often as they come. Empty tables give no rows, an empty benchmark no hits. Other columns are not read.
     """
+
+    def answer(part: pa.RecordBatch, flat: Flat, n_hit: np.ndarray, dirty: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+        found = [sorted(items.get(i, ())) for i in range(part.num_rows)]
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+        columns = [part["doc_id"], pa.array(flat.counts), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array(dirty)]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _searched(texts, benchmark, spark, window, hit_share, answer, OUT)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = WINDOW, hit_share: int = 20) -> DataFrame:
+    """The rows of docs that aren't contaminated, as they are."""
+    return _searched(docs, benchmark, spark, window, hit_share, lambda part, flat, n_hit, dirty, items: part.filter(pa.array(~dirty)), docs.schema)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int, hit_share: int, answer: Callable, schema: object) -> DataFrame:
+    """What answer(rows, words, hit words, contaminated, items) gives for the rows of docs, a piece at a time."""
     folder = shared_folder(spark, "tests")
     names = string_files(benchmark, spark, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
-        hasher = SpanHash(7)
+        hasher = SpanHash.of(7)
         held: dict[str, SearchStrings] = {}
 
         def tests(name: str) -> SearchStrings:
@@ -167,26 +185,20 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession,
             parts = list(slices([batch]))
             edges: list[np.ndarray] = []
             items: list[dict[int, set[str]]] = []
-            for name in names or [None]:
+            for turn, name in enumerate(names or [""]):
                 for i, part in enumerate(parts):
                     flat = Flat([x.translate(WORD_BYTES) for x in byte_texts(part["text"])])
-                    if len(edges) == i:
+                    if not turn:
                         edges.append(np.zeros(len(flat.start) + 1, np.int64))
                         items.append(defaultdict(set))
                     if name and len(flat.start):
                         tests(name).search(flat, hasher.prefix(flat.data), hasher, edges[i], items[i])
-                    if name in (None, names[-1] if names else None):
-                        yield from answer(part, flat, edges[i], items[i])
-
-    def answer(part: pa.RecordBatch, flat: Flat, edge: np.ndarray, items: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        n_hit = hit[flat.first[1:]] - hit[flat.first[:-1]]
-        found = [sorted(items.get(i, ())) for i in range(part.num_rows)]
-        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-        columns = [part["doc_id"], pa.array(flat.counts), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array((n_hit > 0) & (hit_share * n_hit >= flat.counts))]
-        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
+                    if turn == max(len(names), 1) - 1:
+                        hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[i][:-1]) > 0)])
+                        n_hit = hit[flat.first[1:]] - hit[flat.first[:-1]]
+                        yield answer(part, flat, n_hit, (n_hit > 0) & (hit_share * n_hit >= flat.counts), items[i])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, OUT)
+    return docs.mapInArrow(task, schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

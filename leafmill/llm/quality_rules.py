@@ -96,6 +96,29 @@ def _repeated(flat: Flat, hasher: SpanHash, width: int = 3) -> np.ndarray:
     return covered[flat.first[1:]] - covered[flat.first[:-1]]
 
 
+def judge(texts: list[bytes], min_words: int, max_repeat_percent: float, max_lost_percent: float) -> dict[str, object]:
+    """The columns of quality_rules for some texts."""
+    flat = Flat(texts)
+    chars = np.concatenate([[0], np.cumsum(((flat.data & 0xC0) != 0x80) & (flat.data != 32))])
+    symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[flat.data])])
+    edge = np.concatenate([flat.start, [len(flat.data)]])[np.minimum(flat.first, len(flat.start))]
+    words, repeats = flat.counts, _repeated(flat, SpanHash.of(5))
+    failed = (words < min_words) | (100 * repeats > max_repeat_percent * words)
+    lines = [_lines(x) for x in texts]
+    lost = np.array([x[1] for x in lines], np.int64)
+    return {
+        "n_words": words,
+        "word_chars": np.diff(chars[edge]),
+        "n_symbols": np.diff(symbols[edge]),
+        "n_dup_lines": np.array([x[0] for x in lines], np.int64),
+        "n_repeat_words": repeats,
+        "base_failed": failed,
+        "kept": ~failed & (100 * lost <= max_lost_percent * words),
+        "n_lost": lost,
+        "clean_text": pa.array([x[2].decode() for x in lines], pa.string()),
+    }
+
+
 def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: float = MAX_REPEAT_PERCENT, max_lost_percent: float = MAX_LOST_PERCENT) -> DataFrame:
     """Counts, verdict and cleaned text of each row of docs.
 
@@ -105,24 +128,24 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percen
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash(5)
         for batch in slices(batches):
-            texts = byte_texts(batch["text"])
-            flat = Flat(texts)
-            chars = np.concatenate([[0], np.cumsum(((flat.data & 0xC0) != 0x80) & (flat.data != 32))])
-            symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[flat.data])])
-            bounds = np.concatenate([flat.start, [len(flat.data)]])
-            edge = bounds[np.minimum(flat.first, len(flat.start))]
-            words, repeats = flat.counts, _repeated(flat, hasher)
-            failed = (words < min_words) | (100 * repeats > max_repeat_percent * words)
-            lines = [_lines(x) for x in texts]
-            lost = np.array([x[1] for x in lines], np.int64)
-            kept = ~failed & (100 * lost <= max_lost_percent * words)
-            columns = [batch["doc_id"], words, np.diff(chars[edge]), np.diff(symbols[edge]), np.array([x[0] for x in lines], np.int64), repeats, failed, kept, lost, pa.array([x[2].decode() for x in lines], pa.string())]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in OUT.split(", ")])
+            found = judge(byte_texts(batch["text"]), min_words, max_repeat_percent, max_lost_percent)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], **found})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, OUT)
 
 
+def keep_clean(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: float = MAX_REPEAT_PERCENT, max_lost_percent: float = MAX_LOST_PERCENT) -> DataFrame:
+    """The rows of docs that quality_rules keeps, all columns as they are but for `text`, which is the cleaned one."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = judge(byte_texts(batch["text"]), min_words, max_repeat_percent, max_lost_percent)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", found["clean_text"]).filter(pa.array(found["kept"]))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("clean_text")

@@ -96,5 +96,16 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, shingle: int = SHINGLE
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, spark: SparkSession, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs without the near duplicates of a row with a smaller doc_id, all columns as they are.
+
+    Of rows with one doc_id the least by all columns stays. Rows without a doc_id can't be told apart and stay.
+    """
+    first = near_duplicates(docs, spark, shingle).filter("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(first, "doc_id", "left_semi")
+    least = rows.groupBy(F.col("doc_id").alias("_of")).agg(F.min(F.struct(*(F.col(x) for x in docs.columns))).alias("_row"))
+    return least.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark)

@@ -78,21 +78,24 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, folder: str | None = None) -> DataFrame:
+def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (start and end word of each maximal repeat that goes), text (what is left).
 
     Words are runs without space, tab, line feed, vertical tab, form feed and carriage return, taken as they are.
     Where nothing is removed, `text` is the text as it was; else removed words go with the white space before them.
     Null texts have no words; texts shorter than min_words keep all. Rows that repeat a doc_id count as one document:
     a repeat within it doesn't remove. A null doc_id is below all others. Empty tables give no rows. Columns of docs
-    besides doc_id and text are not read.
+    named in carry are returned in the struct `rest`, whatever their names; others are not read.
     """
     if not 0 < gram_words <= min_words:
         raise ValueError("gram_words must be between 1 and min_words")
-    folder = folder or shared_folder(spark, "substring")
+    folder = shared_folder(spark, "substring")
+    rest = F.struct(*(F.col(x) for x in carry)) if carry else F.lit(None).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    fields = f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string, rest {texts.schema['rest'].dataType.simpleString()}"
 
     def hashers() -> tuple[SpanHash, SpanHash]:
-        return SpanHash(11), SpanHash(23)
+        return SpanHash.of(11), SpanHash.of(23)
 
     def seeds(home: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         one, two = hashers()
@@ -174,7 +177,7 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
         order = np.lexsort((key2, key))
         key, key2, least = key[order], key2[order], least[order]
         one, two = hashers()
-        out = []
+        out, rests = [], []
         for piece in text_slices(read_home(folder, home)):
             w = _Windows(piece, min_words, gram_words, one, two)
             flat, n = w.flat, len(w.flat.start)
@@ -211,13 +214,15 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
                     words = b" ".join([x for x, g in zip(kept, mask, strict=True) if not g])
                     text = _without(texts[i], kept, mask)
                 out.append((doc_id, b - a, removed, hashlib.sha256(words).hexdigest(), spans, text.decode()))
-        return pa.Table.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*out, strict=True), result, strict=True)], schema=result) if out else result.empty_table()
+            rests.append(piece["rest"])
+        made = pa.Table.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*out, strict=True), result, strict=True)], schema=result)
+        return made.append_column("rest", pa.chunked_array([c for r in rests for c in r.chunks], rests[0].type))
 
-    sent = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), folder, seeds, KEYS)
+    sent = settle(texts, folder, seeds, KEYS)
     asked = sent.repartition("key").sortWithinPartitions("key").mapInArrow(shared, KEYS)
     steps = asked.groupBy("home").applyInArrow(extend, KEYS)
     found = steps.repartition("key").sortWithinPartitions("key", "key2").mapInArrow(earliest, KEYS)
-    return found.groupBy("home").applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string")
+    return found.groupBy("home").applyInArrow(cut, fields)
 
 
 def _without(text: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
