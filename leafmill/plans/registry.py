@@ -5,19 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "lines_by_source"
+from leafmill.plans import layout_queries, text_queries
 
+FLAGSHIP = "page_quality_score"
+_MODULES = (text_queries, layout_queries)
 
-def lines_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each source's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")
-    return docs.groupBy("source").agg(F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"lines_by_source": lines_by_source}
-
-ORACLE_SQL: dict[str, str] = {
-    "lines_by_source": "SELECT source, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents GROUP BY source",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
