@@ -7,12 +7,15 @@ first and join the few values back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 
-PAGE = Window.partitionBy("book", "page").orderBy("seq")
+
+def page_order() -> WindowSpec:
+    """Blocks of a page in order; a window needs a session, so it is made where it is used."""
+    return Window.partitionBy("book", "page").orderBy("seq")
 
 
 def weighted_mode(blocks: DataFrame, value: Column, name: str) -> DataFrame:
@@ -43,7 +46,7 @@ def heading_tiers(blocks: DataFrame, most: int = 3, gap: float = 1.5) -> DataFra
 def heading_candidates(blocks: DataFrame, page_height: float, tolerance: float = 1.0) -> DataFrame:
     """Blocks of a tier's size that two signs of four confirm: high on the page, first on it, short, bold or capitals."""
     tiers = heading_tiers(blocks)
-    near = blocks.withColumn("first", F.row_number().over(PAGE) == 1).join(tiers, "book").filter(F.abs(F.col("size") - F.col("tier")) <= tolerance)
+    near = blocks.withColumn("first", F.row_number().over(page_order()) == 1).join(tiers, "book").filter(F.abs(F.col("size") - F.col("tier")) <= tolerance)
     level = near.groupBy("book", "page", "seq").agg(F.min("level").alias("level"), F.first("first").alias("first"), F.first("text").alias("text"), F.first("y0").alias("y0"), F.first("bold").alias("bold"))
     t = F.col("text")
     capitals = t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
@@ -81,7 +84,7 @@ def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> D
     return both.withColumn("_value", F.last("_value", True).over(order)).filter("_kind = 1").select("_row.*", F.col("_value").alias(value))
 
 
-def islands(rows: DataFrame, kind: Column, by: Window, name: str = "run") -> DataFrame:
+def islands(rows: DataFrame, kind: Column, by: WindowSpec, name: str = "run") -> DataFrame:
     """rows with the number of the run of equal kinds that each is in."""
     before = F.lag(kind).over(by)
     new = (before.isNull() | (before != kind)).cast("int")
@@ -90,11 +93,11 @@ def islands(rows: DataFrame, kind: Column, by: Window, name: str = "run") -> Dat
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
     """book, page, paragraph, text, n_lines, x0: blocks of one style merged until a gap or an indent; page by page."""
-    prev = {c: F.lag(c).over(PAGE) for c in ("font", "size", "bold", "italic", "y1", "x0")}
+    prev = {c: F.lag(c).over(page_order()) for c in ("font", "size", "bold", "italic", "y1", "x0")}
     style = (prev["font"] == F.col("font")) & (F.abs(prev["size"] - F.col("size")) < 0.5) & (prev["bold"] == F.col("bold")) & (prev["italic"] == F.col("italic"))
     gap = (F.col("y0") - prev["y1"] > F.col("size") * 1.3 * 1.5) | (F.col("x0") - prev["x0"] > 0.8 * F.col("size"))
     new = (prev["font"].isNull() | ~style | gap).cast("int")
-    numbered = blocks.withColumn("_new", new).withColumn("paragraph", F.sum("_new").over(PAGE.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = blocks.withColumn("_new", new).withColumn("paragraph", F.sum("_new").over(page_order().rowsBetween(Window.unboundedPreceding, 0)))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return numbered.groupBy("book", "page", "paragraph").agg(T.joined(lines).alias("text"), F.count("*").alias("n_lines"), F.min_by("x0", "seq").alias("x0"))
 
@@ -147,18 +150,18 @@ def drop_caps(blocks: DataFrame) -> DataFrame:
     """Pages' blocks with a large initial fused with the block after it, which begins in lower case."""
     sizes = body_size(blocks)
     rows = blocks.join(sizes, "book")
-    is_cap = (F.length("text") == 1) & (F.col("size") >= 2 * F.col("body_size")) & F.lead("text").over(PAGE).rlike(r"^\p{Ll}")
-    rows = rows.withColumn("cap", is_cap).withColumn("after", F.coalesce(F.lag("cap").over(PAGE), F.lit(False)))
-    fused = rows.withColumn("text", F.when(F.col("cap"), F.concat("text", F.lead("text").over(PAGE))).otherwise(F.col("text")))
+    is_cap = (F.length("text") == 1) & (F.col("size") >= 2 * F.col("body_size")) & F.lead("text").over(page_order()).rlike(r"^\p{Ll}")
+    rows = rows.withColumn("cap", is_cap).withColumn("after", F.coalesce(F.lag("cap").over(page_order()), F.lit(False)))
+    fused = rows.withColumn("text", F.when(F.col("cap"), F.concat("text", F.lead("text").over(page_order()))).otherwise(F.col("text")))
     return fused.filter("NOT after").select("book", "page", "seq", "text", F.coalesce("cap", F.lit(False)).alias("fused"))
 
 
 def stanzas(lines: DataFrame, page_width: float) -> DataFrame:
     """book, page, stanza, n_lines, is_verse: lines split at gaps over 1.4 line heights, and the tests of a stanza."""
     size = F.col("size")
-    gap = F.col("y0") - F.lag("y1").over(PAGE)
-    new = (F.lag("size").over(PAGE).isNull() | (F.abs(F.lag("size").over(PAGE) - size) >= 0.5) | (gap > 1.4 * 1.3 * size)).cast("int")
-    grouped = lines.withColumn("_new", new).withColumn("stanza", F.sum("_new").over(PAGE.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = F.col("y0") - F.lag("y1").over(page_order())
+    new = (F.lag("size").over(page_order()).isNull() | (F.abs(F.lag("size").over(page_order()) - size) >= 0.5) | (gap > 1.4 * 1.3 * size)).cast("int")
+    grouped = lines.withColumn("_new", new).withColumn("stanza", F.sum("_new").over(page_order().rowsBetween(Window.unboundedPreceding, 0)))
     t = T.stripped(F.col("text"))
     quote = t.rlike("^[\"'“”‘’«»]|[\"'“”‘’«»]$") & t.rlike(r"(?i)\b(said|asked|replied|whispered|shouted|exclaimed|answered|cried|muttered|yelled)\b")
     share = lambda c: F.avg(c.cast("double"))

@@ -136,7 +136,7 @@ def block_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in a font of one width, in runs."""
     rows = blocks(spark, sf_dir).withColumn("code", T.is_monospace(F.col("font")))
-    runs = layout.islands(rows, F.col("code"), layout.PAGE).filter("code")
+    runs = layout.islands(rows, F.col("code"), layout.page_order()).filter("code")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return runs.groupBy("book", "page", "run").agg(F.count("*").alias("n_lines"), F.array_join(lines, "\n").alias("code"))
 
@@ -160,7 +160,7 @@ def verse_stanza(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def epigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Italic lines at the head of a page, of 40 words in all at most."""
-    upto = layout.PAGE.rowsBetween(Window.unboundedPreceding, 0)
+    upto = layout.page_order().rowsBetween(Window.unboundedPreceding, 0)
     rows = blocks(spark, sf_dir).withColumn("total", F.sum(T.n_words(F.col("text"))).over(upto)).withColumn("lead_in", F.min("italic").over(upto)).filter("lead_in AND total <= 40")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return rows.groupBy("book", "page").agg(F.count("*").alias("n_lines"), F.array_join(lines, " ").alias("text"))

@@ -152,7 +152,7 @@ def list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planted(spark, sf_dir)
     marks = T.list_marker(F.col("text"))
     rows = rows.withColumn("item", marks["item"].isNotNull()).withColumn("ordered", F.coalesce(marks["ordered"], F.lit(False)))
-    runs = layout.islands(rows, F.col("item"), layout.PAGE)
+    runs = layout.islands(rows, F.col("item"), layout.page_order())
     return runs.groupBy("book", "page", "run", "item").agg(F.count("*").alias("n"), F.sum(F.col("ordered").cast("int")).alias("ordered"))
 
 
@@ -251,7 +251,7 @@ _TH = r"(?i)^(Theorem|Lemma|Corollary|Proposition|Definition|Axiom|Example|Remar
 def theorem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Environments that a theorem's label opens, up to the next one."""
     opens = F.col("text").rlike(_TH)
-    env = F.sum(opens.cast("int")).over(layout.PAGE.rowsBetween(Window.unboundedPreceding, 0))
+    env = F.sum(opens.cast("int")).over(layout.page_order().rowsBetween(Window.unboundedPreceding, 0))
     rows = planted(spark, sf_dir).withColumn("opens", opens).withColumn("env", env).filter("env > 0")
     of = lambda i: F.max(F.when(F.col("opens"), F.regexp_extract("text", _TH, i)))
     return rows.groupBy("book", "page", "env").agg(of(1).alias("label"), of(2).alias("number"), F.count("*").alias("n_lines"))
