@@ -95,3 +95,24 @@ def test_watch(spark, tmp_path):
     seen = []
     watch(spark, str(tmp_path / "in"), lambda df, n: seen.extend(r.length for r in df.select("length").collect()), str(tmp_path / "cp"), once=True).awaitTermination()
     assert seen == [1]
+
+
+def _docx():
+    out = io.BytesIO()
+    w = 'xmlns:w="w"'
+    p = lambda style, text, extra="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r>{extra}<w:t>{text}</w:t></w:r></w:p>'
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('Heading1', 'Preface')}{p('Normal', 'Hello.')}{p('Heading1', 'One')}{p('Normal', 'Text', '<w:b/>')}{p('Heading1', 'Preface')}{p('Normal', 'late')}</w:body></w:document>")
+    return out.getvalue()
+
+
+def test_convert(spark, tmp_path):
+    from leafmill.plans.convert import convert_books
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.epub").write_bytes(_epub())
+    (tmp_path / "in" / "d.docx").write_bytes(_docx())
+    files = {(r.path.rsplit("/", 1)[-1], r.file) for r in convert_books(spark, str(tmp_path / "in"), f"file://{tmp_path}/out").collect()}
+    assert files == {("b.epub", "01 - Untitled 1.md"), ("b.epub", "Index.md"), ("d.docx", "00 - Preface.md"), ("d.docx", "01 - One.md"), ("d.docx", "02 - Preface.md"), ("d.docx", "Index.md")}
+    assert (tmp_path / "out" / "d" / "01 - One.md").read_text().endswith("# One\n\n**Text**")
+    assert (tmp_path / "out" / "d" / "Index.md").read_text() == "# d\n\n- [[00 - Preface]]\n- [[01 - One]]\n- [[02 - Preface]]"
