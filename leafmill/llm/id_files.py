@@ -1,7 +1,8 @@
 """Token-id files of patched frame-of-reference blocks.
 
 A file holds the ids of some documents in a row, in blocks of BLOCK ids (the last may be shorter). Of each block the
-minimum is subtracted; the width in bits is that which a share of PERCENT of the differences fit; the low bits of all
+minimum is subtracted; the width in bits is that which a share of PERCENT of the differences fit, rounded up to half
+bytes; the low bits of all
 are packed at this width, least significant bit first, and the differences that need more are kept whole in a list of
 exceptions. The index has where each block starts, so that any range of ids is read without the blocks before it.
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import open_folder, put_file, shared_folder, slices
+from leafmill.llm.common import byte_texts, open_folder, put_file, shared_folder, slices
 from leafmill.llm.tables import saved
 from leafmill.llm.tokens import WordTokenizer
 
@@ -42,38 +43,52 @@ _FOOT = struct.Struct("<QQQQQI4s")
 
 def _packed(rows: np.ndarray, width: int) -> np.ndarray:
     """The low bits of each row's values, (rows, BLOCK * width / 8) bytes."""
-    bits = ((rows[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+    raw = rows.astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)
+    if width % 8 == 0:
+        return np.ascontiguousarray(raw[:, :, : width // 8]).reshape(len(rows), -1)
+    bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width]
     return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
 
 
 def _unpacked(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
-    out = np.zeros((len(packed), BLOCK), np.uint32)
-    for i in range(width):
-        out |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
-    return out
+    raw = np.zeros((len(packed), BLOCK, 4), np.uint8)
+    if width % 8 == 0:
+        raw[:, :, : width // 8] = packed.reshape(len(packed), BLOCK, width // 8)
+    else:
+        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
+        raw[:, :, : (width + 7) // 8] = np.packbits(bits, axis=2, bitorder="little")
+    return raw.view("<u4")[:, :, 0]
 
 
 def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, percent: float = PERCENT) -> bytes:
     """One file of the ids of documents with these ids and numbers of token ids."""
     n_blocks = -(-len(ids) // BLOCK)
     blocks: list[bytes] = []
-    for at in range(0, n_blocks, 512):
-        part = ids[at * BLOCK : (at + 512) * BLOCK]
+    for at in range(0, n_blocks, 1024):
+        part = ids[at * BLOCK : (at + 1024) * BLOCK]
         n = -(-len(part) // BLOCK)
-        full = np.concatenate([part, np.full(n * BLOCK - len(part), part[-1] if len(part) else 0, np.uint32)]).reshape(n, BLOCK)
+        full = np.concatenate([part, np.full(n * BLOCK - len(part), part[-1], np.uint32)]).reshape(n, BLOCK)
         low = full.min(axis=1)
         diff = full - low[:, None]
-        bits = np.frexp(diff.astype(np.float64))[1].astype(np.int64)  # bit length; 0 of 0
-        widths = np.sort(bits, axis=1)[:, min(BLOCK - 1, int(np.ceil(BLOCK * percent / 100)) - 1)]
-        body: dict[int, bytes] = {}
-        for width in np.unique(widths):
+        fits = int(np.ceil(BLOCK * percent / 100))
+        widths = np.full(n, 32)
+        for width in range(28, -1, -4):  # the least that enough differences fit
+            enough = (diff < np.uint32(1 << width)).sum(axis=1) >= fits
+            if not enough.any():
+                break
+            widths[enough] = width
+        body: list[bytes] = [b""] * n
+        for width in np.unique(widths[widths > 0]):
             here = np.flatnonzero(widths == width)
-            for i, row in zip(here, _packed(diff[here], int(width)) if width else np.zeros((len(here), 0), np.uint8), strict=True):
-                body[int(i)] = row.tobytes()
-        for i in range(n):
-            odd = np.flatnonzero(bits[i] > widths[i])
-            blocks.append(_HEAD.pack(int(low[i]), int(widths[i]), len(odd)) + body[i] + odd.astype(np.uint8).tobytes() + diff[i][odd].astype("<u4").tobytes())
+            size, data = BLOCK * int(width) // 8, _packed(diff[here], int(width)).tobytes()
+            for k, i in enumerate(here.tolist()):
+                body[i] = data[k * size : (k + 1) * size]
+        row, place = np.nonzero(diff > np.array((1 << widths) - 1, np.uint32)[:, None])
+        edge = np.searchsorted(row, np.arange(n + 1)).tolist()
+        places, values = place.astype(np.uint8).tobytes(), diff[row, place].astype("<u4").tobytes()
+        for i, (least, width) in enumerate(zip(low.tolist(), widths.tolist(), strict=True)):
+            a, b = edge[i], edge[i + 1]
+            blocks.append(_HEAD.pack(least, width, b - a) + body[i] + places[a:b] + values[4 * a : 4 * b])
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8") + 5
     data = b"".join(blocks)
     documents = doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes()
@@ -146,8 +161,8 @@ def write_id_files(docs: DataFrame, spark: SparkSession, folder: str, tokenizer:
             names, have, size, seq = [], [], 0, seq + 1
             return row
 
-        for batch in slices(batches, most=1 << 20):
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(["" if x is None else x for x in batch["text"].to_pylist()]), strict=True):
+        for batch in slices(batches, most=4 << 20):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(byte_texts(batch["text"])), strict=True):
                 names.append(NO_ID if doc_id is None else doc_id)
                 have.append(ids + end)
                 size += len(ids) // 4 + 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import shared_folder, slices
+from leafmill.llm.common import byte_texts, shared_folder, slices
 from leafmill.llm.tables import saved
 from leafmill.llm.tokens import WordTokenizer
 
@@ -35,9 +35,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = WordTokenizer.of(tokenizer, drops_space=True), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=4 << 20):
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(["" if x is None else x for x in batch["text"].to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(byte_texts(batch["text"])), strict=True):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -90,14 +90,21 @@ def fitted(counts: dict[int, int], patterns: list[tuple[int, ...]], sweeps: int
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(repeats, [(length, how many in a sequence)]) of all sequences that hold the lengths counted."""
+    """(repeats, [(length, how many in a sequence)]) of all sequences that hold the lengths counted.
+
+    With patterns, or best-fit decreasing alone where that takes fewer (few documents leave little to fit)."""
+    made = [_plan(counts, capacity, patterns) for patterns in (True, False)]
+    return min(made, key=lambda p: sum(n for n, _ in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, with_patterns: bool) -> list[tuple[int, list[tuple[int, int]]]]:
     left = {k: v for k, v in counts.items() if v > 0}
     if any(not 0 < k <= capacity for k in left):
         raise ValueError("a length is over the capacity")
     out: list[tuple[int, list[tuple[int, int]]]] = []
     if capacity in left:
         out.append((left.pop(capacity), [(capacity, 1)]))
-    patterns = patterns_of(left, capacity)
+    patterns = patterns_of(left, capacity) if with_patterns else []
     for p, x in sorted(zip(patterns, fitted(left, patterns), strict=True), key=lambda t: -t[1]):
         rows = [(k, p.count(k)) for k in dict.fromkeys(p)]
         n = min([int(x), *(left[k] // m for k, m in rows)])
