@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import assembly as A
 from leafmill.operators import layout
+from leafmill.operators import sequential as S
 from leafmill.plans.layout_queries import _HEADING_SQL
 from leafmill.plans.tables import BLOCKS_SQL, PAGE_HEIGHT, blocks, read
 from leafmill.plans.text_queries import _COLLAPSE, _STRIP
@@ -156,3 +157,26 @@ def render_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each book in one Markdown file."""
     rows = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("number"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), F.col("text").alias("body"))
     return A.single_file(rows, F.concat(F.lit("Book "), "book"))
+
+
+@query()
+def duplicate_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that stay when a page's text is there twice, as layers do, here with every fourth line drawn again."""
+    rows = blocks(spark, sf_dir)
+    again = rows.filter("seq % 4 = 0").withColumn("seq", F.col("seq") + 10_000).withColumn("x0", F.col("x0") + 1)
+    return S.without_layers(rows.unionByName(again)).groupBy("book", "page").agg(F.count("*").alias("n"))
+
+
+@query()
+def caption_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images (every third line's place) with captions, each taken once."""
+    rows = blocks(spark, sf_dir).withColumn("kind", F.when(F.col("seq") % 3 == 0, "image").otherwise("text"))
+    return S.captioned(rows.withColumn("text", F.when(F.col("seq") % 3 == 1, F.concat(F.lit("Figure "), "seq", F.lit(". A view."))).otherwise(F.col("text"))))
+
+
+@query()
+def glossary_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of pages made glossaries: letters, terms with a delimiter, and lines that go on."""
+    rows = blocks(spark, sf_dir)
+    text = F.when(F.col("seq") % 5 == 0, F.chr(65 + F.col("seq") % 26)).when(F.col("seq") % 5 < 3, F.concat(F.lit("Term "), "seq", F.lit(": "), "text")).otherwise(F.col("text"))
+    return S.glossary(rows.withColumn("text", text).withColumn("bold", F.lit(False)).withColumn("x0", F.lit(50.0)))

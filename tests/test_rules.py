@@ -116,3 +116,18 @@ def test_convert(spark, tmp_path):
     assert files == {("b.epub", "01 - Untitled 1.md"), ("b.epub", "Index.md"), ("d.docx", "00 - Preface.md"), ("d.docx", "01 - One.md"), ("d.docx", "02 - Preface.md"), ("d.docx", "Index.md")}
     assert (tmp_path / "out" / "d" / "01 - One.md").read_text().endswith("# One\n\n**Text**")
     assert (tmp_path / "out" / "d" / "Index.md").read_text() == "# d\n\n- [[00 - Preface]]\n- [[01 - One]]\n- [[02 - Preface]]"
+
+
+def test_sequential(spark):
+    from leafmill.operators import sequential as S
+
+    shape = "book string, page long, seq int, kind string, text string, bold boolean, x0 double, y0 double, x1 double, y1 double"
+    rows = [
+        ("b", 1, 0, "text", "Same", False, 0.0, 0.0, 10.0, 10.0), ("b", 1, 1, "text", "same ", False, 2.0, 0.0, 12.0, 10.0), ("b", 1, 2, "text", "same", False, 4.0, 0.0, 14.0, 10.0),
+        ("b", 2, 0, "image", "", False, 0.0, 0.0, 10.0, 10.0), ("b", 2, 1, "text", "Figure 1. x", False, 0.0, 15.0, 10.0, 20.0), ("b", 2, 2, "image", "", False, 0.0, 22.0, 10.0, 30.0), ("b", 2, 3, "text", "Fig. 2", False, 0.0, 45.0, 10.0, 50.0),
+        ("b", 3, 0, "text", "A", False, 0.0, 0.0, 1.0, 1.0), ("b", 3, 1, "text", "Ape: an animal", False, 0.0, 0.0, 1.0, 1.0), ("b", 3, 2, "text", "with: hands", False, 9.0, 0.0, 1.0, 1.0), ("b", 3, 3, "text", "Axe", True, 0.0, 0.0, 1.0, 1.0), ("b", 3, 4, "text", "a tool", False, 9.0, 0.0, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, shape)
+    assert sorted(r.seq for r in S.without_layers(df.filter("page = 1")).collect()) == [0, 2]
+    assert sorted((r.image, r.caption) for r in S.captioned(df.filter("page = 2")).collect()) == [(0, 1), (2, 3)]
+    assert [(r.letter, r.term, r.definition) for r in S.glossary(df.filter("page = 3")).orderBy("entry").collect()] == [("A", "Ape", "an animal with: hands"), ("A", "Axe", "a tool")]
