@@ -65,7 +65,7 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows into pieces of about `most` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
@@ -79,6 +79,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 class Flat:
@@ -119,31 +120,36 @@ _hashers: dict[int, SpanHash] = {}
 
 
 class SpanHash:
-    """64-bit hashes of byte spans from prefix sums of table[byte] * base^i, modulo 2^64, whatever the span's place."""
+    """64-bit hashes of byte spans from prefix sums of table[byte] * base^i, modulo 2^64, whatever the span's place.
+
+    The table is drawn by the seed; the base and its powers are the same for all, and kept once in a process.
+    """
+
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 1 << 64)
+    up = down = np.ones(1, U64)
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, MASK64, 256, dtype=U64, endpoint=True)
-        self.base = int(rng.integers(1 << 40, MASK64 >> 3, dtype=U64)) * 8 + 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
+        self.table = np.random.default_rng(seed).integers(1, MASK64, 256, dtype=U64, endpoint=True)
 
     @classmethod
     def of(cls, seed: int) -> SpanHash:
-        """One for each worker process, which keeps its powers."""
+        """One for each worker process."""
         if seed not in _hashers:
             _hashers[seed] = cls(seed)
         return _hashers[seed]
 
-    def _grown(self, have: np.ndarray, factor: int, n: int) -> np.ndarray:
+    @classmethod
+    def _grow(cls, n: int) -> None:
         with np.errstate(over="ignore"):
-            while len(have) <= n:
-                have = np.concatenate([have, have * U64(pow(factor, len(have), 1 << 64))])
-        return have
+            while len(cls.up) <= n:
+                m = len(cls.up)
+                cls.up = np.concatenate([cls.up, cls.up * U64(pow(cls.base, m, 1 << 64))])
+                cls.down = np.concatenate([cls.down, cls.down * U64(pow(cls.inverse, m, 1 << 64))])
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
-        self.up, self.down = self._grown(self.up, self.base, n), self._grown(self.down, self.inverse, n)
+        self._grow(n)
         out = np.zeros(n + 1, U64)
         with np.errstate(over="ignore"):
             np.cumsum(self.table[data] * self.up[:n], out=out[1:])
