@@ -269,5 +269,4 @@ def glossary_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with a downloader's mark, a path or a layout file's name in place of some."""
     raw = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' - PDFDrive.com') WHEN 1 THEN concat('a/', p_name) WHEN 2 THEN 'layout-3.indd' ELSE concat(' ', p_name) END")
-    rows = read(spark, sf_dir, "part").filter("p_partkey < 1048576")
-    return rows.select("p_partkey", F.col("p_name").alias("title"), T.clean_title(raw, F.lit("stem")).alias("cleaned"), T.file_size(F.col("p_partkey")).alias("size"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), T.clean_title(raw, F.lit("stem")).alias("cleaned"), T.file_size(F.col("p_partkey")).alias("size"))
