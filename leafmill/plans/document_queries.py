@@ -303,5 +303,4 @@ def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def verse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of stanzas of a page, with the lines between them as prose."""
-    rows = blocks(spark, sf_dir).withColumn("text", F.substring("text", 1, 40))
-    return layout.islands(layout.stanzas(rows, 500.0), F.col("is_verse"), Window.partitionBy("book", "page").orderBy("stanza")).groupBy("book", "page", "run", "is_verse").agg(F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_stanzas"))
+    return layout.islands(layout.stanzas(blocks(spark, sf_dir), 500.0), F.col("is_verse"), Window.partitionBy("book", "page").orderBy("stanza")).groupBy("book", "page", "run", "is_verse").agg(F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_stanzas"))
