@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = "file:///tmp/leafmill-shared"
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
+    if not urlsplit(base).scheme:  # a path of the cluster's default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/leafmill-{label}-{uuid.uuid4().hex}"
 
 
@@ -51,6 +54,12 @@ def put_file(fs: pafs.FileSystem, path: str, data: bytes | pa.Buffer) -> None:
     fs.move(part, path)
 
 
+def map_rows(docs: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """docs.mapInArrow(task) with the schema of docs, whose columns besides doc_id and text may have any name."""
+    plain = docs.toDF(*(x if x in ("doc_id", "text") else f"_{i}" for i, x in enumerate(docs.columns)))
+    return plain.mapInArrow(task, plain.schema).toDF(*docs.columns)
+
+
 def fold(doc_id: object, n: int) -> int:
     """crc32 of the id as text, mod n; a null id falls in fold 0."""
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
@@ -92,9 +101,11 @@ class Flat:
 
     def __init__(self, texts: list[bytes]):
         words = [x.split() for x in texts]
+        #: The words of all texts in a row.
+        self.words = [w for x in words for w in x]
         counts = np.array([len(x) for x in words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.raw = b" ".join([b" ".join(x) for x in words if x])
+        self.raw = b" ".join(self.words)
         self.data = np.frombuffer(self.raw, np.uint8)
         gaps = np.flatnonzero(self.data == 32)
         n = int(self.first[-1])
@@ -116,12 +127,33 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(33))
 
 
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit XXH3 of each word's bytes."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2)
+    return halves[:, 0].astype(U64), halves[:, 1].astype(U64)
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """64-bit hashes of the windows of `width` words that start at `at`: the words' hashes, each times a number drawn for its place.
+
+    Windows of other words collide by chance only, whatever pattern the words follow; that of several hashes (two
+    halves, two seeds) is the product of their chances.
+    """
+    factors = np.random.default_rng([seed, width]).integers(0, MASK64, width, dtype=U64, endpoint=True) | U64(1)
+    out = np.full(len(at), width * 0x9E3779B97F4A7C15 & MASK64, U64)
+    with np.errstate(over="ignore"):
+        for j in range(width):
+            out += hashes[at + j] * factors[j]
+    return mix(out)
+
+
 _hashers: dict[int, SpanHash] = {}
 
 
 class SpanHash:
     """64-bit hashes of byte spans from prefix sums of table[byte] * base^i, modulo 2^64, whatever the span's place.
 
+    Spans that follow certain patterns collide under every seed, so these only select what is then compared byte by byte.
     The table is drawn by the seed; the base and its powers are the same for all, and kept once in a process.
     """
 

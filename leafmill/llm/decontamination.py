@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Flat, SpanHash, byte_texts, open_folder, put_file, shared_folder, slices
+from leafmill.llm.common import Flat, SpanHash, byte_texts, map_rows, open_folder, put_file, shared_folder, slices
 from leafmill.llm.tables import saved
 
 WINDOW = 13
@@ -156,16 +156,20 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession,
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _searched(texts, benchmark, spark, window, hit_share, answer, OUT)
+    return texts.mapInArrow(_search(benchmark, spark, window, hit_share, answer), OUT)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = WINDOW, hit_share: int = 20) -> DataFrame:
-    """The rows of docs that aren't contaminated, as they are."""
-    return _searched(docs, benchmark, spark, window, hit_share, lambda part, flat, n_hit, dirty, items: part.filter(pa.array(~dirty)), docs.schema)
+    """The rows of docs that aren't contaminated, as they are.
+
+    Null, empty and blank texts have no words and stay; each row is judged alone, so repeated rows share one fate and a
+    null doc_id stays. Other columns may have any type and name; empty tables give no rows, an empty benchmark all.
+    """
+    return map_rows(docs, _search(benchmark, spark, window, hit_share, lambda part, flat, n_hit, dirty, items: part.filter(pa.array(~dirty))))
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int, hit_share: int, answer: Callable, schema: object) -> DataFrame:
-    """What answer(rows, words, hit words, contaminated, items) gives for the rows of docs, a piece at a time."""
+def _search(benchmark: DataFrame, spark: SparkSession, window: int, hit_share: int, answer: Callable) -> Callable:
+    """A task that gives answer(rows, words, hit words, contaminated, items) of the rows of its batches, a piece at a time."""
     folder = shared_folder(spark, "tests")
     names = string_files(benchmark, spark, folder)
 
@@ -198,7 +202,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window
                         n_hit = hit[flat.first[1:]] - hit[flat.first[:-1]]
                         yield answer(part, flat, n_hit, (n_hit > 0) & (hit_share * n_hit >= flat.counts), items[i])
 
-    return docs.mapInArrow(task, schema)
+    return task
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Flat, SpanHash, byte_texts, slices
+from leafmill.llm.common import Flat, byte_texts, map_rows, slices, window_hashes, word_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -79,13 +79,13 @@ def _lines(text: bytes) -> tuple[int, int, bytes]:
     return dup, lost, b"\n".join(kept)
 
 
-def _repeated(flat: Flat, hasher: SpanHash, width: int = 3) -> np.ndarray:
+def _repeated(flat: Flat, width: int = 3) -> np.ndarray:
     """For each text, the words that are in a window found twice or more in it."""
     n = len(flat.start)
     at = np.flatnonzero(np.arange(n) + width <= flat.stop)
     gone = np.zeros(n + 1, np.int64)
     if len(at):
-        key = hasher.spans(hasher.prefix(flat.data), flat.start[at], flat.end[at + width - 1])
+        key = window_hashes(word_hashes(flat.words)[0], at, width, 5)
         order = np.lexsort((key, flat.owner[at]))
         same = (key[order][1:] == key[order][:-1]) & (flat.owner[at][order][1:] == flat.owner[at][order][:-1])
         twice = np.zeros(len(at), bool)
@@ -102,7 +102,7 @@ def judge(texts: list[bytes], min_words: int, max_repeat_percent: float, max_los
     chars = np.concatenate([[0], np.cumsum(((flat.data & 0xC0) != 0x80) & (flat.data != 32))])
     symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[flat.data])])
     edge = np.concatenate([flat.start, [len(flat.data)]])[np.minimum(flat.first, len(flat.start))]
-    words, repeats = flat.counts, _repeated(flat, SpanHash.of(5))
+    words, repeats = flat.counts, _repeated(flat)
     failed = (words < min_words) | (100 * repeats > max_repeat_percent * words)
     lines = [_lines(x) for x in texts]
     lost = np.array([x[1] for x in lines], np.int64)
@@ -136,7 +136,11 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percen
 
 
 def keep_clean(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: float = MAX_REPEAT_PERCENT, max_lost_percent: float = MAX_LOST_PERCENT) -> DataFrame:
-    """The rows of docs that quality_rules keeps, all columns as they are but for `text`, which is the cleaned one."""
+    """The rows of docs that quality_rules keeps, all columns as they are but for `text`, which is the cleaned one.
+
+    Null, empty and blank texts are rejected; each row is judged alone, so repeated rows share one fate and a null
+    doc_id stays. Other columns may have any type and name; empty tables give no rows.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -144,7 +148,7 @@ def keep_clean(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", found["clean_text"]).filter(pa.array(found["kept"]))
 
-    return docs.mapInArrow(task, docs.schema)
+    return map_rows(docs, task)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import byte_texts, shared_folder, slices
-from leafmill.llm.tables import components, saved
+from leafmill.llm.tables import components, kept_rows, saved, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -97,14 +97,22 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, shingle: int = SHINGLE
 
 
 def keep_first(docs: DataFrame, spark: SparkSession, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs without the near duplicates of a row with a smaller doc_id, all columns as they are.
+    """One row of docs for each component of near duplicates, all columns as they are: see kept_rows."""
+    folder = shared_folder(spark, "simhash-rows")
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", text_key().alias("text_key"))
+    prints = saved(named.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "text_key").mapInArrow(_keyed(shingle), "doc_id long, text_key long, fp long"), spark, f"{folder}/fingerprints")
+    classes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    roots = components(links(classes, spark, folder), spark, folder)
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    return kept_rows(docs, rooted.groupBy("root").agg(F.min("least").alias("x")).select("x.*"))
 
-    Of rows with one doc_id the least by all columns stays. Rows without a doc_id can't be told apart and stay.
-    """
-    first = near_duplicates(docs, spark, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(first, "doc_id", "left_semi")
-    least = rows.groupBy(F.col("doc_id").alias("_of")).agg(F.min(F.struct(*(F.col(x) for x in docs.columns))).alias("_row"))
-    return least.select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+
+def _keyed(shingle: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array([_signed(fingerprint(x, shingle)) for x in byte_texts(batch["text"])], pa.int64())], names=["doc_id", "text_key", "fp"])
+
+    return task
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Anchors are K-word grams chosen by winnowing: of every N - K + 1 grams in a row
 Equal passages of N words choose equal anchors, so a passage of N words or more that two documents share has an anchor
 that both send. The seeds are the anchors found in two documents or more. Each seed is extended both ways, a word at a
 time: a step is a window of N words whose anchor is the seed, and it holds if the window starts in a document with a
-smaller id too (two 64-bit hashes of its words decide). Steps that hold in a row are a maximal repeat, and
+smaller id too (128 bits of hashes of its words decide). Steps that hold in a row are a maximal repeat, and
 its words are removed from every document but the one with the smallest id.
 
 Anchors and windows are exchanged between homes (see homes.py): a home sends a key once, however many of its documents
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from leafmill.llm.common import Flat, SpanHash, byte_texts, runs, shared_folder
+from leafmill.llm.common import U64, Flat, byte_texts, runs, shared_folder, window_hashes, word_hashes
 from leafmill.llm.homes import key_runs, read_home, settle, text_slices
 
 MIN_WORDS = 13
@@ -31,29 +32,25 @@ KEYS = "home long, key long, key2 long, doc long, kind int"
 _KEYS = pa.schema([("home", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("doc", pa.int64()), ("kind", pa.int32())])
 #: kind of a row: a home that must answer, a key found in one document of the home, a key found in several.
 HOME, ONE, MANY = 0, 1, 2
-#: A null id sorts before all others.
+#: What a null id counts as.
 NO_ID = -(1 << 63)
 
 
 class _Windows:
     """Windows of n words in a piece of a home: the word each starts at, and their anchors."""
 
-    def __init__(self, rows: pa.Table, n: int, gram: int, first: SpanHash, second: SpanHash):
+    def __init__(self, rows: pa.Table, n: int, gram: int):
         self.flat = flat = Flat(byte_texts(rows["text"]))
         self.ids = np.array([NO_ID if x is None else x for x in rows["doc_id"].to_pylist()], np.int64)
-        self.n, self.gram, self.one, self.two = n, gram, first, second
+        self.n, self.gram = n, gram
         self.at = np.flatnonzero(np.arange(len(flat.start)) + n <= flat.stop)
-        self.prefix = first.prefix(flat.data)
-
-    def hashes(self, at: np.ndarray, hasher: SpanHash, prefix: np.ndarray, words: int) -> np.ndarray:
-        return hasher.spans(prefix, self.flat.start[at], self.flat.end[at + words - 1])
+        self.one, self.two = word_hashes(flat.words)
 
     def grams(self) -> np.ndarray:
         """Hash of the gram at each word; past a text's last gram it isn't used."""
         n = len(self.flat.start)
-        at = np.arange(n)
-        last = np.minimum(at + self.gram - 1, n - 1)
-        return self.one.spans(self.prefix, self.flat.start, self.flat.end[last])
+        full = max(n - self.gram + 1, 0)
+        return np.concatenate([window_hashes(self.one, np.arange(full), self.gram, 11), np.zeros(n - full, U64)])
 
     def chosen(self, grams: np.ndarray) -> np.ndarray:
         """For each window the word at which its anchor starts."""
@@ -65,7 +62,8 @@ class _Windows:
         return best
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.hashes(at, self.one, self.prefix, self.n).view(np.int64), self.hashes(at, self.two, self.two.prefix(self.flat.data), self.n).view(np.int64)
+        """Two hashes of each window, of other halves of its words' 128 bits."""
+        return window_hashes(self.one, at, self.n, 11).view(np.int64), window_hashes(self.two, at, self.n, 23).view(np.int64)
 
 
 def _batch(home: int, key: np.ndarray, key2: np.ndarray | None = None, doc: np.ndarray | None = None, kind: np.ndarray | int = ONE) -> pa.RecordBatch:
@@ -84,25 +82,21 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
     Words are runs without space, tab, line feed, vertical tab, form feed and carriage return, taken as they are.
     Where nothing is removed, `text` is the text as it was; else removed words go with the white space before them.
     Null texts have no words; texts shorter than min_words keep all. Rows that repeat a doc_id count as one document:
-    a repeat within it doesn't remove. A null doc_id is below all others. Empty tables give no rows. Columns of docs
+    a repeat within it doesn't remove. A null doc_id counts as -2^63, so it is below all others, and stays null. Empty tables give no rows. Columns of docs
     named in carry are returned in the struct `rest`, whatever their names; others are not read.
     """
     if not 0 < gram_words <= min_words:
         raise ValueError("gram_words must be between 1 and min_words")
     folder = shared_folder(spark, "substring")
-    rest = F.struct(*(F.col(x) for x in carry)) if carry else F.lit(None).cast("int")
+    rest = F.struct(*(F.col("`" + x.replace("`", "``") + "`").alias(x) for x in carry)) if carry else F.lit(None).cast("int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    fields = f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string, rest {texts.schema['rest'].dataType.simpleString()}"
-
-    def hashers() -> tuple[SpanHash, SpanHash]:
-        return SpanHash.of(11), SpanHash.of(23)
+    fields = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string"), texts.schema["rest"]])
 
     def seeds(home: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        one, two = hashers()
         yield _batch(home, np.array([home], np.int64), kind=HOME)
         parts = []
         for piece in text_slices(rows):
-            w = _Windows(piece, min_words, gram_words, one, two)
+            w = _Windows(piece, min_words, gram_words)
             if len(w.at):
                 grams = w.grams()
                 at = np.unique(w.chosen(grams))
@@ -137,9 +131,8 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
         out = [_batch(home, np.array([home], np.int64), kind=HOME)]
         parts = []
         if len(seeds_here):
-            one, two = hashers()
             for piece in text_slices(read_home(folder, home)):
-                w = _Windows(piece, min_words, gram_words, one, two)
+                w = _Windows(piece, min_words, gram_words)
                 if not len(w.at):
                     continue
                 grams = w.grams()
@@ -176,18 +169,16 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
         key, key2, least = (group[x].to_numpy()[found] for x in ("key", "key2", "doc"))
         order = np.lexsort((key2, key))
         key, key2, least = key[order], key2[order], least[order]
-        one, two = hashers()
         out, rests = [], []
         for piece in text_slices(read_home(folder, home)):
-            w = _Windows(piece, min_words, gram_words, one, two)
+            w = _Windows(piece, min_words, gram_words)
             flat, n = w.flat, len(w.flat.start)
             edge = np.zeros(n + 1, np.int64)
             if len(w.at) and len(key):
-                k1 = w.hashes(w.at, one, w.prefix, min_words).view(np.int64)
+                k1, k2 = w.keys(w.at)
                 lo = np.searchsorted(key, k1)
                 near = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == k1)
-                at, lo, k1 = w.at[near], lo[near], k1[near]
-                k2 = w.hashes(at, two, two.prefix(flat.data), min_words).view(np.int64) if len(at) else k1
+                at, lo, k1, k2 = w.at[near], lo[near], k1[near], k2[near]
                 hit = np.zeros(len(at), bool)
                 doc = w.ids[flat.owner[at]]
                 while len(lo):  # past windows that share the first hash only

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,25 @@ def saved(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key() -> Column:
+    """Tells rows with one doc_id and other texts apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def kept_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, text_key) of chosen, which are distinct, and all rows without a doc_id.
+
+    Rows of docs that agree in both are repeats; of those one stays, whichever, with all its columns. A row whose
+    doc_id another row has too, with another text, is judged by its own text. Columns may have any type and name.
+    """
+    key, of = "_kept_text_key", "_kept_doc_id"
+    chosen = chosen.select(F.col("doc_id").alias(of), F.col("text_key").alias(key))
+    rows = docs.withColumn(key, text_key()).withColumn(of, F.col("doc_id").cast("long")).join(chosen, [of, key], "left_semi")
+    place = F.row_number().over(Window.partitionBy(of, key).orderBy(F.lit(0)))
+    names = [F.col(f"`{x.replace('`', '``')}`") for x in docs.columns]
+    return rows.withColumn("_kept_place", place).filter("_kept_place = 1").select(*names).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one task, as an edge from each node to the smallest one it is linked with there."""
     root: dict[int, int] = {}

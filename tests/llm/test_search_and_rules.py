@@ -6,6 +6,7 @@ import pytest
 from leafmill.llm import decontamination as dc
 from leafmill.llm import quality_rules as qr
 from leafmill.llm import simhash as sh
+from leafmill.llm.shingle_dedup import keep_first_similar
 from leafmill.llm.substring_dedup import removed_words
 from leafmill.llm.tables import components
 
@@ -82,6 +83,31 @@ def test_substring_odd(spark, odd, none):
     assert removed_words(none, spark).count() == 0
 
 
+def thue_morse(n, flip=False):
+    """Two words of this kind collide under any polynomial hash modulo 2^64."""
+    word = "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+    return word
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    one, two, rest = thue_morse(n), thue_morse(n, True), [f"w{i}" for i in range(60)]
+    few = {1: " ".join(rest[:6] + [one] + rest[6:]), 2: " ".join(rest[10:16] + [two] + rest[16:22]), 3: " ".join(rest[:6] + [two] + rest[6:12]), 4: " ".join([one, "x", "y", two, "x", "y"] * 2 + rest)}
+    df = spark.createDataFrame(list(few.items()), "doc_id long, text string")
+    assert by_id(removed_words(df, spark), "n_words", "n_removed", "kept_sha256") == brute.removed(few)
+    assert by_id(qr.quality_rules(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == brute.rules(few)
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows with one doc_id and other texts are none of each other's near duplicates, whatever other columns hold."""
+    a, b, c = ("".join(f" {x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, {"k": 1}), (1, b, {"k": 2}), (2, c, {"k": 3}), (2, c, {"k": 3}), (3, a, {"k": 4}), (None, a, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `my col` map<string, int>")
+    for kept in (sh.keep_first(df, spark), keep_first_similar(df, spark)):
+        assert kept.columns == df.columns
+        assert sorted(((r[0] or 0, r[1], r[2]) for r in kept.collect()), key=str) == sorted([(1, a, {"k": 1}), (1, b, {"k": 2}), (2, c, {"k": 3}), (0, a, None)], key=str)
+
+
 def test_rules(docs, texts):
     got = by_id(qr.quality_rules(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == brute.rules(texts)
