@@ -13,21 +13,24 @@ string, so between the two characters one backslash is put (`<\|`), and one more
 (`<\|` becomes `<\\|`); taking one backslash out of each `<\...\|` gives the text back. In roles backslashes and line
 feeds are escaped as well.
 
-A task streams its events: the texts of the conversation at hand are in a file beyond SPOOL bytes, and a long one is
-rendered in several parts, so neither its log nor its output has to fit in memory.
+A task streams its events: beyond SPOOL bytes the texts of the conversation at hand are in files of the shared folder,
+which go when it is rendered, and a long one is rendered in several parts, so neither its log nor its output has to fit
+in memory.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import open_folder, put_file, shared_folder
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
 SPOOL = 16 << 20
@@ -52,20 +55,51 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+class Spool:
+    """Texts in a buffer, and in files of a folder whenever it has SPOOL bytes."""
+
+    def __init__(self, folder: str):
+        self.folder, self.name = folder, uuid.uuid4().hex
+        self.files, self.buffer = 0, bytearray()
+        self.loaded: tuple[int, bytes] = (-1, b"")
+
+    def _path(self, file: int) -> tuple:
+        fs, root = open_folder(self.folder)
+        return fs, root, f"{root}/{self.name}-{file}"
+
+    def put(self, data: bytes) -> tuple[int, int, int]:
+        """Where it is: file, place and size."""
+        if self.buffer and len(self.buffer) + len(data) > SPOOL:
+            fs, root, path = self._path(self.files)
+            fs.create_dir(root, recursive=True)
+            put_file(fs, path, bytes(self.buffer))
+            self.files, self.buffer = self.files + 1, bytearray()
+        self.buffer += data
+        return self.files, len(self.buffer) - len(data), len(data)
+
+    def get(self, file: int, at: int, n: int) -> bytes:
+        if file == self.files:
+            return bytes(self.buffer[at : at + n])
+        if self.loaded[0] != file:
+            fs, _, path = self._path(file)
+            with fs.open_input_stream(path) as src:
+                self.loaded = (file, src.read())
+        return self.loaded[1][at : at + n]
+
+    def close(self) -> None:
+        for file in range(self.files):
+            fs, _, path = self._path(file)
+            fs.delete_file(path)
+
+
 class Conversation:
     """The messages so far: id, role and where the pieces of the text are in the spool."""
 
-    def __init__(self) -> None:
-        self.spool = tempfile.SpooledTemporaryFile(max_size=SPOOL)  # noqa: SIM115
+    def __init__(self, folder: str) -> None:
+        self.spool = Spool(folder)
         self.messages: list[list] = []
         self.place: dict[object, int] = {}
 
-    def _put(self, text: str) -> tuple[int, int]:
-        data = text.encode()
-        at = self.spool.seek(0, 2)
-        self.spool.write(data)
-        return at, len(data)
-
     def apply(self, kind: str, message: object, role: str, text: str) -> None:
         at = None if message is None else self.place.get(message)
         if kind in ("edit", "regenerate") and at is not None:
@@ -82,15 +116,11 @@ class Conversation:
         if kind == "message":
             self.messages[at][1] = role
         if text and kind != "regenerate":
-            self.messages[at][2].append(self._put(text))
+            self.messages[at][2].append(self.spool.put(text.encode()))
 
     def __iter__(self) -> Iterator[tuple[str, str]]:
         for _, role, pieces in self.messages:
-            data = []
-            for at, n in pieces:
-                self.spool.seek(at)
-                data.append(self.spool.read(n))
-            yield role, b"".join(data).decode()
+            yield role, b"".join([self.spool.get(*x) for x in pieces]).decode()
 
 
 RENDERED = "conv_id long, part int, formatted string, loss array<struct<start: int, end: int>>"
@@ -136,6 +166,8 @@ def format_chats(events: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     table gives no rows, other columns are not read. The parts of a conversation are in a row in one partition.
     """
 
+    folder = shared_folder(events.sparkSession, "chat")
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chat = None, None
         rows: list[tuple] = []
@@ -165,7 +197,7 @@ def format_chats(events: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
                 if now != (conv,):
                     if chat is not None:
                         yield from taken((conv,))
-                    now, chat = (conv,), Conversation()
+                    now, chat = (conv,), Conversation(folder)
                 if kind not in KINDS:
                     raise ValueError(f"unknown kind of event: {kind}")
                 chat.apply(kind, message, role or "", text or "")
@@ -176,8 +208,14 @@ def format_chats(events: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     return events.select(*wanted).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "message", "role", "text").mapInArrow(task, RENDERED)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from what format_chats returns."""
+def read_back(formatted: DataFrame, together: bool = False) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from what format_chats returns.
+
+    together: the parts of each conversation are in order in one partition, as format_chats returns them; if not (they
+    were stored and read again) they are brought together first. Null conv_ids are one conversation.
+    """
+    if not together:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -216,4 +254,4 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(format_chats(rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message"), "role", "text")))
+    return read_back(format_chats(rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message"), "role", "text")), together=True)
