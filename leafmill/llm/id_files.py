@@ -6,9 +6,9 @@ bytes; the low bits of all
 are packed at this width, least significant bit first, and the differences that need more are kept whole in a list of
 exceptions. The index has where each block starts, so that any range of ids is read without the blocks before it.
 
-    magic "LMFR", version 1, blocks ..., documents, index, footer
+    magic "LMFR", version 2, blocks ..., documents, index, footer
     block: minimum u32, width u8, exceptions u16, packed bits, places of exceptions u8 each, their differences u32 each
-    documents: doc_id i64 each, number of ids u64 each
+    documents: doc_id i64 each, number of ids u64 each, 1 for a doc_id and 0 for a null one u8 each
     index: start of each block in the file u64 each, and the end of the last
     footer: documents' place u64, index's place u64, number of documents u64, of blocks u64, of ids u64, crc32 of
     documents and index u32, magic "LMFR"; integers are little-endian
@@ -31,12 +31,11 @@ from leafmill.llm.common import byte_texts, open_folder, put_file, shared_folder
 from leafmill.llm.tables import saved
 from leafmill.llm.tokens import WordTokenizer
 
-MAGIC = b"LMFR"
+MAGIC, VERSION = b"LMFR", b"\2"
 BLOCK = 256
 PERCENT = 90
 SHARD_IDS = 3 << 20
 END_ID = 2
-NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<IBH")
 _FOOT = struct.Struct("<QQQQQI4s")
 
@@ -60,7 +59,7 @@ def _unpacked(packed: np.ndarray, width: int) -> np.ndarray:
     return raw.view("<u4")[:, :, 0]
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, percent: float = PERCENT) -> bytes:
+def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, percent: float = PERCENT) -> bytes:
     """One file of the ids of documents with these ids and numbers of token ids."""
     n_blocks = -(-len(ids) // BLOCK)
     blocks: list[bytes] = []
@@ -91,10 +90,10 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, percen
             blocks.append(_HEAD.pack(least, width, b - a) + body[i] + places[a:b] + values[4 * a : 4 * b])
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8") + 5
     data = b"".join(blocks)
-    documents = doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes()
+    documents = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + counts.astype("<u8").tobytes() + bytes([x is not None for x in doc_ids])
     index = starts.tobytes()
     place = 5 + len(data)
-    return b"".join([MAGIC, b"\1", data, documents, index, _FOOT.pack(place, place + len(documents), len(doc_ids), n_blocks, len(ids), zlib.crc32(documents + index), MAGIC)])
+    return b"".join([MAGIC, VERSION, data, documents, index, _FOOT.pack(place, place + len(documents), len(doc_ids), n_blocks, len(ids), zlib.crc32(documents + index), MAGIC)])
 
 
 class IdFile:
@@ -102,13 +101,14 @@ class IdFile:
 
     def __init__(self, data: bytes):
         self.data = memoryview(data)
-        if len(data) < 5 + _FOOT.size or data[:4] != MAGIC:
+        if len(data) < 5 + _FOOT.size or data[:5] != MAGIC + VERSION:
             raise ValueError("not a file of token ids")
         place, index, n_docs, n_blocks, self.n_ids, crc, magic = _FOOT.unpack(self.data[-_FOOT.size :])
         if magic != MAGIC or crc != zlib.crc32(self.data[place : -_FOOT.size]):
             raise ValueError("the file of token ids is damaged")
         self.doc_ids = np.frombuffer(self.data, "<i8", n_docs, place)
         self.counts = np.frombuffer(self.data, "<u8", n_docs, place + 8 * n_docs).astype(np.int64)
+        self.nulls = np.frombuffer(self.data, np.uint8, n_docs, place + 16 * n_docs) == 0
         self.starts = np.frombuffer(self.data, "<u8", n_blocks + 1, index).astype(np.int64)
 
     def ids(self, start: int, end: int) -> np.ndarray:
@@ -149,21 +149,21 @@ def write_id_files(docs: DataFrame, spark: SparkSession, folder: str, tokenizer:
         fs.create_dir(root, recursive=True)
         words, end = WordTokenizer.of(tokenizer, drops_space=False), np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        names: list[int] = []
+        names: list[int | None] = []
         have: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal names, have, size, seq
             file = f"ids-{part:06d}-{seq:05d}.lmfr"
-            put_file(fs, f"{root}/{file}", encode_file(np.array(names, np.int64), np.array([len(x) // 4 for x in have], np.int64), np.frombuffer(b"".join(have), "<u4")))
+            put_file(fs, f"{root}/{file}", encode_file(names, np.array([len(x) // 4 for x in have], np.int64), np.frombuffer(b"".join(have), "<u4")))
             row = pa.RecordBatch.from_pylist([{"file": file, "part": part, "seq": seq, "n_docs": len(names), "n_tokens": size}])
             names, have, size, seq = [], [], 0, seq + 1
             return row
 
         for batch in slices(batches, most=4 << 20):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(byte_texts(batch["text"])), strict=True):
-                names.append(NO_ID if doc_id is None else doc_id)
+                names.append(doc_id)
                 have.append(ids + end)
                 size += len(ids) // 4 + 1
                 if size >= shard_ids:
@@ -175,8 +175,11 @@ def write_id_files(docs: DataFrame, spark: SparkSession, folder: str, tokenizer:
     order = [F.col("doc_id"), F.xxhash64("text")]
     files = texts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(task, "file string, part long, seq long, n_docs long, n_tokens long")
     manifest = saved(files, spark, f"{folder}/manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # a row a file
+    upto = (Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row a task
+    earlier = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*upto)), F.lit(0))
+    return manifest.withColumn("within", within).join(earlier, "part").withColumn("start", F.col("earlier") + F.col("within")).drop("earlier", "within")
 
 
 def read_id_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -197,7 +200,7 @@ def read_id_files(manifest: DataFrame, folder: str) -> DataFrame:
                     for i in range(at, upto):
                         crcs[i] = zlib.crc32(raw[4 * int(ends[i] - file.counts[i] - base) : 4 * int(ends[i] - base)])
                     at = upto
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, mask=file.doc_ids == NO_ID), pa.array(row["start"] + ends - file.counts), pa.array(file.counts), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, mask=file.nulls), pa.array(row["start"] + ends - file.counts), pa.array(file.counts), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = manifest.count()
     return manifest.select("file", "start").repartition(max(1, min(n, 100_000))).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -38,14 +38,14 @@ def test_ids_are_the_tokenizers(path, drops, texts):
 def test_blocks_round_trip(most, n):
     ids = np.random.default_rng(n).integers(0, most, n, dtype=np.uint32)
     ids[:: max(1, n // 7)] = 0xFFFFFFFF if most == 1 << 32 else most - 1
-    file = id_files.IdFile(id_files.encode_file(np.array([7]), np.array([n]), ids))
+    file = id_files.IdFile(id_files.encode_file([7], np.array([n]), ids))
     assert (file.ids(0, n) == ids).all() and file.doc_ids.tolist() == [7]
     for a, b in ((0, 1), (n // 3, n // 2), (n - 1, n)):
         assert (file.ids(a, b) == ids[a:b]).all()
 
 
 def test_damage_is_seen():
-    data = bytearray(id_files.encode_file(np.array([1]), np.array([3]), np.array([1, 2, 3], np.uint32)))
+    data = bytearray(id_files.encode_file([1], np.array([3]), np.array([1, 2, 3], np.uint32)))
     data[-60] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         id_files.IdFile(bytes(data))
