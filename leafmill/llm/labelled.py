@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,20 +11,35 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import fold_column
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """doc_id, text, label (0 or 1), part (0 to 99, from the id's hash) of at most `most` labelled documents.
+#: Rows with more characters are not learned from (all are scored).
+LONGEST = 1 << 17
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, longest: int = LONGEST) -> DataFrame:
+    """doc_id, text, label (0 or 1), part (0 to 99, from the id's hash) of at most `most` labelled documents, whole.
 
-    Rows whose crc32(doc_id as text) mod folds is held_out are never among them; the others are taken in the order of
-    a hash of their id. Repeated labels of a document count as the largest; null labels and ids don't count. The side
-    that is broadcast has `most` rows at most. A doc_id with several texts gives a row for each, up to `most` in all.
+    Rows whose crc32(doc_id as text) mod folds is held_out are never among them, nor are texts of more than `longest`
+    characters; the others are taken in the order of a hash of their id. Repeated labels of a document count as the
+    largest; null labels and ids don't count. The side that is broadcast has `most` rows at most. A doc_id with several
+    texts gives a row for each, up to `most` in all.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_column("doc_id", folds) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= longest)
     return texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(100))).limit(most)
 
 
+def batches_of(n: int, size: int, steps: int, seed: int) -> Iterator[tuple[float, np.ndarray]]:
+    """For each of so many steps its share of all, and row numbers: all rows in a new order each time they are through."""
+    rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
+    for step in range(steps):
+        while len(order) < min(size, n):
+            order = np.concatenate([order, rng.permutation(n)])
+        yield step / steps, order[:size]
+        order = order[size:]
+
+
 class Adam:
     """Steps for some arrays, in place."""
 

@@ -15,18 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import byte_texts, fold, slices
-from leafmill.llm.labelled import Adam, sigmoid, training_sample
+from leafmill.llm.labelled import Adam, batches_of, sigmoid, training_sample
 
 FOLDS, HELD_OUT = 3, 1
-#: At most so many labelled documents are learned from, and so many bytes of each (scores are of whole texts).
+#: At most so many labelled documents are learned from.
 MAX_LABELLED = 4_000
-MAX_TRAINING_BYTES = 1 << 16
+#: Optimizer steps and documents a step, whatever the number of documents.
+TRAINING_STEPS, BATCH = 750, 32
 DIM, FILTERS, STEP, STEPS = 6, 24, 4, 4
 WIDTH = STEP * STEPS
 #: Filter positions in a chunk: CHUNK bytes with the overlap.
 CHUNK = 512
 POSITIONS = (CHUNK - WIDTH) // STEP + 1
 PAD = 256
+#: Filters run over so many steps at a time, so that a very long text needs no more memory.
+STRETCH = 1 << 16
 
 
 def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,11 +59,17 @@ class ByteNet:
         self.offset = np.zeros(1, np.float32)
 
     def responses(self, data: np.ndarray) -> np.ndarray:
-        steps = self.emb.take(data, axis=0).reshape(len(data) // STEP, STEP * DIM)
-        each = steps @ self.filters.transpose(1, 0, 2).reshape(STEP * DIM, STEPS * FILTERS)
-        out = each[:, :FILTERS].copy()
-        for j in range(1, STEPS):
-            out[:-j] += each[j:, j * FILTERS : (j + 1) * FILTERS]
+        """(positions, FILTERS); the last positions, which reach past the data, are of what there is."""
+        n = len(data) // STEP
+        out = np.empty((n, FILTERS), self.filters.dtype)
+        joined = np.ascontiguousarray(self.filters.transpose(1, 0, 2).reshape(STEP * DIM, STEPS * FILTERS))
+        for a in range(0, n, STRETCH):
+            b, end = min(a + STRETCH, n), min(a + STRETCH + STEPS - 1, n)
+            each = self.emb.take(data[a * STEP : end * STEP], axis=0).reshape(end - a, STEP * DIM) @ joined
+            out[a:b] = each[: b - a, :FILTERS]
+            for j in range(1, STEPS):
+                more = each[j : b - a + j, j * FILTERS : (j + 1) * FILTERS]
+                out[a : a + len(more)] += more
         return out
 
     def features(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -79,43 +88,43 @@ class ByteNet:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return sigmoid((self.features(texts)[0] @ self.dense + self.offset[0]).astype(np.float64))
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.003, seed: int = 4) -> None:
-        rng = np.random.default_rng(seed)
-        arrays = [self.emb, self.filters, self.bias, self.dense, self.offset]
-        adam = Adam(arrays, rate, decay=1e-4)
-        for epoch in range(epochs):
-            adam.rate = rate * (1 - epoch / epochs) + rate / 20
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), batch):
-                part = order[at : at + batch]
-                feats, data, spans, owner, response, hidden, start, per = self.features([texts[i] for i in part])
-                slope = (sigmoid(feats @ self.dense + self.offset[0]) - y[part]).astype(np.float32) / len(part)
-                g_feats = slope[:, None] * self.dense
-                g = (g_feats[:, :FILTERS] / per[:, None])[owner]
-                best_chunk = np.stack([hidden[s : s + n].argmax(0) + s for s, n in zip(start, per, strict=True)])
-                np.add.at(g, (best_chunk, np.arange(FILTERS)[None]), g_feats[:, FILTERS:])
-                g *= hidden > 0
-                best = np.stack([response[a:b].argmax(0) + a for a, b in spans])
-                g_emb, g_filters = np.zeros_like(self.emb), np.zeros_like(self.filters)
-                for j in range(STEPS):
-                    chosen = data[((best + j) * STEP)[:, :, None] + np.arange(STEP)]
-                    inputs = self.emb[chosen].reshape(*best.shape, STEP * DIM)
-                    g_filters[j] = np.einsum("cfd,cf->df", inputs, g)
-                    np.add.at(g_emb, chosen.reshape(-1), (g[:, :, None] * self.filters[j].T[None]).reshape(-1, DIM))
-                g_emb[PAD] = 0
-                adam.step([g_emb, g_filters, g.sum(0), slope @ feats, np.array([slope.sum()], np.float32)])
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = TRAINING_STEPS, batch: int = BATCH, rate: float = 0.003, seed: int = 4) -> None:
+        adam = Adam([self.emb, self.filters, self.bias, self.dense, self.offset], rate, decay=1e-4)
+        for done, part in batches_of(len(y), batch, steps, seed):
+            adam.rate = rate * (1 - done) + rate / 20
+            adam.step(self.gradients([texts[i] for i in part], y[part]))
+
+    def gradients(self, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean loss by emb, filters, bias, dense and offset."""
+        feats, data, spans, owner, response, hidden, start, per = self.features(texts)
+        slope = ((sigmoid(feats @ self.dense + self.offset[0]) - y) / len(y)).astype(self.dense.dtype)
+        g_feats = slope[:, None] * self.dense
+        g = (g_feats[:, :FILTERS] / per[:, None])[owner]
+        best_chunk = np.stack([hidden[s : s + n].argmax(0) + s for s, n in zip(start, per, strict=True)])
+        np.add.at(g, (best_chunk, np.arange(FILTERS)[None]), g_feats[:, FILTERS:])
+        g *= hidden > 0
+        best = np.stack([response[a:b].argmax(0) + a for a, b in spans])
+        g_emb, g_filters = np.zeros((257, DIM)), np.zeros_like(self.filters)
+        for j in range(STEPS):
+            chosen = data[((best + j) * STEP)[:, :, None] + np.arange(STEP)]
+            inputs = self.emb[chosen].reshape(*best.shape, STEP * DIM)
+            g_filters[j] = np.einsum("cfd,cf->df", inputs, g)
+            for i in range(STEP):
+                places, own = chosen[:, :, i].reshape(-1), self.filters[j, i * DIM : (i + 1) * DIM]
+                for d in range(DIM):
+                    g_emb[:, d] += np.bincount(places, (g * own[d]).reshape(-1), 257)
+        g_emb[PAD] = 0
+        return [g_emb.astype(np.float32), g_filters, g.sum(0), slope @ feats, np.array([slope.sum()], np.float32)]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = MAX_LABELLED) -> ByteNet:
-    """Fits on the driver, on `most` documents and MAX_TRAINING_BYTES of each at most: a stretch from its middle part."""
-    size = F.length("text")
-    cut = F.when(size > MAX_TRAINING_BYTES // 2, F.expr(f"substring(text, cast((length(text) - {MAX_TRAINING_BYTES // 2}) / 2 as int) + 1, {MAX_TRAINING_BYTES // 2})")).otherwise(F.coalesce("text", F.lit("")))
-    rows = training_sample(docs, labels, label, folds, held_out, most).select("doc_id", "label", cut.alias("text")).toArrow().sort_by("doc_id")
+    """Fits on the driver, on `most` whole documents at most, none of them over labelled.LONGEST characters."""
+    rows = training_sample(docs, labels, label, folds, held_out, most).select("doc_id", "label", "text").toArrow().sort_by("doc_id")
     texts, y = byte_texts(rows["text"].combine_chunks()), rows["label"].to_numpy().astype(np.float32)
     net = ByteNet()
     if len(y):
         net.offset[0] = np.log((y.mean() + 0.01) / (1.01 - y.mean()))
-        net.fit(texts, y, epochs=6 if len(y) >= 2000 else 25)
+        net.fit(texts, y)
     return net
 
 

@@ -1,8 +1,7 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 Words (runs of digits, letters and characters from U+0080 on, A-Z lower-cased) are hashed to BUCKETS numbers; those in
-MIN_DOCS training documents or more (one in 2,000 where that is more) have an embedding, the others share one. Filters of one, two and three words run
-over the whole text, each filter's largest response is kept, and a dense layer gives the logit. Embeddings start from
+MIN_DOCS training documents or more have an embedding, the others share one. Filters of one, two and three words run over the whole text, each filter's largest response is kept, and a dense layer gives the logit. Embeddings start from
 the log-odds of their words; embeddings, filters and the dense layer are then trained together by Adam.
 
 A threshold is chosen for each language on training documents kept apart, and the score is the probability moved so
@@ -19,15 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Flat, SpanHash, byte_texts, fold, slices
+from leafmill.llm.common import Flat, byte_texts, fold, slices, word_hashes
 from leafmill.llm.decontamination import WORD_BYTES
-from leafmill.llm.labelled import Adam, sigmoid, training_sample
+from leafmill.llm.labelled import Adam, batches_of, sigmoid, training_sample
 
 FOLDS, HELD_OUT = 5, 0
 #: At most so many labelled documents are learned from.
 MAX_LABELLED = 12_000
 BUCKETS = 1 << 22
 MIN_DOCS = 3
+#: Of 100 labelled documents so many are kept apart to choose the thresholds by.
+APART = 15
+#: Optimizer steps and documents a step, whatever the number of documents.
+TRAINING_STEPS, BATCH = 640, 64
 DIM, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 #: Frequent function words, which tell these languages apart.
 FUNCTION_WORDS = {
@@ -42,12 +45,9 @@ LANGUAGES = sorted(FUNCTION_WORDS)
 class Words:
     """Hashed words of many texts, with two places of nothing after each text."""
 
-    hasher = SpanHash(31)
-
     def __init__(self, texts: list[bytes]):
         flat = Flat([x.translate(WORD_BYTES) for x in texts])
-        key = self.hasher.spans(self.hasher.prefix(flat.data), flat.start, flat.end) if len(flat.start) else np.zeros(0, np.uint64)
-        self.hashed = (key % np.uint64(BUCKETS)).astype(np.int64)
+        self.hashed = (word_hashes(flat.words)[0] % np.uint64(BUCKETS)).astype(np.int64)
         self.counts, self.first = flat.counts, flat.first
 
 
@@ -88,56 +88,55 @@ class Toxicity:
         out[np.arange(len(rows)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)] = rows
         return out, starts
 
-    def pooled(self, rows: np.ndarray, starts: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def pooled(self, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Largest response of each filter in each text, and the responses."""
         ends = np.concatenate([starts[1:], [len(rows)]]) - 2
         cuts = np.stack([starts, ends], 1).reshape(-1)
-        tops, all_responses = [], []
-        for table, w in zip(tables, WIDTHS, strict=True):
-            response = table[:, 0].take(rows, axis=0)
+        tops, all_responses, column = [], [], 0
+        each = self.emb.take(rows, axis=0) @ np.concatenate([f[j] for f in self.filters for j in range(len(f))], 1)
+        for w in WIDTHS:
+            response = each[:, column : column + FILTERS].copy()
             for j in range(1, w):
-                response[: len(rows) - j] += table[:, j].take(rows[j:], axis=0)
+                response[: len(rows) - j] += each[j:, column + j * FILTERS : column + (j + 1) * FILTERS]
+            column += w * FILTERS
             all_responses.append(response)
             tops.append(np.maximum.reduceat(response, cuts, axis=0)[::2])
         return np.concatenate(tops, 1), all_responses
 
-    def tables(self) -> list[np.ndarray]:
-        return [np.ascontiguousarray(np.einsum("vd,wdf->vwf", self.emb, f)) for f in self.filters]
-
-    def logits(self, hashed: np.ndarray, counts: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def logits(self, hashed: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not len(counts):
             return np.zeros(0)
         rows, starts = self.padded(self.rows(hashed), counts)
-        top, _ = self.pooled(rows, starts, tables)
+        top, _ = self.pooled(rows, starts)
         return (np.maximum(top + self.bias.reshape(-1), 0) @ self.dense + self.offset[0]).astype(np.float64)
 
-    def fit(self, hashed: list[np.ndarray], y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.004, seed: int = 2) -> None:
-        rng = np.random.default_rng(seed)
+    def fit(self, words: list[np.ndarray], y: np.ndarray, steps: int = TRAINING_STEPS, batch: int = BATCH, rate: float = 0.004, seed: int = 2) -> None:
+        """words: the word numbers of each text."""
         arrays = [self.emb, *self.filters, self.bias, self.dense, self.offset]
-        adam = Adam(arrays, rate)
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), batch):
-                part = order[at : at + batch]
-                counts = np.array([len(hashed[i]) for i in part], np.int64)
-                rows, starts = self.padded(self.rows(np.concatenate([hashed[i] for i in part])), counts)
-                top, responses = self.pooled(rows, starts, self.tables())
-                hidden = np.maximum(top + self.bias.reshape(-1), 0)
-                slope = (sigmoid(hidden @ self.dense + self.offset[0]) - y[part]).astype(np.float32) / len(part)
-                grads = [np.zeros_like(a) for a in arrays]
-                grads[-1][0], grads[-2][:] = slope.sum(), slope @ hidden
-                back = (slope[:, None] * self.dense) * (hidden > 0)
-                lengths = np.maximum(counts, 1)
-                for k, w in enumerate(WIDTHS):
-                    g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    grads[-3][k] = g.sum(0)
-                    best = np.stack([responses[k][s : s + n].argmax(0) + s for s, n in zip(starts, lengths, strict=True)])
-                    for j in range(w):
-                        r = rows[best + j]
-                        np.add.at(grads[0], r, g[:, :, None] * self.filters[k][j].T[None])
-                        grads[1 + k][j] = np.einsum("bfd,bf->df", self.emb[r], g)
-                grads[0][0] = 0
-                adam.step(grads)
+        adam, known = Adam(arrays, rate), [self.rows(x).astype(np.int32) for x in words]
+        for _, part in batches_of(len(y), batch, steps, seed):
+            counts = np.array([len(known[i]) for i in part], np.int64)
+            rows, starts = self.padded(np.concatenate([known[i] for i in part]), counts)
+            top, responses = self.pooled(rows, starts)
+            hidden = np.maximum(top + self.bias.reshape(-1), 0)
+            slope = (sigmoid(hidden @ self.dense + self.offset[0]) - y[part]).astype(np.float32) / len(part)
+            adam.step(self.gradients(rows, starts, np.maximum(counts, 1), responses, hidden, slope))
+
+    def gradients(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, responses: list[np.ndarray], hidden: np.ndarray, slope: np.ndarray) -> list[np.ndarray]:
+        """Of the loss by emb, each of filters, bias, dense and offset. slope: of the loss by each text's logit."""
+        grads = [np.zeros_like(a) for a in (self.emb, *self.filters, self.bias, self.dense, self.offset)]
+        grads[-1][0], grads[-2][:] = slope.sum(), slope @ hidden
+        back = (slope[:, None] * self.dense) * (hidden > 0)
+        for k, w in enumerate(WIDTHS):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            grads[-3][k] = g.sum(0)
+            best = np.stack([responses[k][s : s + n].argmax(0) + s for s, n in zip(starts, lengths, strict=True)])
+            for j in range(w):
+                r = rows[best + j]
+                np.add.at(grads[0], r, g[:, :, None] * self.filters[k][j].T[None])
+                grads[1 + k][j] = np.einsum("bfd,bf->df", self.emb[r], g)
+        grads[0][0] = 0
+        return grads
 
     def language(self, hashed: np.ndarray, counts: np.ndarray) -> list[str]:
         """The language whose function words are the most of each text; the first by name on ties, "" without any."""
@@ -147,7 +146,8 @@ class Toxicity:
         return [LANGUAGES[b] if max(v) else "" for b, v in zip(best, np.array(votes).T, strict=True)]
 
     def calibrate(self, logits: np.ndarray, languages: list[str], y: np.ndarray, least: int = 15) -> None:
-        """The logit that gives the best F1 for all, and for each language with `least` toxic documents or more."""
+        """The logit that gives the best F1 for each language with `least` toxic documents or more, and for all others
+        together; without any toxic document 0 stays, a probability of a half."""
 
         def best(x: np.ndarray, t: np.ndarray) -> float:
             order = np.argsort(-x, kind="stable")
@@ -157,7 +157,7 @@ class Toxicity:
             i = int(np.argmax(f1))
             return float((x[i] + x[i + 1]) / 2 if i + 1 < len(x) else x[i] - 1e-3)
 
-        if y.sum() >= 5:
+        if y.sum():
             self.thresholds[""] = best(logits, y)
         for k in LANGUAGES:
             mine = np.array([z == k for z in languages], bool)
@@ -170,7 +170,8 @@ class Toxicity:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = MAX_LABELLED) -> Toxicity:
-    """Fits on the driver. Words are hashed on the executors, so that the driver gets numbers of `most` texts at most."""
+    """Fits on the driver. Words are hashed on the executors, so that the driver gets numbers of `most` texts at most, none of
+    them over labelled.LONGEST characters. One rule holds at all sizes; of few documents few words have an embedding."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -180,28 +181,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     rows = training_sample(docs, labels, label, folds, held_out, most).mapInArrow(task, "doc_id long, label int, part long, words array<int>").toArrow().sort_by("doc_id")
     y, part = rows["label"].to_numpy().astype(np.float64), rows["part"].to_numpy()
-    lists = [np.asarray(x.values, np.int64) for x in rows["words"]]
-    learn = np.flatnonzero(part >= 15)
+    lists = [x.values.to_numpy() for x in rows["words"]]
+    learn = np.flatnonzero(part >= APART)
     distinct = [np.unique(lists[i]) for i in learn]
     numbers, seen = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    kept = numbers[seen >= (max(MIN_DOCS, len(learn) // 2000) if len(learn) >= 1000 else 2)]
+    kept = numbers[seen >= MIN_DOCS].astype(np.int64)
     toxic = [d for d, i in zip(distinct, learn, strict=True) if y[i]]
     bad = np.zeros(len(kept))
     if toxic and len(kept):
         hit, n = np.unique(np.concatenate(toxic), return_counts=True)
         at = np.minimum(np.searchsorted(hit, kept), len(hit) - 1)
         bad = np.where(hit[at] == kept, n[at], 0)
-    total = seen[np.isin(numbers, kept)]
+    total = seen[seen >= MIN_DOCS]
     base = max(1, len(toxic)) / max(2, len(learn))
     share = (bad + 4 * base) / (total + 4)
     odds = np.log(share / (1 - share)) - np.log(base / (1 - base))
     model = Toxicity(kept, np.clip(odds, -4, 4).astype(np.float32))
     if len(learn) and len(kept):
-        model.fit([lists[i] for i in learn], y[learn], epochs=4 if len(learn) >= 4000 else 12)
-    apart = np.flatnonzero(part < 15) if y[part < 15].sum() >= 15 else np.arange(len(y))
+        model.fit([lists[i] for i in learn], y[learn])
+    apart = np.flatnonzero(part < APART)
     if len(apart):
-        hashed, counts = np.concatenate([lists[i] for i in apart]), np.array([len(lists[i]) for i in apart], np.int64)
-        model.calibrate(model.logits(hashed, counts, model.tables()), model.language(hashed, counts), y[apart])
+        hashed, counts = np.concatenate([lists[i] for i in apart]).astype(np.int64), np.array([len(lists[i]) for i in apart], np.int64)
+        model.calibrate(model.logits(hashed, counts), model.language(hashed, counts), y[apart])
     return model
 
 
@@ -214,11 +215,10 @@ def toxicity(docs: DataFrame, model: Toxicity, folds: int = FOLDS, held_out: int
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.tables()
         for batch in slices(batches, most=1 << 20):
             words = Words(byte_texts(batch["text"]))
             languages = model.language(words.hashed, words.counts)
-            score = model.scores(model.logits(words.hashed, words.counts, tables), languages)
+            score = model.scores(model.logits(words.hashed, words.counts), languages)
             apart = [fold(d, folds) == held_out for d in batch["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(apart), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(languages)], names=["doc_id", "held_out", "score", "predicted", "guessed"])
 
