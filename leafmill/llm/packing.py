@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences by patterns and non-negative least squares.
 
 A pattern is a few lengths that together fill a sequence. Only the histogram of lengths (as many numbers as a sequence
-has tokens, whatever the corpus) comes to the driver. There patterns of two and three lengths are enumerated, how often
-each is used is fitted to the histogram by non-negative least squares, rounded down, and the residual lengths are
-packed best-fit decreasing, in classes of bins alike. The result is a list of slots: of length L the pieces of rank
+has tokens, whatever the corpus) comes to the driver. There patterns of two and three lengths, and of one length
+several times with what is left, are enumerated, how often each is used is fitted to the histogram by non-negative
+least squares, rounded down, and the residual lengths are packed best-fit decreasing, in classes of bins alike. The result is a list of slots: of length L the pieces of rank
 a to b go to these sequences at these offsets. Ranks are dealt in chunks of each length, so a length that a third of
 all pieces have is no task's alone.
 """
@@ -48,12 +48,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def patterns_of(counts: dict[int, int], capacity: int, partners: int = 6) -> list[tuple[int, ...]]:
-    """Pairs and triples of present lengths that fill a sequence exactly; for each first length of a triple the most frequent second ones."""
+def patterns_of(counts: dict[int, int], capacity: int, partners: int = 6, most: int = 9) -> list[tuple[int, ...]]:
+    """Patterns of present lengths that fill a sequence exactly, of `most` documents at most.
+
+    Pairs, triples (for each first length with the most frequent second ones), and a length as often as it fits with
+    one that fills the rest. What no pattern takes is packed best-fit, so partners bounds the work, not what is packed.
+    """
     present = sorted(counts, reverse=True)
     common = sorted(counts, key=lambda x: (-counts[x], -x))
     found = {(a, capacity - a) for a in present if 2 * a >= capacity and capacity - a in counts}
     for a in present:
+        times, rest = divmod(capacity, a)
+        if 2 < times + (rest > 0) <= most and (not rest or rest in counts):
+            found.add((a,) * times + ((rest,) if rest else ()))
         left, got = capacity - a, 0
         for b in common:
             c = left - b
@@ -90,21 +97,14 @@ def fitted(counts: dict[int, int], patterns: list[tuple[int, ...]], sweeps: int
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(repeats, [(length, how many in a sequence)]) of all sequences that hold the lengths counted.
-
-    With patterns, or best-fit decreasing alone where that takes fewer (few documents leave little to fit)."""
-    made = [_plan(counts, capacity, patterns) for patterns in (True, False)]
-    return min(made, key=lambda p: sum(n for n, _ in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, with_patterns: bool) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(repeats, [(length, how many in a sequence)]) of all sequences that hold the lengths counted."""
     left = {k: v for k, v in counts.items() if v > 0}
     if any(not 0 < k <= capacity for k in left):
         raise ValueError("a length is over the capacity")
     out: list[tuple[int, list[tuple[int, int]]]] = []
     if capacity in left:
         out.append((left.pop(capacity), [(capacity, 1)]))
-    patterns = patterns_of(left, capacity) if with_patterns else []
+    patterns = patterns_of(left, capacity)
     for p, x in sorted(zip(patterns, fitted(left, patterns), strict=True), key=lambda t: -t[1]):
         rows = [(k, p.count(k)) for k in dict.fromkeys(p)]
         n = min([int(x), *(left[k] // m for k, m in rows)])
