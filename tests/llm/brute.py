@@ -112,3 +112,61 @@ def base_scores(docs):
     c = Counter(w for d, ws in tokens.items() if not apart[d] for w in ws)
     n, v = sum(c.values()), len(c)
     return {d: (apart[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in tokens.items()}
+
+
+def context(text, i, order):
+    """How many of the bytes before place i are missing, and the others."""
+    return max(0, order - i), text[max(0, i - order) : i]
+
+
+def cell(text, i):
+    """Which path the symbol at place i has: by the byte before and by itself, 256 for none and the end."""
+    return (text[i - 1] if i else 256) * 257 + (text[i] if i < len(text) else 256)
+
+
+def contexts(corpus, tree, orders):
+    """How often each bit came at each node of the tree in each context: {(predictor, context, node, bit): n}."""
+    from collections import Counter
+
+    told = Counter()
+    for text in corpus:
+        for i in range(len(text) + 1):
+            at = cell(text, i)
+            for k, order in enumerate(orders):
+                for j in range(tree.lens[at]):
+                    told[k, context(text, i, order), tree.inner[j, at], tree.bits[j, at]] += 1
+    return told
+
+
+def mixed(text, tree, told, start, of):
+    """log2 of the chance of a text and its end; `of` has the constants."""
+    import math
+
+    weights = [[float(w) for w in row] for row in start]
+    refined = [(b + 0.5) / of.BUCKETS for b in range(of.BUCKETS)]
+    total = 0.0
+    for a in range(0, len(text) + 1, of.STRIDE):
+        moves, bits, seen = [[0.0] * len(of.ORDERS) for _ in range(of.GATES)], [0] * of.GATES, [[0, 0] for _ in range(of.BUCKETS)]
+        for i in range(a, min(a + of.STRIDE, len(text) + 1)):
+            at = cell(text, i)
+            for j in range(tree.lens[at]):
+                gate, bit = min(j, of.GATES - 1), int(tree.bits[j, at])
+                given = []
+                for k, order in enumerate(of.ORDERS):
+                    zero, one = (told[k, context(text, i, order), tree.inner[j, at], b] for b in (0, 1))
+                    given.append(max(-127, min(127, round(math.log((one + 0.4) / (zero + 0.4)) * of.STEP))))
+                fine = max(0, min(2 * of.LIMIT * of.FINE, int(sum(w * g for w, g in zip(weights[gate], given, strict=True)) / of.STEP * of.FINE + of.LIMIT * of.FINE + 0.5)))
+                chance = 1 / (1 + math.exp(-(fine / of.FINE - of.LIMIT)))
+                bucket = min(int(chance * of.BUCKETS), of.BUCKETS - 1)
+                final = 0.75 * chance + 0.25 * refined[bucket]
+                total += math.log2(final if bit else 1 - final)
+                bits[gate] += 1
+                seen[bucket][bit] += 1
+                for k, g in enumerate(given):
+                    moves[gate][k] += (bit - chance) * g
+        for gate in range(of.GATES):
+            for k in range(len(of.ORDERS)):
+                weights[gate][k] += min(of.RATE, 0.5 / max(bits[gate], 1)) / of.STEP * moves[gate][k]
+        for b, (zero, one) in enumerate(seen):
+            refined[b] += (one - (zero + one) * refined[b]) / (zero + one + of.LAG)
+    return total

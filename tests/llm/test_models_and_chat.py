@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import brute
 import numpy as np
@@ -39,7 +40,7 @@ def test_toxicity_guesses_languages():
     words = toxicity.Words([b"the cat and the dog of it", "der Hund und die Katze ist".encode(), b"zzz", b""])
     model = toxicity.Toxicity(np.zeros(0, np.int64), np.zeros(0, np.float32))
     assert model.language(words.hashed, words.counts) == ["en", "de", "", ""]
-    assert model.logits(words.hashed, words.counts, model.tables()).shape == (4,)
+    assert model.logits(words.hashed, words.counts).shape == (4,)
 
 
 def test_quality(tables, docs, odd, none):
@@ -74,21 +75,86 @@ def test_lm_base(spark, docs, texts):
     assert all(r.score <= 0 for r in rows) and {r.doc_id for r in rows if r.bits_per_byte is None} == {2, 3}
 
 
+def slopes(loss, arrays, grads, picks=12):
+    """Gradients against differences, at some places of each array (of 64-bit floats)."""
+    rng = np.random.default_rng(0)
+    for array, grad in zip(arrays, grads, strict=True):
+        flat, given = array.reshape(-1), np.asarray(grad, np.float64).reshape(-1)
+        for i in {int(np.abs(given).argmax()), *rng.integers(0, len(flat), picks).tolist()}:
+            old, ends = flat[i], []
+            for step in (1e-5, -1e-5):
+                flat[i] = old + step
+                ends.append(loss())
+            flat[i] = old
+            assert math.isclose((ends[0] - ends[1]) / 2e-5, given[i], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_toxicity_against_loops():
+    texts = [b"a b c a d", b"", b"b", b"zzz a zzz b c c"]
+    words = toxicity.Words(texts)
+    model = toxicity.Toxicity(np.unique(toxicity.Words([b"a b c d"]).hashed), np.array([0.5, -1.0, 2.0, 0.1], np.float32))
+    for name in ("emb", "bias", "dense", "offset"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    model.filters, y = [f.astype(np.float64) for f in model.filters], np.array([1.0, 0.0, 0.0, 1.0])
+    model.emb[0] = 0
+    model.bias += np.linspace(0.01, 0.2, model.bias.size).reshape(model.bias.shape)  # off the kink at zero
+    want = []
+    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+        rows = [*model.rows(words.hashed[a:b]), *([0] * (2 if b > a else 3))]
+        tops = []
+        for k, f in enumerate(model.filters):
+            each = [[sum(model.emb[rows[i + j]] @ f[j][:, x] for j in range(len(f))) for i in range(max(b - a, 1))] for x in range(toxicity.FILTERS)]
+            tops += [max(0, max(e) + model.bias[k, x]) for x, e in enumerate(each)]
+        want.append(np.array(tops) @ model.dense + model.offset[0])
+    assert np.allclose(model.logits(words.hashed, words.counts), want)
+
+    def loss():
+        p = toxicity.sigmoid(model.logits(words.hashed, words.counts))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    rows, starts = model.padded(model.rows(words.hashed), words.counts)
+    top, responses = model.pooled(rows, starts)
+    hidden = np.maximum(top + model.bias.reshape(-1), 0)
+    slope = (toxicity.sigmoid(hidden @ model.dense + model.offset[0]) - y) / len(y)
+    grads = model.gradients(rows, starts, np.maximum(words.counts, 1), responses, hidden, slope)
+    slopes(loss, [model.emb[1:], *model.filters, model.bias, model.dense, model.offset], [grads[0][1:], *grads[1:]])
+
+
+def test_quality_against_loops(monkeypatch):
+    rng, q = random.Random(5), quality_classifier
+    texts = [b"", b"short", bytes(rng.randrange(256) for _ in range(1900)), b"The quick brown fox. " * 60]
+    net, y = q.ByteNet(), np.array([0.0, 1.0, 1.0, 0.0])
+    for name in ("emb", "filters", "bias", "dense", "offset"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.bias += np.linspace(0.01, 0.2, q.FILTERS)  # off the kink at zero
+    want = []
+    for text in texts:
+        n = max(-(-len(text) // q.STEP), q.STEPS)
+        data = [*text, *([q.PAD] * (n * q.STEP - len(text)))]
+        steps = [net.emb[data[i * q.STEP : (i + 1) * q.STEP]].reshape(-1) for i in range(n)]
+        response = np.array([sum(steps[i + j] @ net.filters[j] for j in range(q.STEPS)) for i in range(n - q.STEPS + 1)])
+        chunks = np.array([np.maximum(response[i : i + q.POSITIONS].max(0) + net.bias, 0) for i in range(0, len(response), q.POSITIONS)])
+        want.append(q.sigmoid(np.concatenate([chunks.mean(0), chunks.max(0)]) @ net.dense + net.offset[0]))
+    assert np.allclose(net.scores(texts), want)
+    monkeypatch.setattr(q, "STRETCH", 7)
+    assert np.allclose(net.scores(texts), want)
+    loss = lambda: -np.mean(y * np.log(net.scores(texts)) + (1 - y) * np.log(1 - net.scores(texts)))
+    grads = net.gradients(texts, y)
+    slopes(loss, [net.emb[:256], net.filters, net.bias, net.dense, net.offset], [grads[0][:256], *grads[1:]])
+
+
 def test_lm_learns_and_is_a_code():
     """Seen text is cheaper, and the chances of all one-byte texts sum to one at most."""
     corpus = [("the cat sat on the mat and " * 30).encode()] * 5
-    counts = np.bincount(np.frombuffer(b"".join(corpus), np.uint8), minlength=257)
-    counts[256] = 5
-    tree = lm_scoring.Tree(counts)
-    bits = np.zeros((lm_scoring.PREDICTORS, 2 * lm_scoring.SLOTS), np.int32)
-    lm_scoring.count_bits(tree, corpus, bits)
-    logits = np.clip(np.rint(np.log((bits[:, 1::2] + 0.4) / (bits[:, ::2] + 0.4)) * lm_scoring.STEP), -127, 127).astype(np.int8)
-    mixer = lm_scoring.Mixer(tree, logits)
-    seen, unseen = mixer.scores([b"the cat sat on the mat", b"qzx kvj wwy pfh ggt uuo"])
-    assert seen > unseen
-    assert np.exp2(mixer.scores([bytes([b]) for b in range(256)] + [b""])).sum() <= 1.001
-    together = mixer.scores([b"the cat", b"", b"a longer text than the others by far " * 20])
-    assert np.allclose(together, [mixer.scores([x])[0] for x in (b"the cat", b"", b"a longer text than the others by far " * 20)])
+    tree = lm_scoring.Tree(lm_scoring.cell_counts(corpus))
+    texts = [b"the cat sat on the mat", b"qzx kvj wwy pfh ggt uuo", *(bytes([b]) for b in range(256)), b"", b"the cat", b"a longer text than the others by far " * 20]
+    every = corpus + texts
+    keys, n = lm_scoring.symbol_counts(tree, every, np.arange(len(every)) < len(corpus))
+    mixer = lm_scoring.Mixer(tree, lm_scoring.Known(tree, keys, lm_scoring.node_logits(tree, keys, n)))
+    scores = mixer.scores(texts)
+    assert scores[0] > scores[1]
+    assert np.exp2(scores[2:259]).sum() <= 1.001
+    assert np.allclose(scores, [mixer.scores([x])[0] for x in texts])
 
 
 def test_lm_odd(spark, odd, none):
@@ -140,7 +206,7 @@ def test_parts_and_spool(spark, monkeypatch):
     assert got.n_turns == 200 and got.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
     assert got.loss_sha256 == hashlib.sha256("".join(r[5] for r in rows if r[4] == "assistant").encode()).hexdigest()
     monkeypatch.setattr(chat, "SPOOL", 10)
-    talk = chat.Conversation()
+    talk = chat.Conversation("file:///tmp/leafmill-shared/test-chat")
     for _, _, kind, message, role, text in rows[:5]:
         talk.apply(kind, message, role, text)
     assert list(talk) == [(r[4], r[5]) for r in rows[:5]]

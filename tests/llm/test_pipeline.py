@@ -5,6 +5,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+from test_shingle_dedup import brute as first_similar
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -20,7 +21,7 @@ def test_run(spark):
     found = judge([docs[i].text.encode() for i in ids], 50, 50, 40)
     texts = {i: t for i, t, k in zip(ids, found["clean_text"].to_pylist(), found["kept"], strict=True) if k}
     assert {i for i in texts} <= {i for i, v in brute.rules({i: docs[i].text for i in ids}).items() if not v[5]}
-    texts = {i: texts[i] for i, (_, c) in brute.simhash(texts).items() if c == i}
+    texts = {i: texts[i] for i in first_similar(texts)}
     removed = brute.removed(texts)
     texts = {i: t for i, t in texts.items() if removed[i][1] < removed[i][0]}
     stage = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -49,3 +50,30 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_ids_are_in_the_table(spark):
+    rows = corpus_pipeline.packing(spark, spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string"), SF).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert {r.doc_id: r.ids for r in rows}[2] == [0]
+
+
+def test_odd_rows_and_columns(spark):
+    """Null, empty, repeated and tied rows, and columns of odd names and types, through each stage."""
+    from conftest import prose
+
+    text = "\n".join(prose(i, 40) for i in range(3))
+    rows = [(1, text, {"a": 1}, [1], "x"), (1, text, {"a": 1}, [1], "x"), (2, None, None, None, None), (3, "", {}, [], ""), (None, text, None, None, "y"), (None, None, None, None, None), (4, text + " tail.", {"b": 2}, [2], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `my col` map<string, int>, `a.b` array<int>, `n_words` string")
+    stages = dict(corpus_pipeline.STAGES)
+    made = {name: stage(spark, docs, SF) for name, stage in stages.items()}
+    for name, df in list(made.items())[:-1]:
+        assert df.schema == docs.schema or df.columns == docs.columns, name
+    ids = {name: sorted((r.doc_id or 0) for r in df.collect()) for name, df in made.items()}
+    assert ids["quality_rules"] == [0, 1, 1, 4]
+    assert ids["near_dedup"] == [0, 0, 1, 2]
+    assert ids["substring_dedup"] == [0, 0, 2, 3, 4]
+    assert ids["decontamination"] == [0, 0, 1, 1, 2, 3, 4]
+    assert ids["packing"] == [0, 0, 1, 1, 2, 3, 4]
+    tail = {r.doc_id: r for r in made["substring_dedup"].collect()}[4]
+    assert tail.text == "tail." and tail["my col"] == {"b": 2} and tail["a.b"] == [2]
