@@ -9,24 +9,24 @@ from leafmill.functions import text as T
 
 
 def ocr_lines(words: DataFrame, scale: float = 72 / 300) -> DataFrame:
-    """Lines from recognised words (page, seq, text, conf, block, par, line, left, top, width, height): text and box in points.
+    """Lines from recognised words (book, page, seq, text, conf, block, par, line, left, top, width, height): text and box in points.
 
     Words without text or confidence are structure and don't count; a line's size is its height, one point at least.
     """
     shown = words.filter((F.col("conf") >= 0) & (T.stripped(F.col("text")) != ""))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     box = {"x0": F.min("left"), "y0": F.min("top"), "x1": F.max(F.col("left") + F.col("width")), "y1": F.max(F.col("top") + F.col("height"))}
-    lines = shown.groupBy("page", "block", "par", "line").agg(F.min("seq").alias("seq"), F.array_join(parts, " ").alias("text"), *((c * scale).alias(k) for k, c in box.items()))
+    lines = shown.groupBy("book", "page", "block", "par", "line").agg(F.min("seq").alias("seq"), F.array_join(parts, " ").alias("text"), *((c * scale).alias(k) for k, c in box.items()))
     return lines.withColumn("size", F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)))
 
 
 def span_groups(spans: DataFrame) -> DataFrame:
-    """Blocks from the spans (page, line, seq, text, font, size, flags, x0, y0, x1, y1) of lines, one for each run of a style.
+    """Blocks from the spans (book, page, line, seq, text, font, size, flags, x0, y0, x1, y1) of lines, one for each run of a style.
 
     Flags are equal and sizes nearly, in a run; the font's name doesn't count. A gap over a fifth of the size becomes a
     space unless there is one. Bits 0, 1 and 4 of the flags are superscript, italic and bold.
     """
-    order = Window.partitionBy("page", "line").orderBy("seq")
+    order = Window.partitionBy("book", "page", "line").orderBy("seq")
     before = {c: F.lag(c).over(order) for c in ("flags", "size", "x1", "text")}
     small, large = F.least("size", before["size"]), F.greatest("size", before["size"])
     marker = F.when(F.col("size") <= before["size"], F.col("text")).otherwise(before["text"]).rlike(r"^[\d*†‡§¶]{1,3}$")
@@ -36,7 +36,7 @@ def span_groups(spans: DataFrame) -> DataFrame:
     rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "_part"))), lambda x: x["_part"])
     bit = lambda i: F.min_by("flags", "seq").bitwiseAND(F.lit(1 << i)) != 0
-    return rows.groupBy("page", "line", "run").agg(
+    return rows.groupBy("book", "page", "line", "run").agg(
         F.array_join(parts, "").alias("text"), F.min_by("font", "seq").alias("font"), F.round(F.min_by("size", "seq"), 2).alias("size"),
         bit(0).alias("superscript"), bit(1).alias("italic"), bit(4).alias("bold"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -57,34 +57,59 @@ def bookmark_blocks(bookmarks: DataFrame, blocks: DataFrame) -> DataFrame:
     return near.withColumn("n", F.row_number().over(order)).filter("n = 1").select("book", "page", "mark", "title", "seq", "text")
 
 
-CHAPTER_LABEL = r"(?i)^(?:chapter|ch\.?|part|section|book|no\.?|number)?\s*(?:(?=[MDCLXVI])M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})|\d+)\.?$"
+#: What may stand before the number of a chapter.
+LABEL_WORDS = ["chapter", "ch", "part", "section", "book", "no", "number"]
+#: The numerals of a thousand, and of hundreds, tens and units from none to nine.
+ROMAN = ["M", "C CC CCC CD D DC DCC DCCC CM", "X XX XXX XL L LX LXX LXXX XC", "I II III IV V VI VII VIII IX"]
+
+
+def is_chapter_label(c: Column) -> Column:
+    """A number in digits or Roman numerals, with one of LABEL_WORDS before it or alone, and a full stop or none."""
+    t = F.upper(F.regexp_replace(T.stripped(c), "[.]$", ""))
+    named = F.regexp_replace(t, rf"^({'|'.join(w.upper() for w in LABEL_WORDS)})[.]?{T.SPACES}*", "")
+    digit = lambda names: "(?:" + "|".join(sorted(names.split(), key=len, reverse=True)) + ")?"
+    roman = "^" + ROMAN[0] + "{0,4}" + "".join(digit(x) for x in ROMAN[1:]) + "$"
+    is_number = lambda x: (x != "") & (x.rlike("^[0-9]+$") | x.rlike(roman))
+    return is_number(named) | is_number(t)
 
 
 def titled(headings: DataFrame, blocks: DataFrame) -> DataFrame:
     """headings (book, page, seq, text) with the next block's text after a bare chapter's label, if it is short."""
     after = F.lead("text").over(Window.partitionBy("book", "page").orderBy("seq"))
     following = blocks.select("book", "page", "seq", after.alias("after"))
-    label = T.stripped(F.col("text")).rlike(CHAPTER_LABEL)
+    label = is_chapter_label(F.col("text"))
     both = headings.join(following, ["book", "page", "seq"], "left")
     use = label & F.col("after").isNotNull() & (T.n_words(F.col("after")).between(1, 12))
     return both.select("book", "page", "seq", F.when(use, F.concat_ws(": ", T.stripped(F.col("text")), T.stripped(F.col("after")))).otherwise(F.col("text")).alias("title"))
 
 
 def entry_markers(blocks: DataFrame, labels: list[str], pattern: str) -> DataFrame:
-    """book, marker: numbers that begin blocks after a label of the section; the section doesn't end."""
-    order = Window.partitionBy("book").orderBy("page", "seq")
+    """book, marker: numbers that begin blocks after a label of the section; the section doesn't end.
+
+    Only where a book's first label is comes from all its blocks, by an aggregate; no book is sorted.
+    """
     is_label = F.regexp_replace(T.collapsed(F.col("text")), "[.:]+$", "").isin(labels)
-    inside = F.max(is_label).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marker = F.regexp_extract("text", pattern, 1)
-    rows = blocks.withColumn("_label", is_label).withColumn("_in", inside).withColumn("marker", marker)
-    return rows.filter("_in AND NOT _label AND marker <> ''").select("book", "marker").distinct()
+    opens = blocks.filter(is_label).groupBy("book").agg(F.min(F.struct("page", "seq")).alias("_open"))
+    rows = blocks.withColumn("marker", F.regexp_extract("text", pattern, 1)).filter((F.col("marker") != "") & ~is_label)
+    return rows.join(opens, "book").filter(F.struct("page", "seq") > F.col("_open")).select("book", "marker").distinct()
+
+
+def unique_names(names: Column) -> Column:
+    """An array of names with 2, 3 and so on after those that are taken, upper and lower case alike, in order."""
+
+    def step(done: Column, name: Column) -> Column:
+        taken = F.transform(done, F.lower)
+        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda i: F.when(i == 1, name).otherwise(F.concat_ws(" ", name, i.cast("string"))))
+        return F.array_append(done, F.filter(tries, lambda x: ~F.array_contains(taken, F.lower(x)))[0])
+
+    return F.aggregate(names, F.array().cast("array<string>"), step)
 
 
 def unique_stems(titles: DataFrame) -> DataFrame:
-    """book, number, stem: names for files, with 2, 3 and so on after the ones that repeat, upper and lower case alike."""
-    stem = T.file_name(F.col("title"))
-    nth = F.row_number().over(Window.partitionBy("book", F.lower("stem")).orderBy("number"))
-    return titles.withColumn("stem", stem).withColumn("n", nth).select("book", "number", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws(" ", "stem", "n")).alias("stem"))
+    """book, number, stem: names for the files of a book, which one row holds while they are chosen."""
+    rows = titles.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("number", T.file_name(F.col("title")).alias("stem")))).alias("x"))
+    named = rows.select("book", F.arrays_zip(F.col("x.number").alias("number"), unique_names(F.col("x.stem")).alias("stem")).alias("y"))
+    return named.select("book", F.explode("y").alias("z")).select("book", "z.number", "z.stem")
 
 
 def skeleton(headings: DataFrame, blocks: DataFrame, snippet: int = 80) -> DataFrame:

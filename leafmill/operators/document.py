@@ -19,9 +19,9 @@ BACK_LABELS = ["glossary", "bibliography", "references", "works cited", "index",
 
 
 def tables(rows: DataFrame) -> DataFrame:
-    """page, cells: the rows (page, seq, cells) of each page that has two or more, in order."""
+    """book, page, cells: the rows (book, page, seq, cells) of each page that has two or more, in order."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("seq", "cells"))), lambda x: x["cells"])
-    return rows.groupBy("page").agg(cells.alias("cells")).filter("size(cells) >= 2")
+    return rows.groupBy("book", "page").agg(cells.alias("cells")).filter("size(cells) >= 2")
 
 
 def is_complex(cells: Column) -> Column:
@@ -29,10 +29,16 @@ def is_complex(cells: Column) -> Column:
 
 
 def filled(found: DataFrame) -> DataFrame:
-    """page, r, col, cell, merged: empty cells take the last one above that isn't."""
-    flat = found.select("page", F.posexplode("cells").alias("r", "row")).select("page", "r", F.posexplode("row").alias("col", "raw"))
-    above = Window.partitionBy("page", "col").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return flat.select("page", "r", "col", F.coalesce(F.last(F.nullif("raw", F.lit("")), True).over(above), F.lit("")).alias("cell"), (F.col("raw") == "").alias("merged"))
+    """book, page, r, col, cell, merged: cells with one space between words; empty ones take the last one above that isn't."""
+    flat = found.select("book", "page", F.posexplode("cells").alias("r", "row")).select("book", "page", "r", F.posexplode("row").alias("col", "raw"))
+    flat = flat.withColumn("raw", T.stripped(F.regexp_replace("raw", f"{T.SPACES}+", " ")))
+    above = Window.partitionBy("book", "page", "col").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    return flat.select("book", "page", "r", "col", F.coalesce(F.last(F.nullif("raw", F.lit("")), True).over(above), F.lit("")).alias("cell"), (F.col("raw") == "").alias("merged"))
+
+
+def tables_found(grids: DataFrame) -> DataFrame:
+    """Grids (cells, an array of rows) that are tables: two rows or more, each of two cells or more."""
+    return grids.filter((F.size("cells") >= 2) & F.forall("cells", lambda r: F.size(r) >= 2))
 
 
 def pipe_table(cells: Column) -> Column:
@@ -108,8 +114,10 @@ def footnote_faults(files: DataFrame) -> DataFrame:
 
 
 def image_faults(files: DataFrame, disk: DataFrame) -> DataFrame:
-    refs = _of(files, r"!\[\[([^\]]+)\]\]", "image").select("image").distinct()
-    return refs.join(disk, "image", "left_anti").withColumn("fault", F.lit("missing")).unionByName(disk.join(refs, "image", "left_anti").withColumn("fault", F.lit("unused")))
+    """book, image, fault: images that a book's files (book, file, body) show but it hasn't, and the other way."""
+    refs = files.select("book", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"!\[\[([^\]]+)\]\]"), 1))).alias("image")).distinct()
+    on = ["book", "image"]
+    return refs.join(disk, on, "left_anti").withColumn("fault", F.lit("missing")).unionByName(disk.join(refs, on, "left_anti").withColumn("fault", F.lit("unused")))
 
 
 def heading_jumps(files: DataFrame) -> DataFrame:
@@ -125,13 +133,27 @@ def size_faults(files: DataFrame, least: int = 500, most: int = 200_000) -> Data
     return files.select("file", size.alias("size"), F.when(size < least, "small").when(size > most, "large").alias("fault")).filter("fault IS NOT NULL")
 
 
-def unclaimed(spans: DataFrame) -> DataFrame:
-    """book, page of the pages of each book, 1 to the last, that no span claims."""
-    claimed = spans.select("book", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    every = spans.groupBy("book").agg(F.max("end_page").alias("total")).select("book", F.explode(F.sequence(F.lit(1).cast("long"), "total")).alias("page"))
+def unclaimed(books: DataFrame, spans: DataFrame, zones: DataFrame) -> DataFrame:
+    """book, page of the pages of each book (book, total) that neither a chapter's span nor a zone of front or back claims.
+
+    spans: book, start_page, end_page; zones: the same with zone. page_ranges puts the pages into words.
+    """
+    matter = zones.filter(F.col("zone").isin("front", "back")).select("book", "start_page", "end_page")
+    claimed = spans.select("book", "start_page", "end_page").unionByName(matter).filter("end_page >= start_page")
+    claimed = claimed.select("book", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    every = books.filter("total > 0").select("book", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("page"))
     return every.join(claimed, ["book", "page"], "left_anti")
 
 
+def report(chapters: DataFrame, footnotes: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    """book, total_chapters, total_footnotes, total_images, ocr_pages: counts of the rows of each, which have a book; pages a true `ocrd`."""
+    counts = [rows.groupBy("book").agg(n.alias(name)) for rows, n, name in ((chapters, F.count("*"), "total_chapters"), (footnotes, F.count("*"), "total_footnotes"), (images, F.count("*"), "total_images"))]
+    out = pages.groupBy("book").agg(F.count_if("ocrd").alias("ocr_pages"))
+    for c in counts:
+        out = out.join(c, "book", "left")
+    return out.select("book", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("total_chapters", "total_footnotes", "total_images", "ocr_pages")))
+
+
 def renumbered(notes: DataFrame, book: str, at: str) -> DataFrame:
     clash = notes.groupBy(book).agg((F.count("*") != F.count_distinct("marker")).alias("clash"), F.min(F.col("marker").rlike("^[0-9]+$")).alias("digits"))
     number = F.row_number().over(Window.partitionBy(book).orderBy(at)).cast("string")
@@ -169,14 +191,19 @@ def note_links(c: Column, mark: str, stem: str, prefix: str) -> Column:
     return F.regexp_replace(c, f"{mark}([^{mark}]+){mark}", f"[[{stem}#^{prefix}-$1|$1]]")
 
 
-def corrections(answers: DataFrame, key: str, n_headings: int) -> DataFrame:
-    """key, id, action, new_level of the corrections in answers that can be followed."""
+def corrections(answers: DataFrame, key: str) -> DataFrame:
+    """key, id, action, new_level of the corrections in answers (key, answer, n_headings) that can be followed.
+
+    Of several of one heading the first in the answer counts, if it can be followed. Demotions of all headings count as none.
+    """
     fenced = F.regexp_extract("answer", r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     bare = F.regexp_extract("answer", r"(?s)(\{.*\})", 1)
     parsed = F.from_json(F.when(fenced != "", fenced).otherwise(bare), "corrections array<struct<id: int, action: string, new_level: int>>")
-    rows = answers.select(key, F.inline(parsed["corrections"]))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(key, "id").orderBy("action", "new_level"))).filter("n = 1").drop("n")
-    return first.filter((F.col("id").between(1, n_headings)) & (F.col("action").isin("keep", "demote", "set_part") | ((F.col("action") == "set_level") & (F.col("new_level") >= 1))))
+    rows = answers.select(key, "n_headings", F.posexplode(parsed["corrections"]).alias("at", "x")).select(key, "n_headings", "at", "x.*")
+    allowed = F.col("id").between(1, F.col("n_headings")) & (F.col("action").isin("keep", "demote", "set_part") | ((F.col("action") == "set_level") & (F.col("new_level") >= 1)))
+    first = rows.filter(allowed).withColumn("n", F.row_number().over(Window.partitionBy(key, "id").orderBy("at"))).filter("n = 1")
+    gone = F.count_if(F.col("action") == "demote").over(Window.partitionBy(key))
+    return first.withColumn("gone", gone).filter("NOT (action = 'demote' AND gone >= n_headings)").select(key, "id", "action", "new_level")
 
 
 def scorecard(signs: DataFrame) -> DataFrame:
@@ -186,32 +213,54 @@ def scorecard(signs: DataFrame) -> DataFrame:
 
 
 def alike(edges: DataFrame, least: int = 5, ratio: float = 0.82) -> DataFrame:
-    """book, band, first, n_pages: clusters of lines that are like their first member, on `least` pages or more.
+    """book, band, first, n_lines, members: clusters of `least` lines or more that are like their first one.
 
-    Equal lines are grouped before, with their first page and the number of pages, so a task gets the distinct lines of
-    a book's band, not its pages.
+    Each line goes to the cluster whose first line it is like the most. Equal lines are grouped before, with the place
+    of the first and their number, so a task gets the distinct lines of a book's band, not its pages.
     """
-    distinct = edges.groupBy("book", "band", "norm").agg(F.min("page").alias("page"), F.count_distinct("page").alias("n"))
+    distinct = edges.groupBy("book", "band", "norm").agg(F.min(F.struct("page", "seq")).alias("at"), F.count("*").alias("n")).select("book", "band", "norm", "at.page", "at.seq", "n")
 
     def cluster(key: tuple, rows: pa.Table) -> pa.Table:
         found: list[list] = []
-        order = sorted(zip(rows["page"].to_pylist(), rows["norm"].to_pylist(), rows["n"].to_pylist(), strict=True))
-        for _, norm, n in order:
-            for c in found:
-                m = SequenceMatcher(None, c[0], norm, autojunk=False)
-                if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio:
-                    c[1] += n
-                    break
+        for _, _, norm, n in sorted(zip(*(rows[c].to_pylist() for c in ("page", "seq", "norm", "n")), strict=True)):
+            best, most = None, 0.0
+            m = SequenceMatcher(None, norm)
+            for c in found:  # of those that are alike the most, the first of equal ones
+                m.set_seqs(norm, c[0])
+                if m.real_quick_ratio() >= max(ratio, most) and m.quick_ratio() >= max(ratio, most) and (now := m.ratio()) > most:
+                    best, most = c, now
+            if best is not None and most >= ratio:
+                best[1] += n
+                best[2].append(norm)
             else:
-                found.append([norm, n])
+                found.append([norm, n, [norm]])
         kept = [c for c in found if c[1] >= least]
-        return pa.table({"book": [key[0].as_py()] * len(kept), "band": [key[1].as_py()] * len(kept), "first": [c[0] for c in kept], "n_pages": [c[1] for c in kept]}, schema=pa.schema([("book", pa.string()), ("band", pa.string()), ("first", pa.string()), ("n_pages", pa.int64())]))
+        return pa.table({"book": [key[0].as_py()] * len(kept), "band": [key[1].as_py()] * len(kept), "first": [c[0] for c in kept], "n_lines": [c[1] for c in kept], "members": [c[2] for c in kept]}, schema=pa.schema([("book", pa.string()), ("band", pa.string()), ("first", pa.string()), ("n_lines", pa.int64()), ("members", pa.list_(pa.string()))]))
 
-    return distinct.groupBy("book", "band").applyInArrow(cluster, "book string, band string, first string, n_pages long")
+    return distinct.groupBy("book", "band").applyInArrow(cluster, "book string, band string, first string, n_lines long, members array<string>")
 
 
-def regions(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
-    """page, n, x0, y0, x1, y1: boxes of a page linked by gaps of `gap` or less on both axes, as one region each."""
+def edge_bands(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """book, page, seq, band, norm of the blocks that are in the top or bottom 15 hundredths of their page, or else
+    in its outer 12; digits are masked in norm."""
+    band = F.when(F.col("y1") <= 0.15 * page_height, "header").when(F.col("y0") >= page_height * (1 - 0.15), "footer")
+    band = band.when((F.col("x1") <= 0.12 * page_width) | (F.col("x0") >= page_width * (1 - 0.12)), "margin")
+    near = blocks.withColumn("band", band).filter("band IS NOT NULL")
+    return near.select("book", "page", "seq", "band", T.masked(F.col("text")).alias("norm")).filter("norm <> ''")
+
+
+def without_repeats(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """The blocks that aren't running headers, footers or margins, which five blocks of a book's band or more are like."""
+    edges = edge_bands(blocks, page_width, page_height)
+    running = alike(edges).select("book", "band", F.explode("members").alias("norm"))
+    return blocks.join(edges.join(running, ["book", "band", "norm"], "left_semi").select("book", "page", "seq"), ["book", "page", "seq"], "left_anti")
+
+
+def regions(boxes: DataFrame, exclude: DataFrame | None = None, gap: float = 10.0, least: float = 50.0) -> DataFrame:
+    """book, page, n, x0, y0, x1, y1: boxes of a page linked by gaps of `gap` or less on both axes, as one region each.
+
+    Regions of less than `least` on either side go, as do those that overlap a box of `exclude` (book, page and box).
+    """
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         b = sorted(zip(*(rows[c].to_pylist() for c in ("x0", "y0", "x1", "y1")), strict=True))
@@ -223,18 +272,26 @@ def regions(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
                 i = root[i]
             return i
 
+        open_: list[int] = []  # boxes that reach far enough to the right to be near the next ones
         for i, p in enumerate(b):
-            for j in range(i + 1, len(b)):
+            open_ = [j for j in open_ if p[0] - b[j][2] <= gap]
+            for j in open_:
                 q = b[j]
-                if q[0] - p[2] > gap:
-                    break
                 if q[1] - p[3] <= gap and p[1] - q[3] <= gap:
-                    root[find(j)] = find(i)
+                    root[find(i)] = find(j)
+            open_.append(i)
         out: dict[int, list] = {}
         for i, p in enumerate(b):
             r = out.setdefault(find(i), [0, *p])
             out[find(i)] = [r[0] + 1, min(r[1], p[0]), min(r[2], p[1]), max(r[3], p[2]), max(r[4], p[3])]
         cols = list(zip(*out.values(), strict=True))
-        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], names=["page", "n", "x0", "y0", "x1", "y1"])
-
-    return boxes.select("page", "x0", "y0", "x1", "y1").groupBy("page").applyInArrow(merge, "page long, n long, x0 double, y0 double, x1 double, y1 double")
+        n = len(out)
+        return pa.table([pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], names=["book", "page", "n", "x0", "y0", "x1", "y1"])
+
+    rows = boxes.select(F.col("book").cast("string").alias("book"), F.col("page").cast("long").alias("page"), "x0", "y0", "x1", "y1")
+    found = rows.groupBy("book", "page").applyInArrow(merge, "book string, page long, n long, x0 double, y0 double, x1 double, y1 double")
+    found = found.filter((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
+    if exclude is None:
+        return found
+    on = "a.book = b.book AND a.page = b.page AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
+    return found.alias("a").join(exclude.select(F.col("book").cast("string").alias("book"), F.col("page").cast("long").alias("page"), "x0", "y0", "x1", "y1").alias("b"), F.expr(on), "left_anti")

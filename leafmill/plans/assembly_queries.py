@@ -31,30 +31,30 @@ _ROWS = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_par
 
 
 @query(
-    f"""WITH w AS (SELECT l_orderkey AS page, CAST({_ROWS} AS INTEGER) AS seq, {', '.join(f'{v} AS {k}' for k, v in _WORD.items())} FROM lineitem)
-    SELECT page, line, min(seq) AS seq, string_agg(text, ' ' ORDER BY seq) AS text, round(min(left_) * 0.24, 6) AS x0, round(max(left_ + width) * 0.24, 6) AS x1, round(greatest(max(top_ + height) * 0.24 - min(top_) * 0.24, 1.0), 6) AS size
-    FROM w WHERE conf >= 0 AND trim(text) <> '' GROUP BY page, line"""
+    f"""WITH w AS (SELECT l_orderkey % 3 AS book, l_orderkey // 3 AS page, CAST({_ROWS} AS INTEGER) AS seq, {', '.join(f'{v} AS {k}' for k, v in _WORD.items())} FROM lineitem)
+    SELECT book, page, line, min(seq) AS seq, string_agg(text, ' ' ORDER BY seq) AS text, round(min(left_) * 0.24, 6) AS x0, round(max(left_ + width) * 0.24, 6) AS x1, round(greatest(max(top_ + height) * 0.24 - min(top_) * 0.24, 1.0), 6) AS size
+    FROM w WHERE conf >= 0 AND trim(text) <> '' GROUP BY book, page, line"""
 )
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised words (here line items) as lines with boxes in points."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.expr(_ROWS).alias("seq"), *(F.expr(v).alias(k.rstrip("_")) for k, v in _WORD.items()))
+    """Recognised words (here line items; every third order is of one book) as lines with boxes in points."""
+    rows = read(spark, sf_dir, "lineitem").select(F.expr("l_orderkey % 3").alias("book"), F.expr("l_orderkey div 3").alias("page"), F.expr(_ROWS).alias("seq"), *(F.expr(v).alias(k.rstrip("_")) for k, v in _WORD.items()))
     found = A.ocr_lines(rows.withColumn("block", F.lit(0)).withColumn("par", F.lit(0)))
-    return found.select("page", "line", "seq", "text", *(F.round(c, 6).alias(c) for c in ("x0", "x1", "size")))
+    return found.select("book", "page", "line", "seq", "text", *(F.round(c, 6).alias(c) for c in ("x0", "x1", "size")))
 
 
 _SPAN = {"text": "substr(text, 1 + (seq * 3) % 9, 12)", "flags": "CAST(CASE WHEN (page + seq) % 4 = 0 THEN 18 WHEN (page + seq) % 4 = 1 THEN 1 ELSE 0 END AS INTEGER)", "size": "CAST(10 + (page + seq) % 3 * 0.04 AS DOUBLE)", "x0": "CAST(50 * seq + CASE WHEN seq % 2 = 0 THEN 5 ELSE 0 END AS DOUBLE)", "x1": "CAST(50 * seq + 50 AS DOUBLE)"}
 
 
 @query(
-    f"""WITH {BLOCKS_SQL}, s AS (SELECT page, seq, font, {', '.join(f'{v} AS {k}' for k, v in _SPAN.items())} FROM (SELECT page, seq, text, font FROM blocks)),
-    n AS (SELECT *, lag(flags) OVER w AS f0, lag(text) OVER w AS t0, lag(x1) OVER w AS e0 FROM s WHERE text <> '' WINDOW w AS (PARTITION BY page ORDER BY seq)),
-    r AS (SELECT *, CASE WHEN f0 = flags AND x0 - e0 > 0.2 * size AND NOT regexp_matches(text, '^[  ]') AND NOT regexp_matches(t0, '[  ]$') THEN concat(' ', text) ELSE text END AS part, sum(CASE WHEN f0 = flags THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY seq) AS run FROM n)
-    SELECT page, CAST(run AS BIGINT) AS run, string_agg(part, '' ORDER BY seq) AS text, arg_min(flags, seq) & 1 <> 0 AS superscript, arg_min(flags, seq) & 2 <> 0 AS italic, arg_min(flags, seq) & 16 <> 0 AS bold, max(x1) AS x1 FROM r GROUP BY page, run"""
+    f"""WITH {BLOCKS_SQL}, s AS (SELECT book, page, seq, font, {', '.join(f'{v} AS {k}' for k, v in _SPAN.items())} FROM (SELECT book, page // 2 AS page, CAST(seq * 2 + page % 2 AS INTEGER) AS seq, text, font FROM blocks)),
+    n AS (SELECT *, lag(flags) OVER w AS f0, lag(text) OVER w AS t0, lag(x1) OVER w AS e0 FROM s WHERE text <> '' WINDOW w AS (PARTITION BY book, page ORDER BY seq)),
+    r AS (SELECT *, CASE WHEN f0 = flags AND x0 - e0 > 0.2 * size AND NOT regexp_matches(text, '^[  ]') AND NOT regexp_matches(t0, '[  ]$') THEN concat(' ', text) ELSE text END AS part, sum(CASE WHEN f0 = flags THEN 0 ELSE 1 END) OVER (PARTITION BY book, page ORDER BY seq) AS run FROM n)
+    SELECT book, page, CAST(run AS BIGINT) AS run, string_agg(part, '' ORDER BY seq) AS text, arg_min(flags, seq) & 1 <> 0 AS superscript, arg_min(flags, seq) & 2 <> 0 AS italic, arg_min(flags, seq) & 16 <> 0 AS bold, max(x1) AS x1 FROM r GROUP BY book, page, run"""
 )
 def span_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans (pieces of a page's lines, as if on one line) grouped by style."""
-    rows = blocks(spark, sf_dir).select("page", "seq", "text", "font").select("page", F.lit(0).alias("line"), "seq", "font", *(F.expr(v).alias(k) for k, v in _SPAN.items()))
-    return A.span_groups(rows.withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(10.0))).select("page", "run", "text", "superscript", "italic", "bold", "x1")
+    rows = blocks(spark, sf_dir).select("book", F.expr("page div 2").alias("page"), F.expr("seq * 2 + page % 2").alias("seq"), "text", "font").select("book", "page", F.lit(0).alias("line"), "seq", "font", *(F.expr(v).alias(k) for k, v in _SPAN.items()))
+    return A.span_groups(rows.withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(10.0))).select("book", "page", "run", "text", "superscript", "italic", "bold", "x1")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM (SELECT *, l_quantity % 30 + 5 AS w, l_suppkey % 40 + 1 AS h FROM lineitem) WHERE w * h < 0.9 * 1000 AND w >= 15 AND h >= 15 AND w * h >= 225 AND l_partkey % 50 >= 20 AND l_suppkey % 45 >= 20 AND (l_partkey % 50) * (l_suppkey % 45) >= 400 GROUP BY l_orderkey")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import document as D
 from leafmill.operators import layout
-from leafmill.plans.tables import LINES_SQL, blocks, lines, read
+from leafmill.plans.layout_queries import boxes, verse_blocks
+from leafmill.plans.tables import BLOCKS_SQL, LINES_SQL, PAGE_HEIGHT, PAGE_WIDTH, blocks, lines, read
 from leafmill.plans.text_queries import _COLLAPSE, _STRIP
 from leafmill.sources import html as H
 
@@ -55,8 +56,8 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.as_markdown(H.flow(read(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
 
 
-_TABLES_SQL = rf"""{LINES_SQL}, rows_ AS (SELECT page, seq, list_transform(string_split(text, '|'), lambda c: {_STRIP.format("c")}) AS cells FROM lines WHERE len(string_split(text, '|')) >= 2),
-  tables AS (SELECT page, list(cells ORDER BY seq) AS cells FROM rows_ GROUP BY page HAVING count(*) >= 2)"""
+_TABLES_SQL = rf"""{LINES_SQL}, rows_ AS (SELECT book, page, seq, list_transform(string_split(text, '|'), lambda c: {_STRIP.format("c")}) AS cells FROM lines WHERE len(string_split(text, '|')) >= 2),
+  tables AS (SELECT book, page, list(cells ORDER BY seq) AS cells FROM rows_ GROUP BY book, page HAVING count(*) >= 2)"""
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +66,14 @@ def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tables(rows)
 
 
-@query(f"WITH {_TABLES_SQL} SELECT page, CAST(len(cells) AS INTEGER) AS n_rows, len(list_filter(cells, lambda r: len(r) > 8 OR len(list_filter(r, lambda c: length(c) > 80)) > 0)) > 0 AS complex FROM tables")
+@query(f"WITH {_TABLES_SQL} SELECT book, page, CAST(len(cells) AS INTEGER) AS n_rows, len(list_filter(cells, lambda r: len(r) > 8 OR len(list_filter(r, lambda c: length(c) > 80)) > 0)) > 0 AS complex FROM tables")
 def table_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir).select("page", F.size("cells").alias("n_rows"), D.is_complex(F.col("cells")).alias("complex"))
+    return _tables(spark, sf_dir).select("book", "page", F.size("cells").alias("n_rows"), D.is_complex(F.col("cells")).alias("complex"))
 
 
 @query(
-    rf"""WITH {_TABLES_SQL}, flat AS (SELECT page, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS r, unnest(cells) AS row_ FROM tables), c AS (SELECT page, r, CAST(generate_subscripts(row_, 1) - 1 AS INTEGER) AS col, unnest(row_) AS cell FROM flat)
-    SELECT page, r, col, coalesce(last_value(nullif(cell, '') IGNORE NULLS) OVER (PARTITION BY page, col ORDER BY r ROWS UNBOUNDED PRECEDING), '') AS cell, cell = '' AS merged FROM c"""
+    rf"""WITH {_TABLES_SQL}, flat AS (SELECT book, page, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS r, unnest(cells) AS row_ FROM tables), c AS (SELECT book, page, r, CAST(generate_subscripts(row_, 1) - 1 AS INTEGER) AS col, unnest(list_transform(row_, lambda c: regexp_replace(c, '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS cell FROM flat)
+    SELECT book, page, r, col, coalesce(last_value(nullif(cell, '') IGNORE NULLS) OVER (PARTITION BY book, page, col ORDER BY r ROWS UNBOUNDED PRECEDING), '') AS cell, cell = '' AS merged FROM c"""
 )
 def table_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, with empty ones filled from the last one above, as merged cells are."""
@@ -80,11 +81,11 @@ def table_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_TABLES_SQL} SELECT page, concat('| ', array_to_string(cells[1], ' | '), ' |', chr(10), '| ', array_to_string(list_transform(cells[1], lambda c: '---'), ' | '), ' |',
+    rf"""WITH {_TABLES_SQL} SELECT book, page, concat('| ', array_to_string(cells[1], ' | '), ' |', chr(10), '| ', array_to_string(list_transform(cells[1], lambda c: '---'), ' | '), ' |',
       CASE WHEN len(cells) > 1 THEN concat(chr(10), array_to_string(list_transform(cells[2:], lambda r: concat('| ', array_to_string(r, ' | '), ' |')), chr(10))) ELSE '' END) AS markdown FROM tables"""
 )
 def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir).select("page", D.pipe_table(F.col("cells")).alias("markdown"))
+    return _tables(spark, sf_dir).select("book", "page", D.pipe_table(F.col("cells")).alias("markdown"))
 
 
 _ZONED = "CASE WHEN seq = 0 AND page % 50 < 3 THEN 'Preface' WHEN seq = 0 AND page % 50 > 46 THEN 'Bibliography' WHEN seq = 1 AND page % 50 = 1 THEN 'Copyright 2020' ELSE text END"
@@ -133,15 +134,15 @@ def division_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {LINES_SQL}, titles AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 12) AS title FROM benchmark),
+    rf"""WITH {LINES_SQL}, titles AS (SELECT DISTINCT regexp_replace(lower(unnest(string_split(text, ' '))), '[^a-z0-9]', '', 'g') AS title FROM benchmark),
     p AS (SELECT page, regexp_replace(lower(string_agg(text, ' ' ORDER BY seq)), '[^a-z0-9]', '', 'g') AS t FROM lines GROUP BY page)
     SELECT page, count(DISTINCT title) AS n_titles, count(DISTINCT title) >= 3 AS is_toc FROM p JOIN titles ON length(title) >= 4 AND contains(t, title) GROUP BY page"""
 )
 def toc_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that hold titles (here the beginnings of items), three or more of which make a table of contents."""
-    titles = read(spark, sf_dir, "benchmark").select(F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 12).alias("title")).distinct()
+    """Pages that hold titles (here the words of items), three or more of which make a table of contents."""
+    titles = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).select(F.regexp_replace(F.lower("word"), "[^a-z0-9]", "").alias("title")).distinct()
     pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("t"))
-    return D.contained(pages, titles, 12).groupBy("page").agg(F.count("*").alias("n_titles"), (F.count("*") >= 3).alias("is_toc"))
+    return D.contained(pages, titles, 200).groupBy("page").agg(F.count("*").alias("n_titles"), (F.count("*") >= 3).alias("is_toc"))
 
 
 _DECOR = "CASE WHEN (page + seq) % 9 = 0 THEN '* * *' WHEN (page + seq) % 9 = 1 THEN '—' WHEN (page + seq) % 9 = 2 THEN 'Works Cited:' ELSE text END"
@@ -198,22 +199,46 @@ def validate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_FILES_SQL}, refs AS (SELECT DISTINCT unnest(regexp_extract_all(body, '!\[\[([^\]]+)\]\]', 1)) AS image FROM files), disk AS (SELECT concat('fig-', n, '.png') AS image FROM range(3, 10) t(n))
-    SELECT image, 'missing' AS fault FROM (SELECT * FROM refs EXCEPT SELECT * FROM disk) UNION ALL SELECT image, 'unused' AS fault FROM (SELECT * FROM disk EXCEPT SELECT * FROM refs)"""
+    rf"""WITH files AS (SELECT source AS book, doc_id AS file, {_FILES} AS body FROM documents), refs AS (SELECT DISTINCT book, unnest(regexp_extract_all(body, '!\[\[([^\]]+)\]\]', 1)) AS image FROM files),
+    disk AS (SELECT book, concat('fig-', n, '.png') AS image FROM (SELECT DISTINCT source AS book FROM documents), range(3, 10) t(n) WHERE (n + length(book)) % 2 = 0)
+    SELECT book, image, 'missing' AS fault FROM (SELECT * FROM refs EXCEPT SELECT * FROM disk) UNION ALL SELECT book, image, 'unused' AS fault FROM (SELECT * FROM disk EXCEPT SELECT * FROM refs)"""
 )
 def validate_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    disk = spark.range(3, 10).select(F.format_string("fig-%d.png", "id").alias("image"))
-    return D.image_faults(_files(spark, sf_dir), disk)
+    """Images shown but not there, and the other way, book by book."""
+    files = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.expr(_FILES).alias("body"))
+    numbers = F.explode(F.sequence(F.lit(3), F.lit(9))).alias("n")
+    disk = files.select("book").distinct().select("book", numbers).filter((F.col("n") + F.length("book")) % 2 == 0).select("book", F.format_string("fig-%d.png", "n").alias("image"))
+    return D.image_faults(files, disk)
 
 
 @query(
-    """WITH spans AS (SELECT o_custkey AS book, o_orderkey % 40 AS a, o_orderkey % 40 + 2 AS b FROM orders), claimed AS (SELECT DISTINCT book, unnest(range(a, b + 1)) AS page FROM spans), books AS (SELECT book, max(b) AS total FROM spans GROUP BY book),
-    every AS (SELECT book, unnest(range(1, total + 1)) AS page FROM books) SELECT * FROM every EXCEPT SELECT * FROM claimed"""
+    """WITH books AS (SELECT source AS book, count(*) AS total FROM documents GROUP BY source), spans AS (SELECT source AS book, doc_id % 40 + 1 AS a, doc_id % 40 + 2 AS b FROM documents WHERE doc_id % 3 = 0),
+    zones AS (SELECT book, 1 AS a, 2 AS b FROM books UNION ALL SELECT book, total - 1, total FROM books WHERE total > 4), claimed AS (SELECT DISTINCT book, unnest(range(a, b + 1)) AS page FROM (SELECT * FROM spans UNION ALL SELECT * FROM zones)),
+    every AS (SELECT book, unnest(range(1, total + 1)) AS page FROM books), missing AS (SELECT * FROM every EXCEPT SELECT * FROM claimed), i AS (SELECT *, page - row_number() OVER (PARTITION BY book ORDER BY page) AS island FROM missing),
+    r AS (SELECT book, min(page) AS a, max(page) AS b FROM i GROUP BY book, island)
+    SELECT book, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE concat(a, '-', b) END, ', ' ORDER BY a) AS ranges FROM r GROUP BY book"""
 )
 def validate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that no chapter's span (here an order's) claims."""
-    spans = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.expr("o_orderkey % 40").alias("start_page"), F.expr("o_orderkey % 40 + 2").alias("end_page"))
-    return D.unclaimed(spans)
+    """Pages of each book that neither a chapter nor front or back matter claims, as ranges."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id")
+    books = docs.groupBy("book").agg(F.count("*").alias("total"))
+    spans = docs.filter("doc_id % 3 = 0").select("book", F.expr("doc_id % 40 + 1").alias("start_page"), F.expr("doc_id % 40 + 2").alias("end_page"))
+    one = F.lit(1).cast("long")
+    front = books.select("book", one.alias("start_page"), (one + 1).alias("end_page"), F.lit("front").alias("zone"))
+    back = books.filter("total > 4").select("book", (F.col("total") - 1).alias("start_page"), F.col("total").alias("end_page"), F.lit("back").alias("zone"))
+    return D.page_ranges(D.unclaimed(books, spans, front.unionByName(back)))
+
+
+@query(
+    """WITH c AS (SELECT source AS book, count(*) AS total_chapters FROM documents WHERE doc_id % 5 = 0 GROUP BY source), f AS (SELECT source AS book, sum(len(regexp_extract_all(text, '[0-9]+'))) AS total_footnotes FROM documents GROUP BY source),
+    i AS (SELECT source AS book, count(*) AS total_images FROM documents WHERE contains(text, '|') GROUP BY source), p AS (SELECT source AS book, count(*) FILTER (doc_id % 4 = 0) AS ocr_pages FROM documents GROUP BY source)
+    SELECT book, coalesce(total_chapters, 0) AS total_chapters, CAST(coalesce(total_footnotes, 0) AS BIGINT) AS total_footnotes, coalesce(total_images, 0) AS total_images, ocr_pages FROM p LEFT JOIN c USING (book) LEFT JOIN f USING (book) LEFT JOIN i USING (book)"""
+)
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a book's report counts: chapters, footnotes (here numbers in the text), images and recognised pages."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text")
+    notes = docs.select("book", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("marker"))
+    return D.report(docs.filter("doc_id % 5 = 0"), notes, docs.filter(F.contains("text", F.lit("|"))), docs.withColumn("ocrd", F.expr("doc_id % 4 = 0")))
 
 
 @query(
@@ -260,24 +285,64 @@ def inline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text", D.note_links(F.col("text"), mark, "Notes", "note"))
 
 
-_REVIEW = """concat('Here: ```json {"corrections": [{"id": ', event_id % 30, ', "action": "', CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'demote' WHEN 2 THEN 'set_level' ELSE 'other' END, '", "new_level": ', event_id % 3, '}]}```')"""
+def _one(id_: str, action: str, level: str) -> str:
+    return f"""'{{"id": ', {id_}, ', "action": "', {action}, '", "new_level": ', {level}, '}}'"""
 
 
-@query(f"""WITH r AS (SELECT event_id, {_REVIEW} AS t FROM events), j AS (SELECT event_id, regexp_extract(t, '```json (.*)```', 1) AS j FROM r), x AS (SELECT event_id, CAST(j ->> '$.corrections[0].id' AS INTEGER) AS id, j ->> '$.corrections[0].action' AS action, CAST(j ->> '$.corrections[0].new_level' AS INTEGER) AS new_level FROM j)
-    SELECT * FROM x WHERE id BETWEEN 1 AND 20 AND (action IN ('keep', 'demote') OR (action = 'set_level' AND new_level >= 1))""")
+_FIRST = ("event_id % 7", "CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'demote' WHEN 2 THEN 'set_level' ELSE 'other' END", "event_id % 3")
+_SECOND = ("(event_id + event_id % 2) % 7", "'demote'", "1")
+_REVIEW = f"""concat('Here: ```json {{"corrections": [', {_one(*_FIRST)}, ', ', {_one(*_SECOND)}, ']}}```')"""
+
+
+@query(f"""WITH r AS (SELECT event_id, 1 + event_id % 5 AS n, {_REVIEW} AS t FROM events), j AS (SELECT event_id, n, CAST(regexp_extract(t, '```json (.*)```', 1) AS JSON) AS j FROM r),
+    x AS (SELECT event_id, n, k, CAST(j ->> concat('$.corrections[', k, '].id') AS INTEGER) AS id, j ->> concat('$.corrections[', k, '].action') AS action, CAST(j ->> concat('$.corrections[', k, '].new_level') AS INTEGER) AS new_level FROM j, range(2) t(k)),
+    ok AS (SELECT *, row_number() OVER (PARTITION BY event_id, id ORDER BY k) AS nth FROM x WHERE id BETWEEN 1 AND n AND (action IN ('keep', 'demote') OR (action = 'set_level' AND new_level >= 1)))
+    SELECT event_id, id, action, new_level FROM (SELECT *, count(*) FILTER (action = 'demote') OVER (PARTITION BY event_id) AS gone FROM ok WHERE nth = 1) WHERE NOT (action = 'demote' AND gone >= n)""")
 def review_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections in a reviewer's answer that name one of 20 headings and an allowed action."""
-    rows = read(spark, sf_dir, "events").select("event_id", F.expr(_REVIEW).alias("answer"))
-    return D.corrections(rows, "event_id", 20)
+    """Corrections in a reviewer's answers, two in each, that name a heading of the book and an allowed action."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.expr("CAST(1 + event_id % 5 AS INT)").alias("n_headings"), F.expr(_REVIEW).alias("answer"))
+    return D.corrections(rows, "event_id")
+
+
+#: Both engines: a running head that a reader's mistakes change a little, a foot with the page's number, and a margin.
+_RUNNING = {
+    "text": "CASE WHEN seq = 0 THEN concat('The History of ', book, CASE WHEN page % 3 = 0 THEN ' vol. I' WHEN page % 3 = 1 THEN ' vol. l' ELSE ' vo1. I' END) WHEN seq = 1 THEN concat('page ', page) WHEN seq = 2 THEN concat('shop ', book, ' x') ELSE text END",
+    "x0": "CAST(CASE WHEN seq = 2 THEN 10 ELSE 80 END AS DOUBLE)",
+    "x1": "CAST(CASE WHEN seq = 2 THEN 50 ELSE 400 END AS DOUBLE)",
+    "y0": "CAST(CASE WHEN seq = 0 THEN 20 WHEN seq = 1 THEN 560 WHEN seq = 2 THEN 300 ELSE 100 + seq % 300 END AS DOUBLE)",
+    "y1": "CAST(CASE WHEN seq = 0 THEN 40 WHEN seq = 1 THEN 580 WHEN seq = 2 THEN 310 ELSE 110 + seq % 300 END AS DOUBLE)",
+}
+
+
+def running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark, sf_dir).withColumns({k: F.expr(v) for k, v in _RUNNING.items()})
+
+
+_RUNNING_SQL = f"{BLOCKS_SQL.replace('blocks AS', 'plain AS')}, blocks AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in _RUNNING.items())}) FROM plain)"
+
+
+@query(
+    rf"""WITH {_RUNNING_SQL} SELECT book, page, seq, CASE WHEN y1 <= 90 THEN 'header' WHEN y0 >= 510 THEN 'footer' ELSE 'margin' END AS band, {_COLLAPSE.format("regexp_replace(text, '[0-9]', '#', 'g')")} AS norm
+    FROM blocks WHERE (y1 <= 90 OR y0 >= 510 OR x1 <= 60 OR x0 >= 440) AND {_STRIP.format('text')} <> ''"""
+)
+def edge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks at the top, the foot and the outer margins of pages, with their digits masked."""
+    return D.edge_bands(running(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
+
+
+@query(
+    rf"""WITH {_RUNNING_SQL}, n AS (SELECT book, count(DISTINCT page) AS pages, count(*) FILTER (seq = 0) AS heads, count(*) FILTER (seq = 1) AS feet, count(*) FILTER (seq = 2) AS margins FROM blocks GROUP BY book)
+    SELECT book, page, seq FROM blocks JOIN n USING (book) WHERE NOT ((seq = 0 AND heads >= 5) OR (seq = 1 AND feet >= 5) OR (seq = 2 AND margins >= 5))"""
+)
+def strip_running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without running heads, feet and margins: those alike on five pages of a book or more, if not letter by letter."""
+    return D.without_repeats(running(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT).select("book", "page", "seq")
 
 
 @query()
 def fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last lines that are alike on five pages of a book or more."""
-    page = Window.partitionBy("book", "page")
-    band = F.when(F.col("seq") == 0, "header").when(F.col("seq") == F.max("seq").over(page), "footer")
-    edges = lines(spark, sf_dir).withColumn("band", band).filter("band IS NOT NULL").withColumn("norm", T.masked(F.col("text"))).filter("norm <> ''")
-    return D.alike(edges)
+    """Clusters of lines at the edges of pages that are alike, five or more in a book."""
+    return D.alike(D.edge_bands(running(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)).withColumn("members", F.array_sort("members"))
 
 
 @query(
@@ -294,13 +359,14 @@ def profile_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a page within ten points of each other as one region."""
-    from leafmill.plans.layout_queries import boxes
-
-    return D.regions(boxes(spark, sf_dir))
+    """Boxes of a page within ten points of each other as one region, unless it is small or covers a place taken before."""
+    taken = boxes(spark, sf_dir).filter("seq = 1 AND page % 4 = 0")
+    return D.regions(boxes(spark, sf_dir), taken, least=30.0)
 
 
 @query()
 def verse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of stanzas of a page, with the lines between them as prose."""
-    return layout.islands(layout.stanzas(blocks(spark, sf_dir), 500.0), F.col("is_verse"), Window.partitionBy("book", "page").orderBy("stanza")).groupBy("book", "page", "run", "is_verse").agg(F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_stanzas"))
+    rows = verse_blocks(spark, sf_dir)
+    found = layout.stanzas(rows, layout.body_size(rows), layout.body_margins(rows))
+    return layout.islands(found, F.col("is_verse"), Window.partitionBy("book", "page").orderBy("stanza")).groupBy("book", "page", "run", "is_verse").agg(F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_stanzas"))

@@ -28,8 +28,8 @@ def query(sql: str | None = None):
 
 #: Both engines: what comes before (or around) a line, by its number.
 PLANTED = """CASE (page + seq) % 10 WHEN 0 THEN concat('• ', text) WHEN 1 THEN concat('3. ', text) WHEN 2 THEN concat('Note: ', text)
- WHEN 3 THEN concat(text, ' [1, 3] and [2-4] or [9]') WHEN 4 THEN concat('α + ∑ ', substr(text, 1, 12), ' (3.14)') WHEN 5 THEN concat('Theorem 2.1. ', text)
- WHEN 6 THEN concat('Term ', seq, ' : ', text) WHEN 7 THEN concat(substr(text, 1, 30), '-') WHEN 8 THEN concat('Key point. ', text) ELSE text END"""
+ WHEN 3 THEN concat(text, ' [1, 3] and [2-4] or [9]') WHEN 4 THEN concat('α + ∑ ', text, ' (3.14)') WHEN 5 THEN concat('Theorem 2.1. ', text)
+ WHEN 6 THEN concat('Term ', seq, ' : ', text) WHEN 7 THEN concat(text, '-') WHEN 8 THEN concat('Key point. ', text) ELSE CASE WHEN seq % 2 = 0 THEN 'x² + α2 ≤ ∑n, (7.1)' ELSE text END END"""
 PLANTED_SQL = f"{LINES_SQL}, planted AS (SELECT book, page, seq, {PLANTED} AS text FROM lines)"
 
 
@@ -81,9 +81,11 @@ _EDGES_SQL = rf"""{LINES_SQL}, edges AS (SELECT *, {_COLLAPSE.format("regexp_rep
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = Window.partitionBy("book", "page")
-    band = F.when(F.col("seq") == 0, "header").when(F.col("seq") == F.max("seq").over(page), "footer")
-    return lines(spark, sf_dir).withColumn("norm", T.collapsed(F.regexp_replace("text", "[0-9]", "#"))).withColumn("band", band)
+    """Lines with band and norm, which is null but at the edges of a page. How many lines a page has is known before they are told apart."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("all"))
+    rows = docs.select("book", "page", (F.size("all") - 1).alias("last"), F.posexplode("all").alias("seq", "text"))
+    band = F.when(F.col("seq") == 0, "header").when(F.col("seq") == F.col("last"), "footer")
+    return rows.withColumn("band", band).withColumn("norm", F.when(F.col("band").isNotNull(), T.collapsed(F.regexp_replace("text", "[0-9]", "#"))))
 
 
 def _repeats(edges: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book", "page", "seq", nearest["i"].alias("level"))
 
 
-_CALL = r"(?i)^(Note|Warning|Tip|Caution|Important|Key Point|Remember)[ \t\n\x0b\f\r]*[:.][ \t\n\x0b\f\r]*"
+_CALL = rf"(?i)^({T.CALLOUT_WORDS})[ \t\n\x0b\f\r]*[:.][ \t\n\x0b\f\r]*"
 
 
 @query(
@@ -199,14 +201,17 @@ def citation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_CITE_SQL}, numbers AS (SELECT book, page, seq, inside, unnest(range(CAST(string_split(part, '-')[1] AS INTEGER), CAST(string_split(part, '-')[-1] AS INTEGER) + 1)) AS number FROM parts)
-    SELECT book, page, seq, inside, count(*) AS n_numbers, bool_and(number BETWEEN 1 AND 4) AS linked FROM numbers GROUP BY ALL"""
+    rf"""WITH {_CITE_SQL}, places AS (SELECT book, page, seq, text, string_split_regex(text, '\[[0-9]{{1,3}}(?:\s*[-,]\s*[0-9]{{1,3}})*\]') AS pieces, regexp_extract_all(text, '\[([0-9]{{1,3}}(?:\s*[-,]\s*[0-9]{{1,3}})*)\]', 1) AS inside FROM planted),
+    one AS (SELECT DISTINCT inside FROM found), numbers AS (SELECT inside, i, trim(part) AS part FROM (SELECT inside, unnest(string_split(inside, ',')) AS part, generate_subscripts(string_split(inside, ','), 1) AS i FROM one)),
+    each AS (SELECT inside, i, n FROM (SELECT inside, i, unnest(range(CAST(string_split(part, '-')[1] AS INTEGER), CAST(string_split(part, '-')[-1] AS INTEGER) + 1)) AS n FROM numbers)),
+    told AS (SELECT inside, CASE WHEN bool_and(n BETWEEN 1 AND 4) THEN concat('[', string_agg(concat(chr(57346), n, chr(57346)), ', ' ORDER BY i, n), ']') ELSE concat('[', inside, ']') END AS shown FROM each GROUP BY inside),
+    m AS (SELECT map(list(inside), list(shown)) AS told FROM told)
+    SELECT book, page, seq, concat(pieces[1], array_to_string(list_transform(range(1, len(inside) + 1), lambda i: concat(coalesce(m.told[inside[i]], concat('[', inside[i], ']')), pieces[i + 1])), '')) AS text FROM places, m"""
 )
 def citation_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brackets all of whose numbers are entries of the bibliography (here 1 to 4) are links, the others stay text."""
-    entries = spark.range(1, 5).select(F.col("id").cast("int").alias("number"), F.lit(True).alias("known"))
-    rows = citation_expand(spark, sf_dir).join(entries, "number", "left")
-    return rows.groupBy("book", "page", "seq", "inside").agg(F.count("*").alias("n_numbers"), F.min(F.coalesce("known", F.lit(False))).alias("linked"))
+    """Brackets all of whose numbers are entries of the bibliography (here 1 to 4) get marks, the others stay text."""
+    known = F.array(*(F.lit(str(i)) for i in range(1, 5)))
+    return planted(spark, sf_dir).select("book", "page", "seq", T.linked_citations(F.col("text"), known, layout.CITATION_MARK).alias("text"))
 
 
 _STRONG = r"[\x{2100}-\x{214F}\x{2200}-\x{22FF}\x{2070}-\x{209F}\x{1D400}-\x{1D7FF}¹²³]"
@@ -233,40 +238,59 @@ def display_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book", "page", "seq", *(c.alias(k) for k, c in T.display_equation(F.col("text")).items())).filter("equation IS NOT NULL")
 
 
+_CORE = r"regexp_extract(x, '^(.*?)([.,;:!?)\]]*)$', 1)"
+
+
 @query(
-    rf"""WITH {PLANTED_SQL} SELECT book, page, seq, array_to_string(list_transform(string_split(text, ' '), lambda x: CASE
-      WHEN regexp_matches(x, '^([\x{{0370}}-\x{{03FF}}]|{_STRONG})[.,;:!?)\]]*$') THEN regexp_replace(x, '^(.*?)([.,;:!?)\]]*)$', '$\1$\2') ELSE x END), ' ') AS text FROM planted WHERE (page + seq) % 10 = 4"""
+    rf"""WITH {PLANTED_SQL}, t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS x FROM planted), c AS (SELECT x, {_CORE} AS core, substr(x, length({_CORE}) + 1) AS tail FROM t),
+    m AS (SELECT map(list(x), list(CASE WHEN core <> '' AND ({_density("core")} >= 0.5 OR (length(core) <= 2 AND regexp_matches(core, '^[\x{{0370}}-\x{{03FF}}0-9]+$') AND regexp_matches(core, '[\x{{0370}}-\x{{03FF}}]'))) THEN concat('$', core, '$', tail) ELSE x END)) AS told FROM c WHERE length(x) < 40 OR regexp_matches(x, '{_STRONG}'))
+    SELECT book, page, seq, array_to_string(list_transform(string_split(text, ' '), lambda w: coalesce(m.told[w], w)), ' ') AS text FROM planted, m"""
 )
 def inline_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).filter("(page + seq) % 10 = 4").select("book", "page", "seq", T.inline_math(F.col("text")).alias("text"))
+    """Tokens that are mathematics between dollar signs."""
+    return planted(spark, sf_dir).select("book", "page", "seq", T.inline_math(F.col("text")).alias("text"))
 
 
-_TH = r"(?i)^(Theorem|Lemma|Corollary|Proposition|Definition|Axiom|Example|Remark|Exercise|Proof|Claim)\s*([0-9]+(?:\.[0-9]+)*)?\s*[.:]\s*"
+_TH, _QED = r"(?i)^(" + T.THEOREMS + r")\s*([0-9]+(?:\.[0-9]+)*)?\s*[.:]\s*", r"(∎|□|■|[Qq]\.?[Ee]\.?[Dd]\.?)\s*$"
+_PROVED = "CASE WHEN (page + seq) % 13 = 3 THEN concat('Proof. ', text) WHEN (page + seq) % 13 = 6 THEN concat(text, ' QED') WHEN (page + seq) % 13 = 9 THEN concat('lemma 4.1: ', text) ELSE text END"
 
 
 @query(
-    rf"""WITH {PLANTED_SQL}, m AS (SELECT *, regexp_matches(text, '{_TH}') AS opens FROM planted), g AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY book, page ORDER BY seq) AS env FROM m)
-    SELECT book, page, CAST(env AS BIGINT) AS env, max(CASE WHEN opens THEN regexp_extract(text, '{_TH}', 1) END) AS label, max(CASE WHEN opens THEN regexp_extract(text, '{_TH}', 2) END) AS number, count(*) AS n_lines FROM g WHERE env > 0 GROUP BY ALL"""
+    rf"""WITH {LINES_SQL}, p AS (SELECT book, page, seq, {_PROVED} AS text FROM lines), m AS (SELECT *, regexp_matches(text, '{_TH}') AS opens, regexp_matches(text, '{_QED}') AS done FROM p),
+    g AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER w AS env FROM m WINDOW w AS (PARTITION BY book, page ORDER BY seq)),
+    e AS (SELECT *, first_value(lower(regexp_extract(text, '{_TH}', 1))) OVER v AS word, min(CASE WHEN done AND NOT opens THEN seq END) OVER v2 AS stop FROM g WHERE env > 0 WINDOW v AS (PARTITION BY book, page, env ORDER BY seq), v2 AS (PARTITION BY book, page, env))
+    SELECT book, page, min(seq) AS seq, concat(upper(substr(any_value(word), 1, 1)), substr(any_value(word), 2), max(CASE WHEN opens AND regexp_extract(text, '{_TH}', 2) <> '' THEN concat(' ', regexp_extract(text, '{_TH}', 2)) ELSE '' END)) AS label,
+      count(*) AS n_lines, string_agg(CASE WHEN opens THEN nullif(trim(regexp_replace(text, '{_TH}', '')), '') ELSE text END, chr(10) ORDER BY seq) AS body FROM e WHERE opens OR (word = 'proof' AND (stop IS NULL OR seq <= stop)) GROUP BY book, page, env"""
 )
 def theorem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Environments that a theorem's label opens, up to the next one."""
-    opens = F.col("text").rlike(_TH)
-    env = F.sum(opens.cast("int")).over(layout.page_order().rowsBetween(Window.unboundedPreceding, 0))
-    rows = planted(spark, sf_dir).withColumn("opens", opens).withColumn("env", env).filter("env > 0")
-    of = lambda i: F.max(F.when(F.col("opens"), F.regexp_extract("text", _TH, i)))
-    return rows.groupBy("book", "page", "env").agg(of(1).alias("label"), of(2).alias("number"), F.count("*").alias("n_lines"))
+    """Environments that a theorem's label opens; a proof goes on until it is done or the next one opens."""
+    rows = lines(spark, sf_dir).select("book", "page", "seq", F.expr(_PROVED).alias("text"))
+    return layout.theorems(rows, layout.page_order(), ["book", "page"]).groupBy("book", "page", "env").agg(
+        F.min("seq").alias("seq"), F.first("label").alias("label"), F.count("*").alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda x: x["body"]), "\n").alias("body"),
+    ).drop("env")
+
+
+_RAW = r"regexp_extract(t, '^(.*?)(?:[:—–]|-[ \t])', 1)"
 
 
-@query(rf"WITH {PLANTED_SQL} SELECT book, page, seq, concat('Term ', seq) AS term, {_STRIP.format('l.text')} AS definition FROM planted JOIN lines l USING (book, page, seq) WHERE (page + seq) % 10 = 6 AND {_STRIP.format('l.text')} <> '' AND NOT regexp_matches(l.text, '^[ :—–.-]')")
+@query(
+    rf"""WITH {PLANTED_SQL}, t AS (SELECT book, page, seq, {_STRIP.format("text")} AS t FROM planted), r AS (SELECT book, page, seq, {_STRIP.format(_RAW)} AS raw, substr(t, length({_RAW}) + 2) AS after FROM t WHERE regexp_matches(t, '[:—–]|-[ \t]')),
+    g AS (SELECT *, {_STRIP.format("after")} AS rest, len({_WORDS.format("raw")}) AS n FROM r), k AS (SELECT * FROM g WHERE regexp_matches(after, '^[ \t]') AND rest <> '' AND regexp_matches(raw, '^[A-Za-z0-9(\["'']') AND n BETWEEN 1 AND 8 AND length(raw) <= 60 AND NOT regexp_matches(raw, '[?!;]$')
+      AND NOT (n > 2 AND lower(regexp_extract(raw, '^[^ \t]+')) IN ({", ".join(f"'{w}'" for w in T.TERM_STOP_WORDS)})))
+    SELECT book, page, seq, regexp_replace({_STRIP.format("regexp_replace(regexp_replace(raw, '^[*_]+|[*_]+$', '', 'g'), '[ :—–.-]+$', '')")}, '[ \t\n\x0b\f\r]+', ' ', 'g') AS term, {_STRIP.format("regexp_replace(rest, '^[ :—–.-]+', '')")} AS definition FROM k"""
+)
 def glossary_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a glossary: a term, a delimiter, a definition."""
-    rows = planted(spark, sf_dir).filter("(page + seq) % 10 = 6")
-    return rows.select("book", "page", "seq", *(c.alias(k) for k, c in T.term_definition(F.col("text")).items())).filter("term IS NOT NULL AND definition <> ''")
+    return planted(spark, sf_dir).select("book", "page", "seq", *(c.alias(k) for k, c in T.term_definition(F.col("text")).items())).filter("term IS NOT NULL")
 
 
-@query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN p_name WHEN p_partkey % 4 = 1 THEN 'stem' WHEN p_partkey % 4 = 2 THEN 'stem' ELSE p_name END AS cleaned,
-      CASE WHEN p_partkey < 1024 THEN concat(p_partkey, ' B') ELSE printf('%.1f KB', p_partkey / 1024.0) END AS size FROM part WHERE p_partkey < 1048576""")
+@query(
+    """WITH r AS (SELECT p_partkey, p_name, CASE p_partkey % 8 WHEN 0 THEN concat(p_name, ' - PDFDrive.com') WHEN 1 THEN concat('a/', p_name) WHEN 2 THEN 'layout-3.indd' WHEN 3 THEN concat(' ', p_name) WHEN 4 THEN concat(p_name, ' (z-lib.org)') WHEN 5 THEN concat(p_name, '%20x') WHEN 6 THEN concat(p_name, ' — anna''s archive 2') ELSE repeat(p_name, 20) END AS raw FROM part)
+    SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 8 IN (0, 3, 4, 6) THEN p_name WHEN p_partkey % 8 = 7 AND length(raw) <= 150 THEN raw ELSE 'stem' END AS cleaned,
+      CASE WHEN p_partkey * 977 < 1024 THEN concat(p_partkey * 977, ' B') WHEN p_partkey * 977 < 1048576 THEN printf('%.1f KB', round_even(p_partkey * 977 / 1024.0, 1)) WHEN p_partkey * 977 < 1073741824 THEN printf('%.1f MB', round_even(p_partkey * 977 / 1048576.0, 1)) ELSE printf('%.2f GB', round_even(p_partkey * 977 / 1073741824.0, 2)) END AS size FROM r"""
+)
 def catalog_clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles with a downloader's mark, a path or a layout file's name in place of some."""
-    raw = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' - PDFDrive.com') WHEN 1 THEN concat('a/', p_name) WHEN 2 THEN 'layout-3.indd' ELSE concat(' ', p_name) END")
-    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), T.clean_title(raw, F.lit("stem")).alias("cleaned"), T.file_size(F.col("p_partkey")).alias("size"))
+    """Titles with a downloader's mark, a path, a coded character or a layout file's name in place of some, and sizes."""
+    raw = F.expr("CASE p_partkey % 8 WHEN 0 THEN concat(p_name, ' - PDFDrive.com') WHEN 1 THEN concat('a/', p_name) WHEN 2 THEN 'layout-3.indd' WHEN 3 THEN concat(' ', p_name) WHEN 4 THEN concat(p_name, ' (z-lib.org)') WHEN 5 THEN concat(p_name, '%20x') WHEN 6 THEN concat(p_name, ' — anna\\'s archive 2') ELSE repeat(p_name, 20) END")
+    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), T.clean_title(raw, F.lit("stem")).alias("cleaned"), T.file_size(F.col("p_partkey") * 977).alias("size"))
