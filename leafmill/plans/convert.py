@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -10,69 +11,67 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import assembly, document
+from leafmill.operators import rendering
 from leafmill.sources import books
-from leafmill.sources.html import flow
 
 
-def parts(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """path, title, author, seq, heading, division, body: the chapters of EPUB and DOCX books, in order.
+def tables(rows: DataFrame, converted: str) -> dict[str, DataFrame]:
+    """books, chapters, items and footnotes of rows of read_books, as rendering takes them; book is the path."""
+    of = lambda kind: rows.filter(F.col("row") == kind).withColumnRenamed("path", "book")
+    meta = lambda key: F.try_element_at("meta", F.lit(key)).alias(key)
+    found = of("book").select("book", meta("title"), meta("author"), meta("profile"), F.lit(converted).alias("converted"))
+    drop = ("format", "row", "error", "meta", "content")
+    return {
+        "books": found,
+        "chapters": of("chapter").select("book", F.col("part").alias("number"), F.col("section_title").alias("title"), F.lit(None).cast("string").alias("part_title")),
+        "items": of("item").drop(*drop),
+        "footnotes": of("note").select("book", "part", "page", F.col("item").alias("seq"), F.col("label").alias("marker"), "text"),
+        "images": of("image").select("book", "image", "content"),
+    }
 
-    An EPUB's chapter is a document of its spine; a DOCX book's begins at each first-level heading. A chapter whose
-    heading is a label of front or back matter is of that division, but front matter can't follow the body.
-    """
-    rows = books.read_books(spark, folder, recursive=recursive).filter("error IS NULL")
-    epub = rows.filter("format = 'epub'").select("path", "title", "author", "seq", "content")
-    pages = flow(epub.select(F.struct("path", "title", "author", "seq").alias("of"), "content"), "of", "content")
-    marked = document.as_markdown(pages, "of").join(pages.filter("kind rlike '^h[1-3]$'").groupBy("of").agg(F.min_by("text", "seq").alias("heading")), "of", "left")
-    from_epub = marked.select("of.*", "heading", F.col("markdown").alias("body"))
-    opens = F.lower(F.regexp_replace("name", " ", "")) == "heading1"
-    order = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    docx = rows.filter("format = 'docx'").withColumn("chapter", F.sum(F.coalesce(opens, F.lit(False)).cast("int")).over(order))
-    level = F.regexp_extract(F.lower(F.regexp_replace("name", " ", "")), "^heading([1-6])$", 1)
-    line = F.when(level != "", F.concat(F.repeat(F.lit("#"), F.coalesce(level.try_cast("int"), F.lit(1))), F.lit(" "), "content")).otherwise(F.col("content"))
-    items = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
-    grouped = docx.groupBy("path", "title", "author", "chapter").agg(F.min("seq").alias("seq"), F.min_by(F.when(opens, F.col("content")), "seq").alias("heading"), items.alias("items"))
-    from_docx = grouped.select("path", "title", "author", "seq", "heading", F.array_join(F.transform("items", lambda x: x["line"]), "\n\n").alias("body"))
-    both = from_epub.unionByName(from_docx)
-    label = lambda labels: document.matter_label(F.coalesce("heading", F.lit("")), labels).isNotNull()
-    division = F.when(label(document.FRONT_LABELS), "front").when(label(document.BACK_LABELS), "back").otherwise("body")
-    return document.monotone(both.withColumn("division", division), "path", "seq")
 
-
-def library(chapters: DataFrame) -> DataFrame:
-    """path, file, body: an index and a file for each part of each book; names don't repeat within a book."""
-    order = Window.partitionBy("path", "division").orderBy("seq")
-    numbered = chapters.withColumn("number", F.row_number().over(order)).withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("seq")))
-    name = F.coalesce("heading", F.concat(F.lit("Untitled "), "n"))
-    stem = F.when(F.col("division") == "front", F.concat(F.lit("00 - "), name)).when(F.col("division") == "back", name).otherwise(F.concat(F.format_string("%02d", "number"), F.lit(" - "), name))
-    stems = assembly.unique_stems(numbered.select(F.col("path").alias("book"), F.col("n").alias("number"), stem.alias("title")))
-    named = numbered.join(stems.select(F.col("book").alias("path"), F.col("number").alias("n"), "stem"), ["path", "n"])
-    head = F.concat(F.lit('---\ntitle: "'), F.regexp_replace("title", '"', "'"), F.lit('"\nauthor: "'), F.regexp_replace("author", '"', "'"), F.lit('"\n---\n\n'))
-    files = named.select("path", F.concat("stem", F.lit(".md")).alias("file"), F.concat(head, "body").alias("body"))
-    links = F.transform(F.array_sort(F.collect_list(F.struct("n", "stem"))), lambda x: F.concat(F.lit("- [["), x["stem"], F.lit("]]")))
-    index = named.groupBy("path", "title").agg(F.array_join(links, "\n").alias("links")).select("path", F.lit("Index.md").alias("file"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "links").alias("body"))
-    return files.unionByName(index)
+def _folders(found: DataFrame) -> DataFrame:
+    """book, folder: a folder for each book, called after its title; books of one title differ by a number."""
+    name = T.file_name(F.col("title"))
+    nth = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("book"))
+    return found.select("book", F.when(nth == 1, name).otherwise(F.concat(name, F.lit(" ("), nth.cast("string"), F.lit(")"))).alias("folder"))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes each row's body to folder/book/file and returns path, file and size; the folder is a URI that all machines share."""
+    """Writes each row's content (folder, file, content) to folder/its folder/its file, whole or not at all; returns
+    path, file and size. The folder is a URI that all machines share."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = (pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder)
         for batch in batches:
             sizes = []
-            for stem, file, body in zip(*(batch[c].to_pylist() for c in ("stem", "file", "body")), strict=True):
-                fs.create_dir(f"{root}/{stem}", recursive=True)
-                with fs.open_output_stream(f"{root}/{stem}/{file}") as out:
-                    out.write(body.encode())
-                sizes.append(len(body.encode()))
-            yield pa.RecordBatch.from_arrays([batch["path"], batch["file"], pa.array(sizes, pa.int64())], names=["path", "file", "size"])
+            for own, file, content in zip(*(batch[c].to_pylist() for c in ("folder", "file", "content")), strict=True):
+                path = f"{root}/{own}/{file}"
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(part) as out:
+                    out.write(content)
+                fs.move(part, path)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch["book"], batch["folder"], batch["file"], pa.array(sizes, pa.int64())], names=["path", "folder", "file", "size"])
 
-    stem = T.file_name(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", ""))
-    return files.select("path", stem.alias("stem"), "file", "body").mapInArrow(task, "path string, file string, size long")
+    return files.select("book", "folder", "file", "content").mapInArrow(task, "path string, folder string, file string, size long")
 
 
-def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool = False) -> DataFrame:
-    """Converts the books of a folder; one row for each file written. Books with equal file names share a folder."""
-    return write_files(library(parts(spark, folder, recursive)), out)
+def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool = False, single_file: bool = False, core_only: bool = False, profile: str = "auto", converted: str | None = None, readers: dict[str, Callable] | None = None) -> DataFrame:
+    """Converts the books of a folder; path, folder, file, size of each file written, and path and error of each book
+    that can't be read. Images that the text shows go to attachments. converted: the date in the files; today without."""
+    rows = books.read_books(spark, folder, readers, recursive, profile)
+    day = converted or spark.sql("SELECT CAST(current_date() AS STRING)").first()[0]
+    t = tables(rows, day)
+    if single_file:
+        files = rendering.single_documents(t["books"], t["chapters"], t["items"], t["footnotes"], core_only)
+    else:
+        files = rendering.library(t["books"], t["chapters"], t["items"], t["footnotes"])
+    texts = files.select("book", "file", F.encode("body", "utf-8").alias("content"))
+    shown = t["items"].filter("kind = 'image'").select("book", "image", rendering.attachment_name(F.col("label"), F.col("image")).alias("name"))
+    one = shown.groupBy("book", "name").agg(F.min("image").alias("image"))  # of equal names one is kept
+    pictures = one.join(t["images"].dropDuplicates(["book", "image"]), ["book", "image"]).select("book", F.concat(F.lit("attachments/"), "name").alias("file"), "content")
+    written = write_files(texts.unionByName(pictures).join(_folders(t["books"]), "book"), out)
+    failed = rows.filter("row = 'error'").select("path", F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("size"), "error")
+    return written.withColumn("error", F.lit(None).cast("string")).unionByName(failed)

@@ -1,14 +1,10 @@
 """Rules on small hand-made inputs."""
 
-import io
-import zipfile
-
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import document as D
 from leafmill.operators import layout
-from leafmill.sources import books
 from leafmill.sources.html import parse
 from leafmill.streaming.intake import watch
 
@@ -69,26 +65,6 @@ def test_html():
     assert got == [("h1", 1, "A *B*"), ("p", 0, "one"), ("p", 0, "two [l](u)"), ("li", 1, "x"), ("li", 2, "y"), ("text", 0, "tail")]
 
 
-def _epub():
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/c.opf"/></rootfiles></container>')
-        z.writestr("o/c.opf", '<package xmlns:dc="d"><metadata><dc:title>T</dc:title><dc:creator>C</dc:creator></metadata><manifest><item id="a" href="a.html"/><item id="n" href="n.html" properties="nav"/></manifest><spine><itemref idref="n"/><itemref idref="a"/></spine></package>')
-        z.writestr("o/a.html", "<p>hi</p>")
-        z.writestr("o/n.html", "nav")
-    return out.getvalue()
-
-
-def test_books(spark, tmp_path):
-    (tmp_path / "b.epub").write_bytes(_epub())
-    (tmp_path / "bad.epub").write_bytes(b"no zip")
-    (tmp_path / "~$x.docx").write_bytes(b"")
-    assert [r.filename for r in books.catalog(spark, str(tmp_path)).collect()] == ["b.epub", "bad.epub"]
-    rows = {r.path.rsplit("/", 1)[-1]: r for r in books.read_books(spark, str(tmp_path)).filter("format = 'epub'").collect()}
-    assert (rows["b.epub"].title, rows["b.epub"].author, rows["b.epub"].content) == ("T", "C", "<p>hi</p>")
-    assert rows["bad.epub"].error.startswith("BadZipFile")
-
-
 def test_watch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.epub").write_bytes(b"x")
@@ -97,27 +73,6 @@ def test_watch(spark, tmp_path):
     assert seen == [1]
 
 
-def _docx():
-    out = io.BytesIO()
-    w = 'xmlns:w="w"'
-    p = lambda style, text, extra="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r>{extra}<w:t>{text}</w:t></w:r></w:p>'
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('Heading1', 'Preface')}{p('Normal', 'Hello.')}{p('Heading1', 'One')}{p('Normal', 'Text', '<w:b/>')}{p('Heading1', 'Preface')}{p('Normal', 'late')}</w:body></w:document>")
-    return out.getvalue()
-
-
-def test_convert(spark, tmp_path):
-    from leafmill.plans.convert import convert_books
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "b.epub").write_bytes(_epub())
-    (tmp_path / "in" / "d.docx").write_bytes(_docx())
-    files = {(r.path.rsplit("/", 1)[-1], r.file) for r in convert_books(spark, str(tmp_path / "in"), f"file://{tmp_path}/out").collect()}
-    assert files == {("b.epub", "01 - Untitled 1.md"), ("b.epub", "Index.md"), ("d.docx", "00 - Preface.md"), ("d.docx", "01 - One.md"), ("d.docx", "02 - Preface.md"), ("d.docx", "Index.md")}
-    assert (tmp_path / "out" / "d" / "01 - One.md").read_text().endswith("# One\n\n**Text**")
-    assert (tmp_path / "out" / "d" / "Index.md").read_text() == "# d\n\n- [[00 - Preface]]\n- [[01 - One]]\n- [[02 - Preface]]"
-
-
 def test_sequential(spark):
     from leafmill.operators import sequential as S
 
