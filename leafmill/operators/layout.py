@@ -131,8 +131,11 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     Over a break they merge unless the text before ends a sentence. Where blocks have a column `mark` (footnote or
     endnote, else null), such blocks are markers: they go into the text before them between two marks, and don't count
     for what comes after; a marker that is a book's first block is text. Blocks are compared within their page; of the
-    rest of the book only a row a page is looked at, so a very large book is no task's alone.
+    rest of the book only a row a page is looked at, so a very large book is no task's alone. Where blocks have a column
+    `run`, whose values are in a row, paragraphs stay within one, and run and the first block's seq are returned too.
     """
+    runs = "run" in blocks.columns
+    run = F.col("run") if runs else F.lit(0)
     first = blocks.groupBy("book").agg(F.min(F.struct("page", "seq")).alias("_first"))
     mark = F.when(F.struct("page", "seq") > F.col("_first"), F.col("mark")) if "mark" in blocks.columns else F.lit(None).cast("string")
     rows = blocks.join(first, "book").withColumn("_mark", mark)
@@ -141,10 +144,11 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     style = (before["font"] == F.col("font")) & (F.abs(before["size"] - F.col("size")) < 0.5) & (before["bold"] == F.col("bold")) & (before["italic"] == F.col("italic"))
     gap = F.col("y0") - before["y1"] > before["size"] * 1.3 * 1.5
     indent = (F.col("y0") > before["y0"]) & (F.col("x0") - before["x0"] > 0.8 * before["size"])
-    new = (before["font"].isNull() | ~style | gap | indent).cast("int")
+    other = F.lag(run).over(page_order()) != run
+    new = (before["font"].isNull() | other | ~style | gap | indent).cast("int")
     marked = texts.withColumn("_new", new).unionByName(rows.filter("_mark IS NOT NULL").withColumn("_new", F.lit(0)))
     marked = marked.withColumn("_k", F.sum("_new").over(page_order().rowsBetween(Window.unboundedPreceding, 0)))
-    edge = F.struct("font", "size", "bold", "italic", F.col("text").rlike(f"[.!?:]{T.SPACES}*$").alias("ends"))
+    edge = F.struct("font", "size", "bold", "italic", T.ends_sentence(F.col("text")).alias("ends"), run.alias("run"))
     text_row = F.col("_mark").isNull()
     pages = marked.groupBy("book", "page").agg(
         F.max("_k").alias("_n"), F.min_by(edge, F.when(text_row, F.col("seq"))).alias("_head"), F.max_by(edge, F.when(text_row, F.col("seq"))).alias("_tail")
@@ -152,14 +156,14 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     book = Window.partitionBy("book").orderBy("page")
     tail = F.last(F.when(F.col("_n") > 0, F.col("_tail")), True).over(book.rowsBetween(Window.unboundedPreceding, -1))
     h = F.col("_head")
-    goes_on = (F.col("_n") > 0) & (tail["font"] == h["font"]) & (F.abs(tail["size"] - h["size"]) < 0.5) & (tail["bold"] == h["bold"]) & (tail["italic"] == h["italic"]) & ~tail["ends"]
+    goes_on = (F.col("_n") > 0) & (tail["run"] == h["run"]) & (tail["font"] == h["font"]) & (F.abs(tail["size"] - h["size"]) < 0.5) & (tail["bold"] == h["bold"]) & (tail["italic"] == h["italic"]) & ~tail["ends"]
     pages = pages.withColumn("_on", F.coalesce(goes_on, F.lit(False)).cast("int"))
     pages = pages.withColumn("_before", F.coalesce(F.sum(F.col("_n") - F.col("_on")).over(book.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = marked.join(pages.select("book", "page", "_on", "_before"), ["book", "page"]).withColumn("paragraph", F.col("_before") + F.when(F.col("_k") > 0, F.col("_k") - F.col("_on")).otherwise(0))
     lines = F.array_sort(F.collect_list(F.struct("page", "seq", "text", F.col("_mark").alias("mark"))))
     at = F.struct("page", "seq")
-    grouped = numbered.groupBy("book", "paragraph").agg(F.min("page").alias("page"), lines.alias("_lines"), F.count_if(F.col("_mark").isNull()).alias("n_lines"), F.min_by("x0", at).alias("x0"))
-    return grouped.select("book", "paragraph", "page", spliced(F.col("_lines")).alias("text"), "n_lines", "x0")
+    grouped = numbered.groupBy("book", "paragraph").agg(F.min("page").alias("page"), lines.alias("_lines"), F.count_if(F.col("_mark").isNull()).alias("n_lines"), F.min_by("x0", at).alias("x0"), F.min_by(run, at).alias("run"), F.min_by("seq", at).alias("seq"))
+    return grouped.select("book", "paragraph", "page", spliced(F.col("_lines")).alias("text"), "n_lines", "x0", *(["run", "seq"] if runs else []))
 
 
 def spliced(lines: Column) -> Column:
@@ -259,11 +263,12 @@ def drop_caps(blocks: DataFrame) -> DataFrame:
 
 
 def stanza_lines(lines: DataFrame) -> DataFrame:
-    """lines with the number of the stanza of their page: a new one begins at another style or a gap over 1.4 line heights."""
+    """lines with the number of the stanza of their page: a new one begins at another style, a gap over 1.4 line heights, or another `run`, where lines have it."""
     before = {c: F.lag(c).over(page_order()) for c in ("font", "size", "bold", "italic", "y1")}
     style = (before["font"] == F.col("font")) & (F.abs(before["size"] - F.col("size")) < 0.5) & (before["bold"] == F.col("bold")) & (before["italic"] == F.col("italic"))
     gap = F.col("y0") - before["y1"] > 1.4 * 1.3 * before["size"]
-    new = (before["font"].isNull() | ~style | gap).cast("int")
+    other = F.lag("run").over(page_order()) != F.col("run") if "run" in lines.columns else F.lit(False)
+    new = (before["font"].isNull() | other | ~style | gap).cast("int")
     return lines.withColumn("_new", new).withColumn("stanza", F.sum("_new").over(page_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import assembly as A
-from leafmill.operators import layout
+from leafmill.operators import layout, pages
 from leafmill.operators import sequential as S
-from leafmill.plans.layout_queries import _HEADING_SQL
+from leafmill.plans.layout_queries import _HEADING_SQL, _SIZE_SQL
 from leafmill.plans.tables import BLOCKS_SQL, PAGE_HEIGHT, blocks, read
-from leafmill.plans.text_queries import _COLLAPSE, _STRIP
+from leafmill.plans.text_queries import _COLLAPSE, _STRIP, _WORDS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,17 +76,19 @@ def bookmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.bookmark_blocks(marks, rows)
 
 
-_LABELED = "CASE WHEN seq = 0 THEN CASE page % 4 WHEN 0 THEN 'Chapter IV' WHEN 1 THEN '12.' WHEN 2 THEN 'Part 3' ELSE 'A Title' END ELSE text END"
+_LABELED = "CASE WHEN seq = 0 THEN CASE page % 6 WHEN 0 THEN 'Chapter IV' WHEN 1 THEN '12.' WHEN 2 THEN 'Part 3' WHEN 3 THEN 'mcmxc' WHEN 4 THEN 'Chapter IIX' ELSE 'A Title' END WHEN seq = 1 AND page % 5 < 3 THEN 'The Real Title ' ELSE text END"
 
 
 @query(
-    rf"""WITH {BLOCKS_SQL}, l AS (SELECT book, page, seq, {_LABELED} AS text FROM blocks), n AS (SELECT *, lead(text) OVER (PARTITION BY book, page ORDER BY seq) AS after FROM l)
-    SELECT book, page, seq, CASE WHEN page % 4 < 3 AND after IS NOT NULL AND len(list_filter(regexp_split_to_array(after, '[ \t\n\x0b\f\r]+'), lambda t: t <> '')) BETWEEN 1 AND 12 THEN concat(text, ': ', {_STRIP.format("after")}) ELSE text END AS title FROM n WHERE seq = 0"""
+    rf"""WITH {BLOCKS_SQL}, l AS (SELECT * REPLACE ({_LABELED} AS text) FROM blocks), {_SIZE_SQL.replace('FROM blocks', 'FROM l')},
+    n AS (SELECT *, lead(text) OVER w AS t2, lead(seq) OVER w AS s2, lead(size) OVER w AS z2, lead(bold) OVER w AS b2, lead(y0) OVER w AS top2 FROM l WINDOW w AS (PARTITION BY book, page ORDER BY seq)),
+    u AS (SELECT *, page % 6 < 4 AND t2 IS NOT NULL AND top2 - y1 BETWEEN 0 AND 4 * size AND len({_WORDS.format("t2")}) BETWEEN 1 AND 12 AND NOT regexp_matches(upper(trim(t2)), '^(CHAPTER |PART )?([0-9]+|[IVXLCDM]+)[.]?$') AND (z2 > body_size + 0.5 OR b2) AS use FROM n JOIN body USING (book) WHERE seq = 0)
+    SELECT book, page, seq, CASE WHEN use THEN concat({_STRIP.format("text")}, ' ', {_STRIP.format("t2")}) ELSE text END AS title, CASE WHEN use THEN s2 END AS taken FROM u"""
 )
 def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bare chapter's label takes the block after it as its title."""
+    """A bare chapter's label takes the block after it as its title, if that looks like one."""
     rows = blocks(spark, sf_dir).withColumn("text", F.expr(_LABELED))
-    return A.titled(rows.filter("seq = 0").select("book", "page", "seq", "text"), rows)
+    return A.titled(rows.filter("seq = 0").select("book", "page", "seq", "text"), rows, layout.body_size(rows))
 
 
 _NOTED = "CASE WHEN seq = 0 AND page % 9 = 4 THEN 'Notes:' WHEN seq % 3 = 1 THEN concat(page % 60, '. ', text) ELSE text END"
@@ -164,14 +166,15 @@ def duplicate_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that stay when a page's text is there twice, as layers do, here with every fourth line drawn again."""
     rows = blocks(spark, sf_dir)
     again = rows.filter("seq % 4 = 0").withColumn("seq", F.col("seq") + 10_000).withColumn("x0", F.col("x0") + 1)
-    return S.without_layers(rows.unionByName(again)).groupBy("book", "page").agg(F.count("*").alias("n"))
+    return pages.without_layers(rows.unionByName(again)).groupBy("book", "page").agg(F.count("*").alias("n"))
 
 
 @query()
 def caption_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images (every third line's place) with captions, each taken once."""
-    rows = blocks(spark, sf_dir).withColumn("kind", F.when(F.col("seq") % 3 == 0, "image").otherwise("text"))
-    return S.captioned(rows.withColumn("text", F.when(F.col("seq") % 3 == 1, F.concat(F.lit("Figure "), "seq", F.lit(". A view."))).otherwise(F.col("text"))))
+    rows = blocks(spark, sf_dir)
+    text = F.when(F.col("seq") % 3 == 1, F.concat(F.lit("Figure "), "seq", F.lit(". A view."))).otherwise(F.col("text"))
+    return pages.captioned(rows.filter("seq % 3 = 0"), rows.filter("seq % 3 <> 0").withColumn("text", text))
 
 
 @query()

@@ -74,6 +74,7 @@ def test_watch(spark, tmp_path):
 
 
 def test_sequential(spark):
+    from leafmill.operators import pages as P
     from leafmill.operators import sequential as S
 
     shape = "book string, page long, seq int, kind string, text string, bold boolean, x0 double, y0 double, x1 double, y1 double"
@@ -83,6 +84,6 @@ def test_sequential(spark):
         ("b", 3, 0, "text", "A", False, 0.0, 0.0, 1.0, 1.0), ("b", 3, 1, "text", "Ape: an animal", False, 0.0, 0.0, 1.0, 1.0), ("b", 3, 2, "text", "with: hands", False, 9.0, 0.0, 1.0, 1.0), ("b", 3, 3, "text", "Axe", True, 0.0, 0.0, 1.0, 1.0), ("b", 3, 4, "text", "a tool", False, 9.0, 0.0, 1.0, 1.0),
     ]
     df = spark.createDataFrame(rows, shape)
-    assert sorted(r.seq for r in S.without_layers(df.filter("page = 1")).collect()) == [0, 2]
-    assert sorted((r.image, r.caption) for r in S.captioned(df.filter("page = 2")).collect()) == [(0, 1), (2, 3)]
+    assert sorted(r.seq for r in P.without_layers(df.filter("page = 1")).collect()) == [0, 2]
+    assert sorted((r.image, r.caption) for r in P.captioned(df.filter("page = 2 AND kind = 'image'"), df.filter("page = 2 AND kind = 'text'")).collect()) == [(0, 1), (2, 3)]
     assert [(r.letter, r.term, r.definition) for r in S.glossary(df.filter("page = 3")).orderBy("entry").collect()] == [("A", "Ape", "an animal with: hands"), ("A", "Axe", "a tool")]
