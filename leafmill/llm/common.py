@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -88,7 +89,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Lets the system have the memory that a task no longer uses, as the worker may live on for other tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 class Flat:
