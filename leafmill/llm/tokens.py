@@ -39,11 +39,11 @@ _here: dict[tuple, WordTokenizer] = {}
 class WordTokenizer:
     """drops_space: the vocabulary ignores white space and case, and marks the ends of words."""
 
-    def __init__(self, path: str, drops_space: bool, units: int = 60_000):
+    def __init__(self, path: str, drops_space: bool, units: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
         self.drops_space, self.units = drops_space, units
-        #: Units met twice in a batch, and others met of late.
+        #: Units met twice in a batch, and others met of late (up to twice as many), of some ten bytes each.
         self.ids: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
