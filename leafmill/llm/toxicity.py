@@ -200,9 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     if len(learn) and len(kept):
         model.fit([lists[i] for i in learn], y[learn])
     apart = np.flatnonzero(part < APART)
-    if len(apart):
-        hashed, counts = np.concatenate([lists[i] for i in apart]).astype(np.int64), np.array([len(lists[i]) for i in apart], np.int64)
-        model.calibrate(model.logits(hashed, counts), model.language(hashed, counts), y[apart])
+    found: list[tuple[np.ndarray, list[str]]] = []
+    for at in range(0, len(apart), BATCH):  # few texts at a time, as all their responses are held
+        part = apart[at : at + BATCH]
+        hashed, counts = np.concatenate([lists[i] for i in part]).astype(np.int64), np.array([len(lists[i]) for i in part], np.int64)
+        found.append((model.logits(hashed, counts), model.language(hashed, counts)))
+    if found:
+        model.calibrate(np.concatenate([x for x, _ in found]), [k for _, ks in found for k in ks], y[apart])
     return model
 
 
