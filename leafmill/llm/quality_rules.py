@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,13 @@ MAX_REPEAT_PERCENT = 50
 #: A text that loses more than this share of its words with the lines that fail is rejected.
 MAX_LOST_PERCENT = 40
 SYMBOLS = b"#*$%&|<>"
-SEPARATORS = frozenset("| » › · • / > - – —".split())
+SEPARATORS = "| » › · • / > - – —".split()
 RUNS = ("!!", "??", "...", "…", "***", "---")
+_SEPARATORS, _RUNS = frozenset(x.encode() for x in SEPARATORS), tuple(x.encode() for x in RUNS)
 ENDS = ".!?:;\"'”»)…。！？"
-NOTICES = re.compile(r"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|click here|subscribe to our|skip to content", re.I)
-_LETTER = re.compile(r"[^\W\d_]")
+NOTICE = "all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|click here|subscribe to our|skip to content"
+NOTICES = re.compile(NOTICE, re.I)
+_LETTER, _CAPITAL = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}")
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -38,21 +41,22 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 
 def line_failure(line: str) -> str | None:
     """The rule that a line, looked at alone, fails."""
-    words = line.split()
+    words = line.encode().split()
     n = len(words)
     if not n:
         return None
     if 10 * sum(map(line.count, SYMBOLS.decode())) > len(line):
         return "symbols"
-    if n >= 3 and 3 * sum(w.endswith(RUNS) for w in words) > n:
+    if n >= 3 and 3 * sum(w.endswith(_RUNS) for w in words) > n:
         return "punctuation"
-    if line.upper() == line or sum(map(str.isupper, words)) * 2 > n:
-        letters = _LETTER.findall(line)
-        if len(letters) >= 20 and 10 * sum(map(str.isupper, letters)) > 6 * len(letters):
+    capitals = len(_CAPITAL.findall(line))
+    if capitals > 12:  # 20 letters have at least as many capitals if six tenths of them do
+        letters = len(_LETTER.findall(line))
+        if letters >= 20 and 10 * capitals > 6 * letters:
             return "capitals"
-    if n >= 3 and 5 * sum(w in SEPARATORS for w in words) >= n:
+    if n >= 3 and 5 * sum(w in _SEPARATORS for w in words) >= n:
         return "navigation"
-    if n <= 4 and words[-1][-1] not in ENDS:
+    if n <= 4 and words[-1].decode()[-1] not in ENDS:
         return "navigation"
     if NOTICES.search(line):
         return "boilerplate"

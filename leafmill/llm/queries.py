@@ -12,7 +12,7 @@ from leafmill.llm.id_files import op3_token_ids
 from leafmill.llm.lm_scoring import op8_lm_scores
 from leafmill.llm.packing import op10_packing
 from leafmill.llm.quality_classifier import op6_quality_classifier
-from leafmill.llm.quality_rules import op5_quality_rules
+from leafmill.llm.quality_rules import ENDS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NOTICE, RUNS, SEPARATORS, op5_quality_rules
 from leafmill.llm.simhash import op2_simhash
 from leafmill.llm.substring_dedup import op4_substring_dedup
 from leafmill.llm.toxicity import op1_toxicity
@@ -27,7 +27,29 @@ def _escaped(x: str) -> str:
     return f"regexp_replace({x}, '<(\\\\*)\\|', '<\\1\\\\|', 'g')"
 
 
+def _quoted(names: object) -> str:
+    return ", ".join(f"'{x}'" for x in names)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_SPACED} AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM docs WHERE len(words) >= 3),
+        windows AS (SELECT doc_id, i, array_to_string(words[i : i + 2], ' ') AS said FROM starts),
+        twice AS (SELECT doc_id, said FROM windows GROUP BY doc_id, said HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS place FROM windows JOIN twice USING (doc_id, said)) GROUP BY doc_id),
+        split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM docs),
+        worded AS (SELECT *, regexp_extract_all(line, '[^ \\x09-\\x0D]+') AS ws, row_number() OVER (PARTITION BY doc_id, line ORDER BY nth) > 1 AS again FROM split),
+        judged AS (SELECT *, len(ws) AS n, 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > length(line)
+            OR (len(ws) >= 3 AND 3 * len(list_filter(ws, lambda w: {" OR ".join(f"ends_with(w, '{x}')" for x in RUNS)})) > len(ws))
+            OR (len(regexp_extract_all(line, '\\p{{L}}')) >= 20 AND 10 * len(regexp_extract_all(line, '\\p{{Lu}}')) > 6 * len(regexp_extract_all(line, '\\p{{L}}')))
+            OR (len(ws) >= 3 AND 5 * len(list_filter(ws, lambda w: w IN ({_quoted(SEPARATORS)}))) >= len(ws))
+            OR (len(ws) <= 4 AND NOT contains('{ENDS.replace("'", "''")}', right(ws[-1], 1))) OR regexp_matches(line, '(?i){NOTICE}') AS failed FROM worded WHERE len(ws) > 0),
+        lost AS (SELECT doc_id, count(*) FILTER (again) AS dup, sum(CASE WHEN again OR failed THEN n ELSE 0 END) AS lost FROM judged GROUP BY doc_id),
+        counted AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
+        SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+            NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost <= {MAX_LOST_PERCENT} * n_words AS kept FROM counted""",
     "op4_substring_dedup": f"""
         WITH docs AS (SELECT doc_id, {_SPACED} AS words FROM documents),
         starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs WHERE len(words) >= 13),
