@@ -143,10 +143,3 @@ def in_zones(pages: DataFrame, zones: DataFrame) -> DataFrame:
     """pages (book, page) with the zone (book, start_page, end_page, zone) that holds them, body if none does."""
     hit = pages.join(zones, "book").filter(F.col("page").between(F.col("start_page"), F.col("end_page"))).groupBy("book", "page").agg(F.min("zone").alias("zone"))
     return pages.join(hit, ["book", "page"], "left").select("book", "page", F.coalesce("zone", F.lit("body")).alias("zone"))
-
-
-def single_file(chapters: DataFrame, title: Column) -> DataFrame:
-    """book, body: all chapters (book, number, title, body) in one file, no more than one empty line in a row."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("number", "title", "body"))), lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n\n"), x["body"]))
-    whole = chapters.groupBy("book").agg(F.array_join(parts, "\n\n").alias("body"))
-    return whole.select("book", F.regexp_replace(F.concat(F.lit("# "), title, F.lit("\n\n"), "body"), "\n{3,}", "\n\n").alias("body"))

@@ -41,24 +41,6 @@ def tables_found(grids: DataFrame) -> DataFrame:
     return grids.filter((F.size("cells") >= 2) & F.forall("cells", lambda r: F.size(r) >= 2))
 
 
-def pipe_table(cells: Column) -> Column:
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = F.array(line(F.transform(cells[0], lambda c: F.lit("---"))))
-    return F.array_join(F.concat(F.array(line(cells[0])), rule, F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), line)), "\n")
-
-
-def zones(rows: DataFrame) -> DataFrame:
-    """book, front_end, back_start from rows (book, number, total, text) of numbered pages."""
-    line = F.lower(F.regexp_replace("text", "^[ \t]+|[ \t]+$", ""))
-    n = T.n_words(line)
-    front = ((n <= 6) & line.rlike(f"^({FRONT})( |:|$)|(^| )({FRONT})$")) | ((n <= 12) & line.rlike(FRONT_DATA))
-    back = (n <= 6) & line.rlike(rf"^({BACK})( |:|$)|(^| )({BACK})$|^appendix\s+[a-z0-9]")
-    pages = rows.groupBy("book", "number", "total").agg(F.max(front).alias("front"), F.max(back).alias("back"))
-    early = F.col("number") <= F.greatest(F.floor(F.col("total") * 0.15), F.lit(1))
-    late = F.col("number") > F.col("total") - F.greatest(F.floor(F.col("total") * 0.2), F.lit(1))
-    return pages.groupBy("book").agg(F.coalesce(F.max(F.when(F.col("front") & early, F.col("number"))), F.lit(0)).cast("long").alias("front_end"), F.min(F.when(F.col("back") & late, F.col("number"))).cast("long").alias("back_start"))
-
-
 def monotone(rows: DataFrame, book: str, at: str) -> DataFrame:
     """Front matter after the body counts to the body."""
     before = Window.partitionBy(book).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
@@ -154,43 +136,6 @@ def report(chapters: DataFrame, footnotes: DataFrame, images: DataFrame, pages:
     return out.select("book", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("total_chapters", "total_footnotes", "total_images", "ocr_pages")))
 
 
-def renumbered(notes: DataFrame, book: str, at: str) -> DataFrame:
-    clash = notes.groupBy(book).agg((F.count("*") != F.count_distinct("marker")).alias("clash"), F.min(F.col("marker").rlike("^[0-9]+$")).alias("digits"))
-    number = F.row_number().over(Window.partitionBy(book).orderBy(at)).cast("string")
-    new = F.when(~F.col("clash"), F.col("marker")).when(F.col("digits"), number).otherwise(F.concat_ws("-", at, "marker"))
-    return notes.join(clash, book).withColumn("new_marker", new).select(book, at, "marker", "new_marker")
-
-
-def index_body(chapters: DataFrame) -> DataFrame:
-    """book, body: links to chapters (book, number, title, part_title), each new part's title before its first."""
-    before = F.lag("part_title").over(Window.partitionBy("book").orderBy("number"))
-    head = F.when(before.eqNullSafe(F.col("part_title")), "").otherwise(F.concat(F.lit("## "), "part_title", F.lit("\n")))
-    line = F.concat(head, F.lit("- [["), F.format_string("%02d", "number"), F.lit(" - "), "title", F.lit("]]"))
-    parts = chapters.withColumn("line", line).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
-    return parts.select("book", F.array_join(F.transform("x", lambda y: y["line"]), "\n").alias("body"))
-
-
-def rendered(content: DataFrame) -> DataFrame:
-    """book, page, body: a Markdown file of the items (kind heading, callout or paragraph) of each page, in order."""
-    item = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "text")).when(F.col("kind") == "callout", F.concat(F.lit("> [!note] "), "text")).otherwise(F.col("text"))
-    rows = content.withColumn("item", item).groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("x"))
-    return rows.select("book", "page", F.concat(F.lit('---\nbook: "'), "book", F.lit('"\n---\n\n'), F.array_join(F.transform("x", lambda y: y["item"]), "\n\n")).alias("body"))
-
-
-def as_markdown(flow: DataFrame, key: str) -> DataFrame:
-    """key, markdown of the blocks (seq, kind, level, text) of each page."""
-    k = F.col("kind")
-    item = F.when(k.rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).when(k == "li", F.concat(F.repeat(F.lit("    "), F.greatest(F.col("level") - 1, F.lit(0))), F.lit("- "), "text"))
-    item = item.when(k == "blockquote", F.concat(F.lit("> "), "text")).when(k == "pre", F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
-    rows = flow.withColumn("item", item).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("x"))
-    return rows.select(key, F.array_join(F.transform("x", lambda y: y["item"]), "\n\n").alias("markdown"))
-
-
-def note_links(c: Column, mark: str, stem: str, prefix: str) -> Column:
-    """Markers between sentinels as links to anchors of the file `stem`."""
-    return F.regexp_replace(c, f"{mark}([^{mark}]+){mark}", f"[[{stem}#^{prefix}-$1|$1]]")
-
-
 def corrections(answers: DataFrame, key: str) -> DataFrame:
     """key, id, action, new_level of the corrections in answers (key, answer, n_headings) that can be followed.
 
@@ -206,12 +151,6 @@ def corrections(answers: DataFrame, key: str) -> DataFrame:
     return first.withColumn("gone", gone).filter("NOT (action = 'demote' AND gone >= n_headings)").select(key, "id", "action", "new_level")
 
 
-def scorecard(signs: DataFrame) -> DataFrame:
-    s = signs.groupBy("book").agg(*(F.sum(c).alias(c) for c in ("numbered", "code", "tables", "math")))
-    step = lambda c, many, high, low: F.when(F.col(c) >= many, high).when(F.col(c) >= 1, low).otherwise(0)
-    return s.select("book", (step("numbered", 2, 3, 1) + step("code", 3, 3, 1) + step("math", 3, 3, 1) + step("tables", 2, 2, 1)).alias("score"))
-
-
 def alike(edges: DataFrame, least: int = 5, ratio: float = 0.82) -> DataFrame:
     """book, band, first, n_lines, members: clusters of `least` lines or more that are like their first one.
 

@@ -153,15 +153,11 @@ def zone_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT source AS book, regexp_replace(concat('# Book ', source, chr(10), chr(10), string_agg(concat('## Chapter ', doc_id, chr(10), chr(10), text), chr(10) || chr(10) ORDER BY doc_id)), '\n{3,}', chr(10) || chr(10), 'g') AS body FROM documents GROUP BY source"""
+    f"""WITH {BLOCKS_SQL}, d AS (SELECT book, page, seq, {_COLLAPSE.format('text')} AS t, x0, y0, x1, y1 FROM blocks UNION ALL SELECT book, page, seq + 10000, {_COLLAPSE.format('text')}, x0 + 1, y0, x1, y1 FROM blocks WHERE seq % 4 = 0),
+    k AS (SELECT * FROM d b WHERE NOT EXISTS (SELECT 1 FROM d a WHERE a.book = b.book AND a.page = b.page AND a.t = b.t AND a.seq < b.seq AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+      AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.7 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))))
+    SELECT book, page, count(*) AS n FROM k GROUP BY book, page"""
 )
-def render_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each book in one Markdown file."""
-    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("number"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), F.col("text").alias("body"))
-    return A.single_file(rows, F.concat(F.lit("Book "), "book"))
-
-
-@query()
 def duplicate_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that stay when a page's text is there twice, as layers do, here with every fourth line drawn again."""
     rows = blocks(spark, sf_dir)

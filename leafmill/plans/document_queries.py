@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import document as D
+from leafmill.operators import rendering as R
 from leafmill.operators import layout
-from leafmill.plans.layout_queries import boxes, verse_blocks
+from leafmill.plans.layout_queries import _VERSE_SQL, boxes, verse_blocks
 from leafmill.plans.tables import BLOCKS_SQL, LINES_SQL, PAGE_HEIGHT, PAGE_WIDTH, blocks, lines, read
 from leafmill.plans.text_queries import _COLLAPSE, _STRIP
 from leafmill.sources import html as H
@@ -46,14 +47,20 @@ def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks of each page in order, with their text as Markdown."""
-    return H.flow(read(spark, sf_dir, "pages"), "page_id", "html")
+    """The content items of each page in order, with their sections."""
+    return H.items(read(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "section", "item", "section_title", "section_level", "kind", "text", "lines")
 
 
 @query()
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as one Markdown text."""
-    return D.as_markdown(H.flow(read(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+    rows = H.items(read(spark, sf_dir, "pages"), "page_id", "html")
+    none = F.lit(None).cast("string")
+    lines_of = R.item_lines(none, none, none, numbering=False)
+    head = F.when((F.col("item") == 0) & F.col("section_title").isNotNull(), F.array(F.concat(F.repeat(F.lit("#"), F.col("section_level")), F.lit(" "), "section_title"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    told = F.concat(head, F.when(F.col("kind").isNotNull(), F.concat(lines_of, F.array(F.lit("")))).otherwise(F.array().cast("array<string>")))
+    parts = rows.withColumn("told", told).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("section", "item", "told"))).alias("x"))
+    return parts.select("page_id", T.rstripped(F.array_join(F.flatten(F.transform("x", lambda y: y["told"])), "\n")).alias("markdown"))
 
 
 _TABLES_SQL = rf"""{LINES_SQL}, rows_ AS (SELECT book, page, seq, list_transform(string_split(text, '|'), lambda c: {_STRIP.format("c")}) AS cells FROM lines WHERE len(string_split(text, '|')) >= 2),
@@ -81,31 +88,15 @@ def table_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_TABLES_SQL} SELECT book, page, concat('| ', array_to_string(cells[1], ' | '), ' |', chr(10), '| ', array_to_string(list_transform(cells[1], lambda c: '---'), ' | '), ' |',
-      CASE WHEN len(cells) > 1 THEN concat(chr(10), array_to_string(list_transform(cells[2:], lambda r: concat('| ', array_to_string(r, ' | '), ' |')), chr(10))) ELSE '' END) AS markdown FROM tables"""
+    rf"""WITH {_TABLES_SQL} SELECT book, page, CASE WHEN len(list_filter(cells, lambda r: len(r) > 8 OR len(list_filter(r, lambda c: length(c) > 80)) > 0)) > 0
+      THEN concat('<table>', array_to_string(list_transform(cells, lambda r: concat('<tr>', array_to_string(list_transform(r, lambda c: concat('<td>', c, '</td>')), ''), '</tr>')), ''), '</table>')
+      ELSE concat('| ', array_to_string(cells[1], ' | '), ' |', chr(10), '|', array_to_string(list_transform(cells[1], lambda c: '---'), '|'), '|',
+      CASE WHEN len(cells) > 1 THEN concat(chr(10), array_to_string(list_transform(cells[2:], lambda r: concat('| ', array_to_string(r, ' | '), ' |')), chr(10))) ELSE '' END) END AS markdown FROM tables"""
 )
 def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir).select("book", "page", D.pipe_table(F.col("cells")).alias("markdown"))
-
-
-_ZONED = "CASE WHEN seq = 0 AND page % 50 < 3 THEN 'Preface' WHEN seq = 0 AND page % 50 > 46 THEN 'Bibliography' WHEN seq = 1 AND page % 50 = 1 THEN 'Copyright 2020' ELSE text END"
-_NUM_SQL = f"""{LINES_SQL}, ranked AS (SELECT source AS book, doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, count(*) OVER (PARTITION BY source) AS total FROM documents),
-  zoned AS (SELECT l.book, l.page, number, total, lower(regexp_replace({_ZONED.replace('page', 'number').replace('text', 'l.text')}, '^[ \\t]+|[ \\t]+$', '', 'g')) AS line FROM lines l JOIN ranked r ON l.book = r.book AND l.page = r.page),
-  signs AS (SELECT book, number, any_value(total) AS total, bool_or((words <= 6 AND regexp_matches(line, '^({D.FRONT})( |:|$)|(^| )({D.FRONT})$')) OR (words <= 12 AND regexp_matches(line, '{D.FRONT_DATA}'))) AS front,
-    bool_or(words <= 6 AND regexp_matches(line, '^({D.BACK})( |:|$)|(^| )({D.BACK})$|^appendix\\s+[a-z0-9]')) AS back FROM (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda t: t <> '')) AS words FROM zoned) GROUP BY book, number)"""
-
-
-@query(f"""WITH {_NUM_SQL} SELECT book, CAST(coalesce(max(CASE WHEN front AND number <= greatest(floor(total * 0.15), 1) THEN number END), 0) AS BIGINT) AS front_end,
-    CAST(min(CASE WHEN back AND number > total - greatest(floor(total * 0.2), 1) THEN number END) AS BIGINT) AS back_start FROM signs GROUP BY book""")
-def zone_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where front matter ends and back matter begins, from the labels in the first 15 and the last 20 hundredths."""
-    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
-    order = Window.partitionBy("book").orderBy("page")
-    pages = docs.select("book", "page").withColumn("number", F.row_number().over(order))
-    total = docs.groupBy("book").agg(F.count("*").alias("total"))
-    rows = lines(spark, sf_dir).join(pages, ["book", "page"]).join(total, "book")
-    marked = F.expr(_ZONED.replace("page", "number"))
-    return D.zones(rows.withColumn("text", marked))
+    """Tables between pipes, or as HTML where they are complex."""
+    shown = R.table_lines(F.col("cells"), D.is_complex(F.col("cells")), lambda c: c)
+    return _tables(spark, sf_dir).select("book", "page", F.array_join(shown, "\n").alias("markdown"))
 
 
 @query(
@@ -241,40 +232,6 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.report(docs.filter("doc_id % 5 = 0"), notes, docs.filter(F.contains("text", F.lit("|"))), docs.withColumn("ocrd", F.expr("doc_id % 4 = 0")))
 
 
-@query(
-    """WITH c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 0 THEN '*' ELSE CAST(turn % 3 AS VARCHAR) END AS marker FROM conversations),
-    k AS (SELECT conv_id, count(*) <> count(DISTINCT marker) AS clash, bool_and(regexp_matches(marker, '^[0-9]+$')) AS digits FROM c GROUP BY conv_id)
-    SELECT conv_id, turn, marker, CASE WHEN NOT clash THEN marker WHEN digits THEN CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) ELSE concat(turn, '-', marker) END AS new_marker FROM c JOIN k USING (conv_id)"""
-)
-def footnote_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of a book in one file: kept if they differ, numbered through if all are digits, else with the chapter's."""
-    marker = F.expr("CASE WHEN (conv_id + turn) % 4 = 0 THEN '*' ELSE CAST(turn % 3 AS STRING) END")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", marker.alias("marker"))
-    return D.renumbered(rows, "conv_id", "turn")
-
-
-@query(
-    """WITH c AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, doc_id, concat('Chapter ', doc_id) AS title, concat('Part ', doc_id // 400) AS part FROM documents),
-    p AS (SELECT *, CASE WHEN lag(part) OVER (PARTITION BY book ORDER BY number) IS DISTINCT FROM part THEN concat('## ', part, chr(10)) ELSE '' END AS head FROM c)
-    SELECT book, string_agg(concat(head, '- [[', printf('%02d', number), ' - ', title, ']]'), chr(10) ORDER BY number) AS body FROM p GROUP BY book"""
-)
-def render_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of each book: parts as headings, chapters as links."""
-    order = Window.partitionBy("book").orderBy("doc_id")
-    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", F.concat(F.lit("Chapter "), "doc_id").alias("title"), F.expr("concat('Part ', doc_id div 400)").alias("part_title"))
-    return D.index_body(rows.withColumn("number", F.row_number().over(order)))
-
-
-@query(
-    rf"""WITH {LINES_SQL}, t AS (SELECT book, page, seq, CASE WHEN seq = 0 THEN concat('# ', text) WHEN seq % 4 = 3 THEN concat('> [!note] ', text) ELSE text END AS text FROM lines WHERE text <> '')
-    SELECT book, page, concat('---', chr(10), 'book: "', book, '"', chr(10), '---', chr(10), chr(10), string_agg(text, chr(10) || chr(10) ORDER BY seq)) AS body FROM t GROUP BY book, page"""
-)
-def render_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown file for each page: its first line a heading, every fourth a callout, the others paragraphs."""
-    kind = F.when(F.col("seq") == 0, "heading").when(F.col("seq") % 4 == 3, "callout").otherwise("paragraph")
-    return D.rendered(lines(spark, sf_dir).filter("text <> ''").withColumn("kind", kind))
-
-
 @query(
     rf"""WITH {LINES_SQL} SELECT book, page, seq, concat('[', seq, '] ', text, ' [[Notes#^note-', seq, '|', seq, ']]') AS text FROM lines"""
 )
@@ -282,7 +239,8 @@ def inline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endnote sentinels in the text become links to the note's anchor."""
     mark = ""
     rows = lines(spark, sf_dir).select("book", "page", "seq", F.concat(F.lit("["), "seq", F.lit("] "), "text", F.lit(f" {mark}"), "seq", F.lit(mark)).alias("text"))
-    return rows.withColumn("text", D.note_links(F.col("text"), mark, "Notes", "note"))
+    none = F.lit(None).cast("string")
+    return rows.withColumn("text", R.references(F.col("text"), F.lit("Notes"), none))
 
 
 def _one(id_: str, action: str, level: str) -> str:
@@ -345,18 +303,6 @@ def fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.alike(D.edge_bands(running(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)).withColumn("members", F.array_sort("members"))
 
 
-@query(
-    """WITH s AS (SELECT source AS book, doc_id % 3 AS numbered, doc_id % 2 AS code, CASE WHEN contains(text, '|') THEN 1 ELSE 0 END AS tables_, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS math FROM documents),
-    t AS (SELECT book, sum(numbered) AS numbered, sum(code) AS code, sum(tables_) AS tables_, sum(math) AS math FROM s GROUP BY book)
-    SELECT book, CAST(CASE WHEN numbered >= 2 THEN 3 WHEN numbered = 1 THEN 1 ELSE 0 END + CASE WHEN code >= 3 THEN 3 WHEN code >= 1 THEN 1 ELSE 0 END + CASE WHEN math >= 3 THEN 3 WHEN math >= 1 THEN 1 ELSE 0 END + CASE WHEN tables_ >= 2 THEN 2 WHEN tables_ = 1 THEN 1 ELSE 0 END AS INTEGER) AS score FROM t"""
-)
-def profile_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signs of technical books, weighed; three points or more make one."""
-    docs = read(spark, sf_dir, "documents")
-    signs = docs.select(F.col("source").alias("book"), F.expr("doc_id % 3").alias("numbered"), F.expr("doc_id % 2").alias("code"), F.contains("text", F.lit("|")).cast("int").alias("tables"), F.expr("CAST(doc_id % 11 = 0 AS INT)").alias("math"))
-    return D.scorecard(signs)
-
-
 @query()
 def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a page within ten points of each other as one region, unless it is small or covers a place taken before."""
@@ -364,7 +310,10 @@ def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.regions(boxes(spark, sf_dir), taken, least=30.0)
 
 
-@query()
+@query(
+    f"""WITH {_VERSE_SQL}, n AS (SELECT *, CASE WHEN lag(is_verse) OVER w IS DISTINCT FROM is_verse THEN 1 ELSE 0 END AS fresh FROM found WINDOW w AS (PARTITION BY book, page ORDER BY stanza)),
+    r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY book, page ORDER BY stanza) AS BIGINT) AS run FROM n) SELECT book, page, run, is_verse, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) AS n_stanzas FROM r GROUP BY book, page, run, is_verse"""
+)
 def verse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of stanzas of a page, with the lines between them as prose."""
     rows = verse_blocks(spark, sf_dir)

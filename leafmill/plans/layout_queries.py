@@ -204,19 +204,20 @@ def verse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({k: F.expr(v.replace("seq // 4", "seq div 4")) for k, v in _LAID.items()})
 
 
-@query(
-    rf"""WITH {_VERSE_BLOCKS}, {_SIZE_SQL}, {_MARGIN_SQL}, f AS (SELECT *, CASE WHEN lag(font) OVER w IS NULL OR lag(font) OVER w <> font OR abs(lag(size) OVER w - size) >= 0.5 OR lag(bold) OVER w <> bold OR lag(italic) OVER w <> italic OR y0 - lag(y1) OVER w > 1.4 * 1.3 * lag(size) OVER w THEN 1 ELSE 0 END AS fresh
+_VERSE_SQL = rf"""{_VERSE_BLOCKS}, {_SIZE_SQL}, {_MARGIN_SQL}, f AS (SELECT *, CASE WHEN lag(font) OVER w IS NULL OR lag(font) OVER w <> font OR abs(lag(size) OVER w - size) >= 0.5 OR lag(bold) OVER w <> bold OR lag(italic) OVER w <> italic OR y0 - lag(y1) OVER w > 1.4 * 1.3 * lag(size) OVER w THEN 1 ELSE 0 END AS fresh
       FROM blocks WINDOW w AS (PARTITION BY book, page ORDER BY seq)),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY book, page ORDER BY seq) AS stanza, regexp_replace(text, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS t FROM f),
     a AS (SELECT book, page, CAST(stanza AS BIGINT) AS stanza, count(*) AS lines, count(*) FILTER (t <> '') AS n, max(length(t)) AS longest, avg(length(t)) FILTER (t <> '') AS mean,
       bool_or(regexp_matches(t, '^["''“”‘’«»]|["''“”‘’«»]$') AND regexp_matches(t, '(?i)\b({T.SPEECH})\b')) AS dialogue, count(*) FILTER (regexp_matches(t, '^[^:]{{1,30}}:\s+\S')) AS defined,
       avg(CAST(regexp_matches(t, '^\p{{Lu}}') AS DOUBLE)) FILTER (t <> '') AS capital, count(*) FILTER (regexp_matches(t, '[.?!]$')) AS ended, max(x0) - min(x0) AS spread, avg(x0) AS lefts,
       count(*) FILTER (x1 >= right_margin - 20.0) AS reaching, any_value(left_margin) AS left_margin, any_value(body_size) AS body_size FROM g JOIN margins USING (book) JOIN body USING (book) GROUP BY book, page, stanza),
-    i AS (SELECT *, lefts > left_margin + 1.2 * body_size AS indented FROM a)
-    SELECT book, page, stanza, lines AS n_lines, coalesce(n >= 2 AND NOT dialogue AND defined < 2 AND longest <= 65 AND mean <= 52 AND CASE WHEN n >= 3 THEN ended / n <= 0.5 ELSE indented OR ended < 2 END
+    i AS (SELECT *, lefts > left_margin + 1.2 * body_size AS indented FROM a),
+    found AS (SELECT book, page, stanza, lines AS n_lines, coalesce(n >= 2 AND NOT dialogue AND defined < 2 AND longest <= 65 AND mean <= 52 AND CASE WHEN n >= 3 THEN ended / n <= 0.5 ELSE indented OR ended < 2 END
       AND CASE WHEN n >= 3 THEN capital >= CASE WHEN indented THEN 0.45 ELSE 0.6 END ELSE (indented OR capital >= 1.0) AND longest <= 55 END
-      AND reaching <= 1 AND (lines < 3 OR reaching / lines <= 0.3) AND spread <= 60, false) AS is_verse FROM i"""
-)
+      AND reaching <= 1 AND (lines < 3 OR reaching / lines <= 0.3) AND spread <= 60, false) AS is_verse FROM i)"""
+
+
+@query(f"WITH {_VERSE_SQL} SELECT * FROM found")
 def verse_stanza(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stanzas of a page and whether they are verse."""
     rows = verse_blocks(spark, sf_dir)

@@ -1,107 +1,50 @@
-"""Web pages and the bodies of EPUB chapters as rows of blocks.
+"""Web pages as rows of content items.
 
 A page is one text of bounded size, so it is parsed whole, by the standard library's tokenizer; pages are dealt to
-tasks by the scan. Unclosed paragraphs and list items end where the next block begins; comments, scripts, styles and
-navigation don't count as text.
+tasks by the scan. Comments, scripts, styles and templates don't count as text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "figcaption", "dt", "dd"}
-CONTAINERS = {"div", "section", "article", "body", "main", "ul", "ol", "table", "tr", "aside", "header", "footer", "figure", "nav"}
-SKIPPED = {"script", "style", "head", "template", "noscript"}
-INLINE = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "s": "~~", "del": "~~", "sup": "^", "sub": "~"}
-SCHEMA = "seq int, kind string, level int, text string"
-
-
-class _Flow(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, int, str]] = []
-        self.kind, self.parts, self.open = "text", [], []
-        self.skip, self.lists, self.href = 0, [], []
+from leafmill.sources import markup
+from leafmill.sources.books import ROWS
 
-    def flush(self) -> None:
-        for tag in reversed(self.open):
-            self.parts.append(INLINE[tag])
-        text = re.sub(r"[ \t\r\n]+", " ", "".join(self.parts)).strip() if self.kind != "pre" else "".join(self.parts).strip("\n")
-        for mark in set(INLINE.values()):
-            text = text.replace(f"{mark} {mark}", " ") if len(mark) > 1 else text
-        if text.strip("*`~^ "):
-            level = int(self.kind[1]) if self.kind[0] == "h" and self.kind[1:].isdigit() else len(self.lists) if self.kind == "li" else 0
-            self.out.append((self.kind, level, text))
-        self.kind, self.parts, self.open, self.href = "text", [], [], []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED:
-            self.skip += 1
-        elif self.skip:
-            return
-        elif tag in BLOCKS or tag in CONTAINERS:
-            self.flush()
-            self.kind = tag if tag in BLOCKS else "text"
-            if tag in ("ul", "ol"):
-                self.lists.append(tag)
-        elif tag == "br":
-            self.parts.append("\n" if self.kind == "pre" else " ")
-        elif tag in INLINE:
-            self.open.append(tag)
-            self.parts.append(INLINE[tag])
-        elif tag == "a":
-            href = dict(attrs).get("href") or ""
-            self.href.append(href if href and not href.startswith("#") else "")
-            self.parts.append("[" if self.href[-1] else "")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif self.skip:
-            return
-        elif tag in BLOCKS or tag in CONTAINERS:
-            self.flush()
-            if tag in ("ul", "ol") and self.lists:
-                self.lists.pop()
-        elif tag in INLINE and tag in self.open:
-            while self.open:
-                last = self.open.pop()
-                self.parts.append(INLINE[last])
-                if last == tag:
-                    break
-        elif tag == "a" and self.href:
-            href = self.href.pop()
-            self.parts.append(f"]({href})" if href else "")
+SKIPPED = {"script", "style", "head", "template", "noscript"}
+_NAMES = ["section", "item", "section_title", "section_level", "kind", "text", "lines", "label", "attribution", "italic", "display", "points", "cells", "complex", "image", "caption"]
+_DDL = "section int, item int, section_title string, section_level int, kind string, text string, lines array<string>, label string, attribution string, italic boolean, display boolean, points array<struct<text: string, level: int, ordered: boolean, marker: string>>, cells array<array<string>>, complex boolean, image string, caption string"
 
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.parts.append(data)
 
+def page_items(html: str) -> list[dict]:
+    """Rows of the items of a page, by the sections that its headings begin; a section without items is a row of no kind.
 
-def parse(html: str) -> list[tuple[str, int, str]]:
-    """(kind, level, Markdown) of the blocks in order."""
-    flow = _Flow()
-    flow.feed(html)
-    flow.close()
-    flow.flush()
-    return flow.out
+    Images are those of the page itself, by their addresses.
+    """
+    root = markup.tree(html).without(lambda t: t.name in SKIPPED)
+    root, texts = markup.note_definitions(root)
+    images = {t.get("src"): t.get("src") for t in root.all("img")}
+    images |= {x.split("#")[0].split("?")[0]: x for x in images}
+    sections, _, _ = markup.sections(root, "", images, texts)
+    out = []
+    for n, s in enumerate(sections):
+        base = {"section": n, "section_title": s["title"], "section_level": s["level"]}
+        out += [{**base, "item": i, **x} for i, x in enumerate(s["items"])] or [{**base, "item": 0}]
+    return out
 
 
-def flow(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, seq, kind, level, text of the blocks of each row; null pages have none."""
+def items(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and the items of each row, as rendering takes them; null pages have none."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, *block) for k, text in zip(batch["key"].to_pylist(), batch["html"].to_pylist(), strict=True) for i, block in enumerate(parse(text or ""))]
+            rows = [{"key": k, **x} for k, text in zip(batch["key"].to_pylist(), batch["html"].to_pylist(), strict=True) for x in page_items(text or "")]
             if rows:
-                kinds = [batch.schema.field("key").type, pa.int32(), pa.string(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "seq", "kind", "level", "text"])
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([pa.field("key", batch.schema.field("key").type), *(ROWS.field(x) for x in _NAMES)]))
 
     rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
-    return rows.mapInArrow(task, f"key {rows.schema['key'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("key", key)
+    return rows.mapInArrow(task, f"key {rows.schema['key'].dataType.simpleString()}, {_DDL}").withColumnRenamed("key", key)

@@ -12,6 +12,7 @@ from leafmill.operators.layout import FOOTNOTE_MARK
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 HEADINGS = {f"h{i}" for i in range(1, 7)}
+CLOSES |= {x: {"p"} for x in (*HEADINGS, "address", "article", "aside", "blockquote", "dl", "div", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul")}
 BLOCKS = {"p", "blockquote", "ul", "ol", "table", "pre", "img", "figure", "aside", "math"}
 #: Classes of boxes, and their labels in the order in which they are looked for.
 BOXES, BOX_LABELS = ("callout", "note", "warning", "tip", "important", "caution"), ("warning", "tip", "caution", "important", "info", "note")

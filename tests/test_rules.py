@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import document as D
 from leafmill.operators import layout
-from leafmill.sources.html import parse
+from leafmill.sources.html import page_items
 from leafmill.streaming.intake import watch
 
 
@@ -61,8 +61,10 @@ def test_titles_beyond_the_bound(spark):
 
 
 def test_html():
-    got = parse('<body><!-- no --><h1>A <i>B</i></h1><p>one<p>two <a href="u">l</a><ul><li>x<ul><li>y</ul></ul><script>"</p>"</script>tail')
-    assert got == [("h1", 1, "A *B*"), ("p", 0, "one"), ("p", 0, "two [l](u)"), ("li", 1, "x"), ("li", 2, "y"), ("text", 0, "tail")]
+    rows = page_items('<body><!-- no --><h1>A <i>B</i></h1><p>one<p>two <a href="u">l</a><ul><li>x<li>y</ul><script>"</p>"</script><div>tail</div><h2>C</h2><img src="i.png?x" alt="d"></body>')
+    got = [(r["section_title"], r["section_level"], r.get("kind"), r.get("text")) for r in rows]
+    assert got == [("A B", 1, "paragraph", "one"), ("A B", 1, "paragraph", "two [l](u)"), ("A B", 1, "list", None), ("A B", 1, "paragraph", "tail"), ("C", 2, "image", None)]
+    assert [p["text"] for p in rows[2]["points"]] == ["x", "y"] and rows[4]["image"] == "i.png?x" and rows[4]["caption"] == "d"
 
 
 def test_watch(spark, tmp_path):
