@@ -100,7 +100,7 @@ def profile_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT book, page, string_agg(text, '' ORDER BY seq) AS t FROM b GROUP BY book, page), v AS (SELECT book, page, avg(CAST((page + seq) % 3 > 0 AND page % 2 = 0 AS INTEGER)) > 0.5 AS is_vertical FROM lines GROUP BY book, page),
     q AS (SELECT *, length(t) AS n, {_WORDS.format("t")} AS w FROM s), c AS (SELECT book, page, t, 0.4 * least(n / 20.0, 1.0) + 0.3 * CASE WHEN n = 0 THEN 0.0 ELSE greatest(1.0 - 10.0 * len(regexp_extract_all(t, '[\x{{E000}}-\x{{F8FF}}\x{{FFFD}}]')) / n, 0.0) END
       + 0.3 * CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '^[.,;:!?"''()\[\]{{}}“”‘’—\-*]+|[.,;:!?"''()\[\]{{}}“”‘’—\-*]+$', '', 'g'), '^[A-Za-z]{{2,20}}$'))) / len(w) END AS score FROM q)
-    SELECT book, page, round(score, 6) AS score, score < 0.5 AND length({_STRIP.format("t")}) <= 5 AND page % 5 > 0 AS is_blank, is_vertical, score < 0.5 AND NOT (length({_STRIP.format("t")}) <= 5 AND page % 5 > 0) AS needs_ocr FROM c JOIN v USING (book, page)"""
+    SELECT book, page, round(score + 1e-9, 6) AS score, score < 0.5 AND length({_STRIP.format("t")}) <= 5 AND page % 5 > 0 AS is_blank, is_vertical, score < 0.5 AND NOT (length({_STRIP.format("t")}) <= 5 AND page % 5 > 0) AS needs_ocr FROM c JOIN v USING (book, page)"""
 )
 def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are blank, to be recognised, or written from top to bottom."""
@@ -109,7 +109,7 @@ def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     upright = rows.select("book", "page", ((F.col("page") + F.col("seq")) % 3 > 0).alias("a"), (F.col("page") % 2 == 0).alias("b")).select("book", "page", (F.col("a") & F.col("b")).alias("vertical"))
     every = rows.select("book", "page").distinct()
     found = pages.page_states(every, rows.withColumn("text", text), upright, every.filter("page % 5 = 0"))
-    return found.withColumn("score", F.round("score", 6))
+    return found.withColumn("score", F.round(F.col("score") + 1e-9, 6))  # off the ties of halves
 
 
 @query(

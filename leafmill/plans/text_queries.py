@@ -48,14 +48,15 @@ _PUNCT = "".join("\\" + x if x.isascii() else x for x in T.PUNCTUATION if x != "
     p AS (SELECT doc_id, least(n / 20.0, 1.0) AS char_score,
       CASE WHEN n = 0 THEN 0.0 ELSE greatest(1.0 - 10.0 * len(regexp_extract_all(text, '[\x{{E000}}-\x{{F8FF}}\x{{FFFD}}]')) / n, 0.0) END AS validity,
       CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda t: regexp_matches(regexp_replace(t, '^[{_PUNCT}]+|[{_PUNCT}]+$', '', 'g'), '^[A-Za-z]{{2,20}}$'))) / len(w) END AS word_likeness FROM q)
-    SELECT doc_id, round(char_score, 6) AS char_score, round(validity, 6) AS validity, round(word_likeness, 6) AS word_likeness,
-      round(0.4 * char_score + 0.3 * validity + 0.3 * word_likeness, 6) AS score, 0.4 * char_score + 0.3 * validity + 0.3 * word_likeness < 0.5 AS needs_ocr FROM p"""
+    SELECT doc_id, round(char_score + 1e-9, 6) AS char_score, round(validity + 1e-9, 6) AS validity, round(word_likeness + 1e-9, 6) AS word_likeness,
+      round(0.4 * char_score + 0.3 * validity + 0.3 * word_likeness + 1e-9, 6) AS score, 0.4 * char_score + 0.3 * validity + 0.3 * word_likeness < 0.5 AS needs_ocr FROM p"""
 )
 def page_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each page's text is usable, and whether the page should be recognised again."""
     parts = read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in T.quality_parts(F.col("text")).items()))
     score = 0.4 * F.col("char_score") + 0.3 * F.col("validity") + 0.3 * F.col("word_likeness")
-    return parts.select("doc_id", *(F.round(k, 6).alias(k) for k in ("char_score", "validity", "word_likeness")), F.round(score, 6).alias("score"), (score < 0.5).alias("needs_ocr"))
+    rounded = lambda c: F.round(c + 1e-9, 6)  # noqa: E731  off the ties of halves
+    return parts.select("doc_id", *(rounded(F.col(k)).alias(k) for k in ("char_score", "validity", "word_likeness")), rounded(score).alias("score"), (score < 0.5).alias("needs_ocr"))
 
 
 @query(
