@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import byte_texts, open_folder, put_file, shared_folder, slices
+from leafmill.llm.common import byte_texts, give_back, open_folder, put_file, shared_folder, slices
 from leafmill.llm.tables import saved
 from leafmill.llm.tokens import WordTokenizer
 
@@ -170,6 +170,8 @@ def write_id_files(docs: DataFrame, spark: SparkSession, folder: str, tokenizer:
                     yield flush()
         if names:
             yield flush()
+        words.forget()
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]

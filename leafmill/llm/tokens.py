@@ -67,6 +67,11 @@ class WordTokenizer:
             _here[key] = cls(path, drops_space)
         return _here[key]
 
+    def forget(self) -> None:
+        """At the end of a task: the worker may live on for tasks of another kind."""
+        for kept in (self.ids, self.recent, self.marks):
+            kept.clear()
+
     def _cut(self, text: bytes) -> bytes | None:
         """Units separated by spaces; None if the text isn't regular. Where spaces count, a unit that doesn't follow one
         has a line feed before it."""
