@@ -159,11 +159,16 @@ def _epub_bookmarks(z: zipfile.ZipFile, opf: ET.Element, base: str) -> list[dict
     return out
 
 
+def _is_isbn(x: str) -> bool:
+    """Ten places of digits, the last of which may be X, or thirteen that begin with 978 or 979."""
+    return (len(x) == 10 or (len(x) == 13 and x[:3] in ("978", "979"))) and x[:-1].isdigit() and (x[-1].isdigit() or x[-1] == "X")
+
+
 def _epub_meta(opf: ET.Element) -> dict[str, str]:
     """Names of Dublin Core; the year of the date, the number of the book, and what else is said."""
     first = lambda name: next((x for x in _texts(opf, name) if x), None)
     ids = _texts(opf, "identifier")
-    isbn = next((x for x in ids if "isbn" in x.lower() or re.match(r"^(?:97[89])?\d{9}[\dX]$", x)), ids[0] if ids else None)
+    isbn = next((x for x in ids if "isbn" in x.lower() or _is_isbn(x)), ids[0] if ids else None)
     year = re.search(r"\b(\d{4})\b", first("date") or "")
     out = {"isbn": isbn, "publisher": first("publisher"), "year": year[1] if year else None, "language": first("language"), "description": first("description")}
     return {k: v for k, v in out.items() if v}
@@ -305,7 +310,7 @@ def docx_book(data: bytes, stem: str, profile: str = "auto") -> list[dict]:
         for f in _all(read("word/footnotes.xml"), "footnote"):
             if _attr(f, "id") and _attr(f, "type") not in ("separator", "continuationSeparator"):
                 whole = "".join(f.itertext()).strip()
-                notes[_attr(f, "id")] = re.sub(r"^(?:\[\d+\]|\d+[.:\s]+|\^|\*)\s*", "", whole).strip() or whole
+                notes[_attr(f, "id")] = markup.NOTE_MARK.sub("", whole).strip() or whole
         core = read("docProps/core.xml")
         title, sections, now = None, [], {"title": None, "level": 2, "items": []}
         division, told, numbered, code, tables, page = "body", {}, 0, 0, 0, 1

@@ -24,6 +24,8 @@ BODY = ["part", "chapter", "bodymatter", "subchapter"]
 BACK = ["epilogue", "afterword", "appendix", "appendices", "bibliography", "references", "glossary", "index", "colophon", "uncopyright", "copyright-page", "endnotes", "endnote", "notes", "acknowledgments", "acknowledgements", "about the author", "backmatter", "endmatter"]
 INLINE = {"b": "**", "strong": "**", "i": "*", "em": "*", "s": "~~", "strike": "~~", "del": "~~", "sup": "^", "sub": "~"}
 NUMBERED = re.compile(r"\s*\d+(?:\.\d+)+\.?\s+\S")
+#: What may stand before and behind the text of a note.
+NOTE_MARK, NOTE_TAIL = re.compile(r"^(?:\[\d+\]|\d+[.:\s]+|\^|\*)\s*"), re.compile(r"[\s↩︎^]+$")
 #: Fixed value: what may call a note.
 _NOTE_MARKER = re.compile(r"\[?\d+\]?|[a-zA-Z]{1,3}|\*+|†|‡|§|#")
 
@@ -226,8 +228,7 @@ def note_definitions(root: Tag) -> tuple[Tag, dict[str, str]]:
     for tag in root.all():
         if defines(tag):
             whole = tag.without(lambda t: (t.name in ("a", "span") and "backlink" == t.get("epub:type")) or (t.name == "a" and (t.get("role") == "doc-backlink" or t.text().strip() in ARROWS))).text().strip()
-            clean = re.sub(r"^(?:\[\d+\]|\d+[.:\s]+|\^|\*)\s*", "", whole).strip()
-            texts.setdefault(tag.get("id"), re.sub(r"[\s↩︎^]+$", "", clean).strip() or whole)
+            texts.setdefault(tag.get("id"), NOTE_TAIL.sub("", NOTE_MARK.sub("", whole).strip()).strip() or whole)
     return root.without(defines), texts
 
 
