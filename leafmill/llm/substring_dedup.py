@@ -83,7 +83,8 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
     Where nothing is removed, `text` is the text as it was; else removed words go with the white space before them.
     Null texts have no words; texts shorter than min_words keep all. Rows that repeat a doc_id count as one document:
     a repeat within it doesn't remove. A null doc_id counts as -2^63, so it is below all others, and stays null. Empty tables give no rows. Columns of docs
-    named in carry are returned in the struct `rest`, whatever their names; others are not read.
+    named in carry are returned in the struct `rest`, whatever their names; others are not read. docs must have the same
+    partitions when it is computed again, as a scan of files has; save what has not.
     """
     if not 0 < gram_words <= min_words:
         raise ValueError("gram_words must be between 1 and min_words")
