@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import open_folder, put_file
+from leafmill.llm.common import give_back, open_folder, put_file
 
 HOME_BYTES = 6 << 20
 
@@ -71,6 +71,7 @@ def settle(docs: DataFrame, folder: str, send: Callable[[int, pa.Table], Iterato
                 have.append(batch.slice(start))
         if have:
             yield from home()
+        give_back()
 
     return docs.mapInArrow(task, schema)
 
@@ -123,3 +124,4 @@ def key_runs(batches: Iterator[pa.RecordBatch], reply: Callable[[pa.Table, np.nd
         out = reply(rows, sorted_runs(rows))
         if out is not None and out.num_rows:
             yield out
+    give_back()

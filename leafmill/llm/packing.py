@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = WordTokenizer.of(tokenizer, drops_space=True), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20 if with_ids else 4 << 20):  # rows with ids are larger
             rows = []
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(byte_texts(batch["text"])), strict=True):
                 ids += end

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafmill.llm.common import U64, Flat, byte_texts, runs, shared_folder, window_hashes, word_hashes
+from leafmill.llm.common import U64, Flat, byte_texts, give_back, runs, shared_folder, window_hashes, word_hashes
 from leafmill.llm.homes import key_runs, read_home, settle, text_slices
 
 MIN_WORDS = 13
@@ -150,6 +150,8 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
             cut = np.flatnonzero(new)
             last = np.concatenate([cut[1:], [len(key)]]) - 1
             out.append(_batch(home, key[cut], key2[cut], doc[cut], np.where(doc[last] > doc[cut], MANY, ONE)))
+            del parts, key, key2, doc, order, new
+        give_back()
         return pa.Table.from_batches(out)
 
     def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +209,8 @@ def removed_words(docs: DataFrame, spark: SparkSession, min_words: int = MIN_WOR
                     text = _without(texts[i], kept, mask)
                 out.append((doc_id, b - a, removed, hashlib.sha256(words).hexdigest(), spans, text.decode()))
             rests.append(piece["rest"])
+        del key, key2, least, order
+        give_back()
         made = pa.Table.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*out, strict=True), result, strict=True)], schema=result)
         return made.append_column("rest", pa.chunked_array([c for r in rests for c in r.chunks], rests[0].type))
 

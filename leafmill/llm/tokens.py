@@ -69,7 +69,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         """At the end of a task: the worker may live on for tasks of another kind."""
-        for kept in (self.ids, self.recent, self.marks):
+        for kept in (self.ids, self.recent, self.marks, _here):
             kept.clear()
 
     def _cut(self, text: bytes) -> bytes | None:
