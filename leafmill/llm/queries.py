@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm.alignment import op11_alignment
 from leafmill.llm.chat import op9_chat_format
 from leafmill.llm.decontamination import op7_decontamination
 from leafmill.llm.id_files import op3_token_ids
 from leafmill.llm.lm_scoring import op8_lm_scores
 from leafmill.llm.packing import op10_packing
+from leafmill.llm.periodic_runs import op13_periodic_runs
 from leafmill.llm.quality_classifier import op6_quality_classifier
 from leafmill.llm.quality_rules import ENDS, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NOTICE, RUNS, SEPARATORS, op5_quality_rules
 from leafmill.llm.simhash import op2_simhash
 from leafmill.llm.substring_dedup import op4_substring_dedup
+from leafmill.llm.token_counts import op12_token_counts
 from leafmill.llm.toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_ids, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_lm_scores, op9_chat_format, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_ids, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_lm_scores, op9_chat_format, op10_packing, op11_alignment, op12_token_counts, op13_periodic_runs)}
 _SPACED = "regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')"
 _FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _CONTROL = "'<|im_end|><|im_start|>assistant ok'"

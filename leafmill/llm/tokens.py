@@ -31,17 +31,22 @@ _TO_SPACE = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level vocabularies show a byte as a character: itself if printable in Latin-1, else from U+0100 on in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_SPACE, _FEED = _SHOWN[32], _SHOWN[10]
+SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SPACE, _FEED = SHOWN[32], SHOWN[10]
 _here: dict[tuple, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """drops_space: the vocabulary ignores white space and case, and marks the ends of words."""
+    """drops_space: the vocabulary ignores white space and case, and marks the ends of words.
 
-    def __init__(self, path: str, drops_space: bool, units: int = 250_000):
+    special_text: strings of special tokens in a text are text too; without it they become their ids, as is the
+    library's default.
+    """
+
+    def __init__(self, path: str, drops_space: bool, units: int = 250_000, special_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        self.tokenizer.encode_special_tokens = special_text
+        self.special = [] if special_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space, self.units = drops_space, units
         #: Units met twice in a batch, and others met of late (up to twice as many), of some ten bytes each.
         self.ids: dict[str, bytes] = {}
@@ -60,11 +65,11 @@ class WordTokenizer:
         self.feed = vocab.get(_FEED)
 
     @classmethod
-    def of(cls, path: str, drops_space: bool) -> WordTokenizer:
+    def of(cls, path: str, drops_space: bool, special_text: bool = False) -> WordTokenizer:
         """One for each worker process."""
-        key = (path, drops_space)
+        key = (path, drops_space, special_text)
         if key not in _here:
-            _here[key] = cls(path, drops_space)
+            _here[key] = cls(path, drops_space, special_text=special_text)
         return _here[key]
 
     def forget(self) -> None:
@@ -92,7 +97,7 @@ class WordTokenizer:
             return []
         if self.drops_space:
             words = [w.lower() for w in words]
-        words = [w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN) for w in words]
+        words = [w if w.isascii() else w.encode().decode("latin-1").translate(SHOWN) for w in words]
         glue = f" {_SPACE}" if spaced else " " if self.drops_space else f" {_FEED} "
         lines = [glue.join(["", *words[i : i + each]] if spaced else [*words[i : i + each], ""]) for i in range(0, len(words), each)]
         ids = np.fromiter(chain.from_iterable([e.ids for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]), "<u4")
@@ -110,8 +115,8 @@ class WordTokenizer:
             raise ValueError("the vocabulary does not cut words as expected")
         return out
 
-    def _learn(self, units: list[str]) -> list[bytes]:
-        """The ids of units, those of letters by their parts."""
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of units, those of letters by their parts. A unit is what follows a space; after a line feed, what follows that."""
         out: list[bytes] = [b""] * len(units)
         groups: dict[bool, tuple[list[int], list[str]]] = {False: ([], []), True: ([], [])}
         other: list[int] = []
@@ -168,7 +173,7 @@ class WordTokenizer:
                 ids[i] = x = self.recent.get(units[i])
                 if x is None:
                     new.append(i)
-            for i, x in zip(new, self._learn([units[i] for i in new]), strict=True):
+            for i, x in zip(new, self.learn([units[i] for i in new]), strict=True):
                 ids[i] = self.recent[units[i]] = x
             if len(self.ids) > self.units:
                 self.ids.clear()
