@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -53,7 +54,7 @@ def linked(texts):
         groups = [([], []) for _ in both]
         for side, (ids, stops) in enumerate(((a.ids, ends[0]), (b, ends[1]))):
             for i, e in zip(ids, stops, strict=True):
-                groups[next(k for k, x in enumerate(both) if x >= e) if len(both) < 50 else int(np.searchsorted(both, e))][side].append(i)
+                groups[bisect_left(both, e)][side].append(i)
         told[d] = (len(a.ids), len(b), groups)
     links = {d: Counter((x, y) for ga, gb in r[2] for x in ga for y in gb) if r else Counter() for d, r in told.items()}
     counts = Counter(p for c in links.values() for p in c)
