@@ -30,6 +30,9 @@ WINDOW = 13
 FILE_WORDS = 1_000_000
 STRETCH = 1024
 TABLE_BITS = 18
+HASH_SEED = 7
+#: Files of search strings that a task keeps between its batches.
+HELD_FILES = 4
 #: Words are runs of digits, letters a to z (A-Z lower-cased) and characters from U+0080 on.
 WORD_BYTES = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
@@ -48,7 +51,8 @@ class ShiftTable:
             np.minimum.at(self.shift, slot, length - end)
         key = hasher.spans(prefix, flat.start[first], flat.end[first + length - 1])
         order = np.argsort(key)
-        self.keys, self.tests = key[order], [list(tests.items())[i] for i in order]
+        listed = list(tests.items())
+        self.keys, self.tests = key[order], [listed[i] for i in order]
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -108,8 +112,9 @@ class SearchStrings:
                 items[int(flat.owner[start])].update(self.ids[i] for i in numbers)
 
 
-def string_files(benchmark: DataFrame, spark: SparkSession, folder: str, file_words: int = FILE_WORDS) -> list[str]:
-    """Writes the items' words to files and returns their names; a file holds one item at least."""
+def string_files(benchmark: DataFrame, spark: SparkSession, folder: str, window: int = WINDOW, file_words: int = FILE_WORDS) -> list[str]:
+    """Writes the items' search strings, with their tables, to files and returns their names; a file holds one item at
+    least. So a table is built once, by the task that writes it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
@@ -119,7 +124,7 @@ def string_files(benchmark: DataFrame, spark: SparkSession, folder: str, file_wo
         def flush() -> None:
             nonlocal have, size
             names.append(f"tests-{part:05d}-{len(names):05d}.pickle")
-            put_file(fs, f"{root}/{names[-1]}", pickle.dumps(have))
+            put_file(fs, f"{root}/{names[-1]}", pickle.dumps(SearchStrings(have, SpanHash.of(HASH_SEED), window), pickle.HIGHEST_PROTOCOL))
             have, size = [], 0
 
         for batch in batches:
@@ -140,7 +145,7 @@ def string_files(benchmark: DataFrame, spark: SparkSession, folder: str, file_wo
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = WINDOW, hit_share: int = 20) -> DataFrame:
+def decontamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = WINDOW, hit_share: int = 20, file_words: int = FILE_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
 
     A document is contaminated if it has a hit word and at least one in hit_share of its words is hit. Null texts, on
@@ -156,34 +161,36 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, spark: SparkSession,
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_search(benchmark, spark, window, hit_share, answer), OUT)
+    return texts.mapInArrow(_search(benchmark, spark, window, hit_share, file_words, answer), OUT)
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = WINDOW, hit_share: int = 20) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, window: int = WINDOW, hit_share: int = 20, file_words: int = FILE_WORDS) -> DataFrame:
     """The rows of docs that aren't contaminated, as they are.
 
     Null, empty and blank texts have no words and stay; each row is judged alone, so repeated rows share one fate and a
     null doc_id stays. Other columns may have any type and name; empty tables give no rows, an empty benchmark all.
     """
-    return map_rows(docs, _search(benchmark, spark, window, hit_share, lambda part, flat, n_hit, dirty, items: part.filter(pa.array(~dirty))))
+    return map_rows(docs, _search(benchmark, spark, window, hit_share, file_words, lambda part, flat, n_hit, dirty, items: part.filter(pa.array(~dirty))))
 
 
-def _search(benchmark: DataFrame, spark: SparkSession, window: int, hit_share: int, answer: Callable) -> Callable:
+def _search(benchmark: DataFrame, spark: SparkSession, window: int, hit_share: int, file_words: int, answer: Callable) -> Callable:
     """A task that gives answer(rows, words, hit words, contaminated, items) of the rows of its batches, a piece at a time."""
     folder = shared_folder(spark, "tests")
-    names = string_files(benchmark, spark, folder)
+    names = string_files(benchmark, spark, folder, window, file_words)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
-        hasher = SpanHash.of(7)
+        hasher = SpanHash.of(HASH_SEED)
         held: dict[str, SearchStrings] = {}
 
         def tests(name: str) -> SearchStrings:
-            if name not in held:
-                held.clear()
-                with fs.open_input_stream(f"{root}/{name}") as src:
-                    held[name] = SearchStrings(pickle.loads(src.read()), hasher, window)
-            return held[name]
+            if name in held:
+                return held[name]
+            with fs.open_input_stream(f"{root}/{name}") as src:
+                made = pickle.loads(src.read())
+            if len(held) < HELD_FILES:  # the others are read again for each batch
+                held[name] = made
+            return made
 
         for batch in batches:
             parts = list(slices([batch]))

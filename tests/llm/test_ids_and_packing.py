@@ -17,14 +17,12 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 
 def plain(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize(("path", "drops"), [(BYTES, False), (WORDS, True)])
 def test_ids_are_the_tokenizers(path, drops, texts):
     words, t = WordTokenizer(path, drops), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(1)
     parts = ["a", "Bc", "'s", "é", "É", "12", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "\r\n", "Σ", "ς", "é", "<|endoftext|>", "!?", "İ", "\U0001f600", "don't", ".", " Hello", "$$$", "_b", "№", "ß", "ŉ"]
     made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [x or "" for x in texts.values()]

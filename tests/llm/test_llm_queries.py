@@ -35,7 +35,6 @@ def test_sql(spark, name):
 
 def encoded(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for i, x in sorted(texts.items())}
 
 

@@ -6,6 +6,7 @@ import pytest
 from leafmill.llm import decontamination as dc
 from leafmill.llm import quality_rules as qr
 from leafmill.llm import simhash as sh
+from leafmill.llm.common import SpanHash, shared_folder
 from leafmill.llm.shingle_dedup import keep_first_similar
 from leafmill.llm.substring_dedup import removed_words
 from leafmill.llm.tables import components
@@ -139,11 +140,30 @@ def test_decontamination(spark, docs, texts):
     assert kept == {i for i, v in got.items() if not v[4]}
 
 
-def test_decontamination_in_several_files(spark, docs, texts, monkeypatch):
+@pytest.mark.parametrize("held", [0, 4])
+def test_decontamination_in_several_files(spark, docs, texts, monkeypatch, held):
     items = [(i, texts[i]) for i in (1, 10, 12, 30)]
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
-    monkeypatch.setattr(dc, "string_files", lambda b, s, f, original=dc.string_files: original(b, s, f, file_words=100))
-    assert by_id(dc.decontamination(docs, bench, spark), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.hits(texts, items)
+    folder = shared_folder(spark, "test-strings")
+    assert len(dc.string_files(bench, spark, folder, file_words=100)) == 4
+    monkeypatch.setattr(dc, "HELD_FILES", held)
+    got = dc.decontamination(docs, bench, spark, file_words=100)
+    assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.hits(texts, items)
+
+
+def test_search_strings_are_listed_once():
+    """The work of building a table is in proportion to its strings."""
+
+    class Counting(dict):
+        listed = 0
+
+        def items(self):
+            Counting.listed += 1
+            return super().items()
+
+    tests = Counting({" ".join(f"w{i + k}" for k in range(13)).encode(): [i] for i in range(20_000)})
+    table = dc.ShiftTable(13, tests, SpanHash.of(dc.HASH_SEED))
+    assert Counting.listed == 1 and len(table.tests) == 20_000 and (table.keys[1:] >= table.keys[:-1]).all()
 
 
 def test_decontamination_odd(spark, docs, odd, none):
