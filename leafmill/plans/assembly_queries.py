@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import assembly as A
 from leafmill.operators import layout, pages
-from leafmill.operators import sequential as S
+from leafmill.operators.glossary import glossary
 from leafmill.plans.layout_queries import _HEADING_SQL, _SIZE_SQL
 from leafmill.plans.tables import BLOCKS_SQL, PAGE_HEIGHT, blocks, read
-from leafmill.plans.text_queries import _COLLAPSE, _STRIP, _WORDS
+from leafmill.plans.text_queries import _COLLAPSE, _STRIP, _WORDS, TERMS_SQL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,9 +173,43 @@ def caption_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.captioned(rows.filter("seq % 3 = 0"), rows.filter("seq % 3 <> 0").withColumn("text", text))
 
 
-@query()
+#: Lines as glossaries: dividers, terms with a delimiter and in bold, lines set in; every fifth section is as it was.
+_ENTRY = "CASE WHEN page div 8 % 5 = 0 THEN text WHEN (page * 3 + seq) % 23 = 0 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + (page + seq) % 26 AS INT), 1) WHEN (page + seq) % 6 = 1 THEN concat('Term ', seq, ': ', text) WHEN (page + seq * 2) % 5 = 0 THEN concat('*Word* ', seq) WHEN (page + seq) % 9 = 2 THEN concat('lead ', seq) ELSE text END"
+_LETTER = r"regexp_extract(text, '^(?:[—–]\s*|-+\s*|[\[(])?([A-Z])[\])]?(?:\s*[—–]|\s*-+|[.])?$', 1)"
+_SHORT = f"len({_WORDS.format('text')}) BETWEEN 1 AND 8 AND length(text) <= 60"
+_BARE = rf"regexp_replace({_STRIP.format("regexp_replace(regexp_replace(text, '^[*_]+|[*_]+$', '', 'g'), '[ :—–.-]+$', '')")}, '[ \t\n\x0b\f\r]+', ' ', 'g')"
+_BEGUN = _STRIP.format("regexp_replace(text, '^[ :—–.-]+', '')")
+#: Sections of eight pages; no line of these tables has two blocks, so terms in bold are one block.
+_GLOSSARY_SQL = f"""WITH {BLOCKS_SQL}, terms_of AS (SELECT book, page, seq, {_ENTRY.replace("page div 8", "page // 8").replace("AS INT)", "AS INTEGER)")} AS text FROM blocks), {TERMS_SQL},
+    lined AS (SELECT b.book, b.page // 8 AS section, b.page, b.seq, {_STRIP.format("o.text")} AS text, bold, x0, y0, y1, size, term, definition FROM blocks b JOIN terms_of o USING (book, page, seq) LEFT JOIN terms USING (book, page, seq) WHERE {_STRIP.format("o.text")} <> ''),
+    seen AS (SELECT *, nullif({_LETTER}, '') AS divider, x0 - min(round(x0, 1)) OVER (PARTITION BY book, section) AS indent FROM lined),
+    bolded AS (SELECT *, bold AND indent <= 5 AND divider IS NULL AND term IS NULL AND {_SHORT} AND NOT regexp_matches(text, '[?!]$') AS bold_term FROM seen),
+    could AS (SELECT *, coalesce(lag(bold_term) OVER w AND divider IS NULL AND lag(page) OVER w = page AND (abs(y0 - lag(y0) OVER w) < 0.8 * lag(size) OVER w OR (y0 - lag(y1) OVER w < 1.8 * lag(size) OVER w AND NOT bold)), false) AS could FROM bolded WINDOW w AS (PARTITION BY book, section ORDER BY page, seq)),
+    island AS (SELECT *, sum(CASE WHEN could THEN 0 ELSE 1 END) OVER (PARTITION BY book, section ORDER BY page, seq) AS isle FROM could),
+    took AS (SELECT *, could AND row_number() OVER (PARTITION BY book, section, isle ORDER BY page, seq) % 2 = 0 AS taken FROM island),
+    begins AS (SELECT *, NOT taken AND divider IS NULL AND indent <= 5 AND term IS NOT NULL AS delimited,
+        NOT taken AND divider IS NULL AND indent <= 5 AND term IS NULL AND NOT bold_term AND {_SHORT} AND NOT regexp_matches(text, '[.?!;]$') AND coalesce(lead(page) OVER w = page AND lead(indent) OVER w >= 7 AND lead(divider) OVER w IS NULL, false) AS hung FROM took WINDOW w AS (PARTITION BY book, section ORDER BY page, seq)),
+    counted AS (SELECT *, delimited OR hung OR (bold_term AND NOT taken) AS starts, count(divider) OVER w AS letters, last_value(divider IGNORE NULLS) OVER w AS letter, count(*) FILTER (delimited OR hung OR (bold_term AND NOT taken)) OVER w AS entry, coalesce(lag(hung) OVER w, false) AS after_hung FROM begins WINDOW w AS (PARTITION BY book, section ORDER BY page, seq)),
+    roles AS (SELECT *, CASE WHEN divider IS NOT NULL THEN 'letter' WHEN starts THEN 'term' WHEN last_value(CASE WHEN starts THEN letters END IGNORE NULLS) OVER (PARTITION BY book, section ORDER BY page, seq) = letters THEN 'more' ELSE 'intro' END AS role FROM counted),
+    told AS (SELECT *, CASE WHEN delimited THEN definition WHEN starts THEN '' WHEN taken OR after_hung THEN {_BEGUN} ELSE text END AS said, CASE WHEN delimited THEN term WHEN starts THEN {_BARE} END AS named,
+        count(*) FILTER (role = 'term') OVER (PARTITION BY book, section) AS n_terms, count(*) FILTER (role = 'intro') OVER (PARTITION BY book, section) AS n_intro FROM roles),
+    judged AS (SELECT *, n_terms > 1 OR (n_terms = 1 AND n_intro < 4) AS is_glossary FROM told)"""
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark, sf_dir).withColumn("text", F.expr(_ENTRY)).withColumn("section", F.expr("page div 8"))
+
+
+@query(
+    rf"""{_GLOSSARY_SQL} SELECT book, section, letters, letter, entry, min(page) AS page, max(named) AS term, {_STRIP.format(r"list_reduce(list_prepend('', list(said ORDER BY page, seq)), lambda a, x: CASE WHEN x = '' THEN a WHEN a = '' THEN x WHEN ends_with(a, '-') AND regexp_matches(x, '^\p{Ll}') THEN concat(substr(a, 1, length(a) - 1), x) ELSE concat(a, ' ', x) END)")} AS definition
+    FROM judged WHERE is_glossary AND role IN ('term', 'more') GROUP BY book, section, letters, letter, entry"""
+)
 def glossary_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of pages made glossaries: letters, terms with a delimiter, and lines that go on."""
-    rows = blocks(spark, sf_dir)
-    text = F.when(F.col("seq") % 5 == 0, F.chr(65 + F.col("seq") % 26)).when(F.col("seq") % 5 < 3, F.concat(F.lit("Term "), "seq", F.lit(": "), "text")).otherwise(F.col("text"))
-    return S.glossary(rows.withColumn("text", text).withColumn("bold", F.lit(False)).withColumn("x0", F.lit(50.0)))
+    """Entries of sections of eight pages made glossaries, over pages: letters, terms of three kinds, lines that go on."""
+    return glossary(_sections(spark, sf_dir))[0]
+
+
+@query(f"{_GLOSSARY_SQL} SELECT book, section, page, CAST(seq AS BIGINT) AS seq FROM judged WHERE NOT is_glossary OR role = 'intro'")
+def glossary_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of such sections that are in no entry: prose before the first, and whole sections that are no glossaries."""
+    return glossary(_sections(spark, sf_dir))[1]

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import rendering
 from leafmill.sources import books
+from leafmill.sources.shared import shared_folder
+
+
+def staged(rows: DataFrame, spark: SparkSession, label: str = "books") -> DataFrame:
+    """rows of books, written once to the shared folder by their kind: who asks for one kind reads that alone, and
+    nothing but the pictures' reader touches pictures."""
+    folder = f"{shared_folder(spark, label)}/rows"
+    rows.write.partitionBy("row").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def tables(rows: DataFrame, converted: str) -> dict[str, DataFrame]:
@@ -30,16 +39,29 @@ def tables(rows: DataFrame, converted: str) -> dict[str, DataFrame]:
     }
 
 
-def _folders(found: DataFrame) -> DataFrame:
-    """book, folder: a folder for each book, called after its title; books of one title differ by a number."""
-    name = T.file_name(F.col("title"))
-    nth = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("book"))
-    return found.select("book", F.when(nth == 1, name).otherwise(F.concat(name, F.lit(" ("), nth.cast("string"), F.lit(")"))).alias("folder"))
+def folders(found: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """book, name, folder: a folder for each book, called after its title; books of one title differ by a number.
+
+    taken: book, name, folder of earlier runs. A book that has a folder keeps it; numbers go on where those ended.
+    """
+    rows = found.select("book", T.file_name(F.col("title")).alias("name"))
+    before = F.lit(0)
+    if taken is not None:
+        kept = taken.select("book", "folder", F.lower("name").alias("_key"))
+        rows = rows.join(kept.select("book", F.col("folder").alias("_had")).dropDuplicates(["book"]), "book", "left").withColumn("_key", F.lower("name"))
+        rows = rows.join(kept.groupBy("_key").agg(F.count_distinct("folder").alias("_n")), "_key", "left").drop("_key")
+        before = F.coalesce("_n", F.lit(0))
+    else:
+        rows = rows.withColumn("_had", F.lit(None).cast("string"))
+    fresh = F.col("_had").isNull()
+    nth = before + F.row_number().over(Window.partitionBy(F.lower("name"), fresh).orderBy("book"))
+    new = F.when(nth == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), nth.cast("string"), F.lit(")")))
+    return rows.select("book", "name", F.coalesce("_had", new).alias("folder"))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Writes each row's content (folder, file, content) to folder/its folder/its file, whole or not at all; returns
-    path, file and size. The folder is a URI that all machines share."""
+    path, folder, file and size. The folder is a URI that all machines share. To write the same again changes nothing."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = (pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder)
@@ -58,11 +80,9 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return files.select("book", "folder", "file", "content").mapInArrow(task, "path string, folder string, file string, size long")
 
 
-def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool = False, single_file: bool = False, core_only: bool = False, profile: str = "auto", converted: str | None = None, readers: dict[str, Callable] | None = None) -> DataFrame:
-    """Converts the books of a folder; path, folder, file, size of each file written, and path and error of each book
-    that can't be read. Images that the text shows go to attachments. converted: the date in the files; today without."""
-    rows = books.read_books(spark, folder, readers, recursive, profile)
-    day = converted or spark.sql("SELECT CAST(current_date() AS STRING)").first()[0]
+def write_books(rows: DataFrame, out: str, day: str, places: DataFrame, single_file: bool = False, core_only: bool = False) -> DataFrame:
+    """Writes the files of staged rows; path, folder, file, size of each, and path and error of each book that can't be
+    read. places: book and folder. The rows are computed once, when what is returned is."""
     t = tables(rows, day)
     if single_file:
         files = rendering.single_documents(t["books"], t["chapters"], t["items"], t["footnotes"], core_only)
@@ -72,6 +92,19 @@ def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool =
     shown = t["items"].filter("kind = 'image'").select("book", "image", rendering.attachment_name(F.col("label"), F.col("image")).alias("name"))
     one = shown.groupBy("book", "name").agg(F.min("image").alias("image"))  # of equal names one is kept
     pictures = one.join(t["images"].dropDuplicates(["book", "image"]), ["book", "image"]).select("book", F.concat(F.lit("attachments/"), "name").alias("file"), "content")
-    written = write_files(texts.unionByName(pictures).join(_folders(t["books"]), "book"), out)
+    written = write_files(texts.unionByName(pictures).join(places.select("book", "folder"), "book"), out)
     failed = rows.filter("row = 'error'").select("path", F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("size"), "error")
     return written.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+
+
+def today(spark: SparkSession) -> str:
+    return spark.sql("SELECT CAST(current_date() AS STRING)").first()[0]
+
+
+def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool = False, single_file: bool = False, core_only: bool = False, profile: str = "auto", converted: str | None = None, readers: dict[str, Callable] | None = None) -> DataFrame:
+    """Converts the books of a folder; path, folder, file, size of each file written, and path and error of each book
+    that can't be read. Images that the text shows go to attachments. converted: the date in the files; today without.
+    Each file is parsed once: its rows are staged by kind in the shared folder."""
+    rows = staged(books.read_books(spark, folder, readers, recursive, profile), spark)
+    day = converted or today(spark)
+    return write_books(rows, out, day, folders(tables(rows, day)["books"]), single_file, core_only)

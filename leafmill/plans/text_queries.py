@@ -273,14 +273,14 @@ def theorem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RAW = r"regexp_extract(t, '^(.*?)(?:[:—–]|-[ \t])', 1)"
+#: Entries of the lines of a table `terms_of` (book, page, seq, text), as a table `terms`.
+TERMS_SQL = rf"""t AS (SELECT book, page, seq, {_STRIP.format("text")} AS t FROM terms_of), r AS (SELECT book, page, seq, {_STRIP.format(_RAW)} AS raw, substr(t, length({_RAW}) + 2) AS after FROM t WHERE regexp_matches(t, '[:—–]|-[ \t]')),
+    g AS (SELECT *, {_STRIP.format("after")} AS rest, len({_WORDS.format("raw")}) AS n FROM r), k AS (SELECT * FROM g WHERE regexp_matches(after, '^[ \t]') AND rest <> '' AND regexp_matches(raw, '^[A-Za-z0-9(\["'']') AND n BETWEEN 1 AND 8 AND length(raw) <= 60 AND NOT regexp_matches(raw, '[?!;]$')
+      AND NOT (n > 2 AND lower(regexp_extract(raw, '^[^ \t]+')) IN ({", ".join(f"'{w}'" for w in T.TERM_STOP_WORDS)}))),
+    terms AS (SELECT book, page, seq, regexp_replace({_STRIP.format("regexp_replace(regexp_replace(raw, '^[*_]+|[*_]+$', '', 'g'), '[ :—–.-]+$', '')")}, '[ \t\n\x0b\f\r]+', ' ', 'g') AS term, {_STRIP.format("regexp_replace(rest, '^[ :—–.-]+', '')")} AS definition FROM k)"""
 
 
-@query(
-    rf"""WITH {PLANTED_SQL}, t AS (SELECT book, page, seq, {_STRIP.format("text")} AS t FROM planted), r AS (SELECT book, page, seq, {_STRIP.format(_RAW)} AS raw, substr(t, length({_RAW}) + 2) AS after FROM t WHERE regexp_matches(t, '[:—–]|-[ \t]')),
-    g AS (SELECT *, {_STRIP.format("after")} AS rest, len({_WORDS.format("raw")}) AS n FROM r), k AS (SELECT * FROM g WHERE regexp_matches(after, '^[ \t]') AND rest <> '' AND regexp_matches(raw, '^[A-Za-z0-9(\["'']') AND n BETWEEN 1 AND 8 AND length(raw) <= 60 AND NOT regexp_matches(raw, '[?!;]$')
-      AND NOT (n > 2 AND lower(regexp_extract(raw, '^[^ \t]+')) IN ({", ".join(f"'{w}'" for w in T.TERM_STOP_WORDS)})))
-    SELECT book, page, seq, regexp_replace({_STRIP.format("regexp_replace(regexp_replace(raw, '^[*_]+|[*_]+$', '', 'g'), '[ :—–.-]+$', '')")}, '[ \t\n\x0b\f\r]+', ' ', 'g') AS term, {_STRIP.format("regexp_replace(rest, '^[ :—–.-]+', '')")} AS definition FROM k"""
-)
+@query(f"WITH {PLANTED_SQL}, terms_of AS (SELECT * FROM planted), {TERMS_SQL} SELECT * FROM terms")
 def glossary_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a glossary: a term, a delimiter, a definition."""
     return planted(spark, sf_dir).select("book", "page", "seq", *(c.alias(k) for k, c in T.term_definition(F.col("text")).items())).filter("term IS NOT NULL")

@@ -39,7 +39,11 @@ def _name(path: Column) -> Column:
 
 def _files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
     """Files of books: none that is hidden or temporary, or in a folder that is hidden or a tool's, below `folder`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return of_books(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder), folder, recursive)
+
+
+def of_books(files: DataFrame, folder: str, recursive: bool) -> DataFrame:
+    """files (path and more) that are books, with filename and format."""
     name, depth = _name(F.col("path")), len([x for x in re.sub(r"^[a-z0-9]+:/+", "", folder).split("/") if x])
     parts = F.filter(F.split(F.regexp_replace("path", "^[a-z0-9]+:/+", ""), "/"), lambda x: x != "")
     inner = F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth - 1, F.lit(0)))
@@ -134,28 +138,34 @@ def _epub_bookmarks(z: zipfile.ZipFile, opf: ET.Element, base: str) -> list[dict
     ncx = next((e for e in _all(opf, "item") if _attr(e, "media-type") == "application/x-dtbncx+xml"), None)
     nav = next((e for e in _all(opf, "item") if "nav" in _attr(e, "properties").split()), None)
 
-    def points(parent: ET.Element, level: int) -> None:
-        for p in (c for c in parent if _local(c.tag) == "navPoint"):
-            label = next((c for c in p if _local(c.tag) == "navLabel"), ET.Element("none"))
-            out.append(_bookmark(level, "".join(label.itertext()).strip(), len(out) + 1))
-            points(p, level + 1)
+    def entries(top: list, label: Callable, below: Callable) -> None:
+        """What label says of each entry, with those below it next, one level down."""
+        waiting = [(e, 1) for e in reversed(top)]
+        while waiting:
+            e, level = waiting.pop()
+            if (told := label(e)) is not None:
+                out.append(_bookmark(level, told, len(out) + 1))
+            waiting += [(x, level + 1) for x in reversed(below(e))]
+
+    def point_label(p: ET.Element) -> str:
+        return "".join(next((c for c in p if _local(c.tag) == "navLabel"), ET.Element("none")).itertext()).strip()
 
-    def links(node: markup.Tag, level: int) -> None:
-        for li in (c for c in node.children if isinstance(c, markup.Tag) and c.name == "li"):
-            head = next((c for c in li.children if isinstance(c, markup.Tag) and c.name in ("a", "span")), None)
-            if head:
-                out.append(_bookmark(level, markup.squeezed(head.text()), len(out) + 1))
-            for inner in (c for c in li.children if isinstance(c, markup.Tag) and c.name == "ol"):
-                links(inner, level + 1)
+    def tags(node: markup.Tag, *names: str) -> list[markup.Tag]:
+        return [c for c in node.children if isinstance(c, markup.Tag) and c.name in names]
 
+    def link_label(li: markup.Tag) -> str | None:
+        return next((markup.squeezed(c.text()) for c in tags(li, "a", "span")), None)
+
+    points = lambda parent: [c for c in parent if _local(c.tag) == "navPoint"]
+    links = lambda node: [x for inner in tags(node, "ol") for x in tags(inner, "li")]
     if ncx is not None and join(_attr(ncx, "href")) in z.namelist():
         for m in _all(ET.fromstring(z.read(join(_attr(ncx, "href")))), "navMap"):
-            points(m, 1)
+            entries(points(m), point_label, points)
     elif nav is not None and join(_attr(nav, "href")) in z.namelist():
         root = markup.tree(z.read(join(_attr(nav, "href"))).decode("utf-8", "replace"))
         toc = next((t for t in root.all("nav") if "toc" in t.get("epub:type").split()), root.first("nav"))
         if toc and toc.first("ol"):
-            links(toc.first("ol"), 1)
+            entries(tags(toc.first("ol"), "li"), link_label, links)
     return out
 
 
@@ -208,16 +218,16 @@ class _Book:
         return out
 
 
-def epub_book(data: bytes, stem: str, profile: str = "auto") -> list[dict]:
-    """Rows (book, chapter, item, note, bookmark, image) of an EPUB package."""
+def epub_book(data: bytes, stem: str, profile: str = "auto", pictures: bool = True) -> list[dict]:
+    """Rows (book, chapter, item, note, bookmark, image) of an EPUB package; without pictures, no images are unpacked."""
     book = _Book()
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         opf, base = _package(z)
         join = lambda href: f"{base}/{href}" if base else href
         items = {e.attrib["id"]: e for e in _all(opf, "item")}
-        pictures = [_attr(e, "href") for e in items.values() if _attr(e, "media-type").startswith("image/") and join(unquote(_attr(e, "href"))) in z.namelist()]
+        shown = [_attr(e, "href") for e in items.values() if _attr(e, "media-type").startswith("image/") and join(unquote(_attr(e, "href"))) in z.namelist()]
         names: dict[str, str] = {}
-        for href in pictures:
+        for href in shown:
             for alias in (href, href.rsplit("/", 1)[-1], unquote(href), unquote(href.rsplit("/", 1)[-1])):
                 names[alias] = unquote(href).rsplit("/", 1)[-1]
         bookmarks = _epub_bookmarks(z, opf, base)
@@ -269,7 +279,7 @@ def epub_book(data: bytes, stem: str, profile: str = "auto") -> list[dict]:
         found = _score(numbered, bookmarks, every.count("code"), 3, every.count("table"), every.count("math"))
         title, author = (_texts(opf, "title") or [""])[0] or stem, (_texts(opf, "creator") or [""])[0] or "Unknown"
         meta = {"title": title, "author": author, "profile": found if profile == "auto" else profile} | _epub_meta(opf)
-        images = [{"row": "image", "image": unquote(h).rsplit("/", 1)[-1], "content": z.read(join(unquote(h)))} for h in pictures]
+        images = [{"row": "image", "image": unquote(h).rsplit("/", 1)[-1], "content": z.read(join(unquote(h)))} for h in shown if pictures]
     return [{"row": "book", "meta": list(meta.items())}, *book.all_rows(), *bookmarks, *images]
 
 
@@ -297,8 +307,9 @@ def _plain(e: ET.Element) -> str:
     return "".join({"t": x.text or "", "tab": "\t", "br": "\n", "cr": "\n"}.get(_local(x.tag), "") for x in e.iter())
 
 
-def docx_book(data: bytes, stem: str, profile: str = "auto") -> list[dict]:
-    """Rows (book, chapter, item, note, bookmark, image) of a DOCX package: first-level headings begin chapters."""
+def docx_book(data: bytes, stem: str, profile: str = "auto", pictures: bool = True) -> list[dict]:
+    """Rows (book, chapter, item, note, bookmark, image) of a DOCX package: first-level headings begin chapters; without
+    pictures, no images are unpacked."""
     book, bookmarks = _Book(), []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         there = set(z.namelist())
@@ -402,7 +413,7 @@ def docx_book(data: bytes, stem: str, profile: str = "auto") -> list[dict]:
         created = re.match(r"\d{4}", (_texts(core, "created") or [""])[0])
         meta = {"title": (_texts(core, "title") or [""])[0] or stem, "author": (_texts(core, "creator") or [""])[0] or "Unknown", "profile": found if profile == "auto" else profile}
         meta |= {k: v for k, v in {"comments": (_texts(core, "description") or [""])[0], "year": created[0] if created else ""}.items() if v}
-        images = [{"row": "image", "image": x.rsplit("/", 1)[-1], "content": z.read(x)} for x in sorted(there) if x.startswith("word/media/")]
+        images = [{"row": "image", "image": x.rsplit("/", 1)[-1], "content": z.read(x)} for x in sorted(there) if pictures and x.startswith("word/media/")]
     return [{"row": "book", "meta": list(meta.items())}, *book.all_rows(), *bookmarks, *images]
 
 
@@ -417,25 +428,40 @@ ROWS = pa.schema(
     [("path", pa.string()), ("format", pa.string()), ("row", pa.string()), ("error", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("division", pa.string()), *((x, pa.int32()) for x in ("part", "section", "item")), ("section_title", pa.string()), ("section_level", pa.int32()), ("page", pa.int32()), ("kind", pa.string()), ("text", pa.string())]
     + [("lines", pa.list_(pa.string())), *((x, pa.string()) for x in ("label", "attribution", "numbering")), *((x, pa.bool_()) for x in ("italic", "display", "quoted")), ("entries", pa.list_(_ENTRY)), ("points", pa.list_(_POINT)), ("cells", pa.list_(pa.list_(pa.string()))), ("complex", pa.bool_()), ("image", pa.string()), ("caption", pa.string()), ("content", pa.binary())]
 )
-_DDL = "path string, format string, row string, error string, meta map<string, string>, division string, part int, section int, item int, section_title string, section_level int, page int, kind string, text string, lines array<string>, label string, attribution string, numbering string, italic boolean, display boolean, quoted boolean, entries array<struct<term: string, definition: string>>, points array<struct<text: string, level: int, ordered: boolean, marker: string>>, cells array<array<string>>, complex boolean, image string, caption string, content binary"
+ROWS_DDL = "path string, format string, row string, error string, meta map<string, string>, division string, part int, section int, item int, section_title string, section_level int, page int, kind string, text string, lines array<string>, label string, attribution string, numbering string, italic boolean, display boolean, quoted boolean, entries array<struct<term: string, definition: string>>, points array<struct<text: string, level: int, ordered: boolean, marker: string>>, cells array<array<string>>, complex boolean, image string, caption string, content binary"
 
 
-def read_books(spark: SparkSession, folder: str, readers: dict[str, Callable[[bytes, str, str], list[dict]]] | None = None, recursive: bool = False, profile: str = "auto") -> DataFrame:
-    """Rows of the books of a folder: book, chapter, item, note, bookmark and image rows, or one row with an error.
+def file_rows(path: str, kind: str, data: bytes, known: dict[str, Callable], profile: str = "auto", pictures: bool = True) -> list[dict]:
+    """Rows of one file, or one row with an error."""
+    stem = re.sub(r"\.[^.]+$", "", path.rsplit("/", 1)[-1])
+    try:
+        if kind not in known:
+            return [{"row": "error", "error": f"unsupported: {kind}"}]
+        more = {} if pictures or READERS.get(kind) is not known[kind] else {"pictures": False}
+        return known[kind](data, stem, profile, **more)
+    except Exception as e:  # one bad file doesn't fail the others
+        return [{"row": "error", "error": f"{'encrypted' if isinstance(e, EncryptedError) else 'corrupt'}: {type(e).__name__}: {e}"}]
 
-    error is encrypted, corrupt or unsupported, and what was said; the other books are read all the same. readers adds
-    formats: a function of the file's bytes, its stem and the profile (auto, literature or technical) that returns rows.
-    """
+
+def book_rows(files: DataFrame, readers: dict[str, Callable[[bytes, str, str], list[dict]]] | None = None, profile: str = "auto") -> DataFrame:
+    """Rows of files (path, format, content), each of which is parsed once a run of the plan; see read_books."""
     known = READERS | (readers or {})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, kind, data in zip(*(batch[c].to_pylist() for c in ("path", "format", "content")), strict=True):
-                stem = re.sub(r"\.[^.]+$", "", path.rsplit("/", 1)[-1])
-                try:
-                    rows = known[kind](data, stem, profile) if kind in known else [{"row": "error", "error": f"unsupported: {kind}"}]
-                except Exception as e:  # one bad file doesn't fail the others
-                    rows = [{"row": "error", "error": f"{'encrypted' if isinstance(e, EncryptedError) else 'corrupt'}: {type(e).__name__}: {e}"}]
-                yield pa.RecordBatch.from_pylist([{"path": path, "format": kind, **r} for r in rows], schema=ROWS)
+            for i in range(batch.num_rows):  # a file at a time is a Python object
+                path, kind, data = (batch[c][i].as_py() for c in ("path", "format", "content"))
+                yield pa.RecordBatch.from_pylist([{"path": path, "format": kind, **r} for r in file_rows(path, kind, data, known, profile)], schema=ROWS)
+
+    return files.select("path", "format", "content").mapInArrow(task, ROWS_DDL)
+
 
-    return _files(spark, folder, recursive).select("path", "format", "content").mapInArrow(task, _DDL)
+def read_books(spark: SparkSession, folder: str, readers: dict[str, Callable[[bytes, str, str], list[dict]]] | None = None, recursive: bool = False, profile: str = "auto") -> DataFrame:
+    """Rows of the books of a folder: book, chapter, item, note, bookmark and image rows, or one row with an error.
+
+    error is encrypted, corrupt or unsupported, and what was said; the other books are read all the same. readers adds
+    formats: a function of the file's bytes, its stem and the profile (auto, literature or technical) that returns rows.
+    A task holds the files of its partition, which the scan packs up to spark.sql.files.maxPartitionBytes. Who reads the
+    rows several times saves them first (see convert.staged), or the files are parsed as often.
+    """
+    return book_rows(_files(spark, folder, recursive), readers, profile)

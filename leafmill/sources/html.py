@@ -16,8 +16,8 @@ from leafmill.sources import markup
 from leafmill.sources.books import ROWS
 
 SKIPPED = {"script", "style", "head", "template", "noscript"}
-_NAMES = ["section", "item", "section_title", "section_level", "kind", "text", "lines", "label", "attribution", "italic", "display", "points", "cells", "complex", "image", "caption"]
-_DDL = "section int, item int, section_title string, section_level int, kind string, text string, lines array<string>, label string, attribution string, italic boolean, display boolean, points array<struct<text: string, level: int, ordered: boolean, marker: string>>, cells array<array<string>>, complex boolean, image string, caption string"
+_NAMES = ["section", "item", "section_title", "section_level", "kind", "text", "lines", "label", "attribution", "italic", "display", "points", "cells", "complex", "image", "caption", "error"]
+_DDL = "section int, item int, section_title string, section_level int, kind string, text string, lines array<string>, label string, attribution string, italic boolean, display boolean, points array<struct<text: string, level: int, ordered: boolean, marker: string>>, cells array<array<string>>, complex boolean, image string, caption string, error string"
 
 
 def page_items(html: str) -> list[dict]:
@@ -37,12 +37,23 @@ def page_items(html: str) -> list[dict]:
     return out
 
 
+def _rows(html: str) -> list[dict]:
+    try:
+        return page_items(html)
+    except Exception as e:  # one bad page doesn't fail the others
+        return [{"error": f"corrupt: {type(e).__name__}: {e}"}]
+
+
 def items(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key and the items of each row, as rendering takes them; null pages have none."""
+    """key and the items of each row, as rendering takes them; null and empty pages have none.
+
+    A page that can't be read, or whose quotations and tables lie so deep in each other that telling them would not end,
+    is one row with an error. Rows are read alone, so repeated ones have their items as often as they come.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"key": k, **x} for k, text in zip(batch["key"].to_pylist(), batch["html"].to_pylist(), strict=True) for x in page_items(text or "")]
+            rows = [{"key": k, **x} for k, text in zip(batch["key"].to_pylist(), batch["html"].to_pylist(), strict=True) for x in _rows(text or "")]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([pa.field("key", batch.schema.field("key").type), *(ROWS.field(x) for x in _NAMES)]))
 

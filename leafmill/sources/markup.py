@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
 
@@ -14,6 +15,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr"
 HEADINGS = {f"h{i}" for i in range(1, 7)}
 CLOSES |= {x: {"p"} for x in (*HEADINGS, "address", "article", "aside", "blockquote", "dl", "div", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul")}
 BLOCKS = {"p", "blockquote", "ul", "ol", "table", "pre", "img", "figure", "aside", "math"}
+FLOWING = BLOCKS | HEADINGS | {"hgroup"}
 #: Classes of boxes, and their labels in the order in which they are looked for.
 BOXES, BOX_LABELS = ("callout", "note", "warning", "tip", "important", "caution"), ("warning", "tip", "caution", "important", "info", "note")
 #: Arrows that lead back from a note.
@@ -31,8 +33,16 @@ _NOTE_MARKER = re.compile(r"\[?\d+\]?|[a-zA-Z]{1,3}|\*+|†|‡|§|#")
 
 
 class Tag:
-    def __init__(self, name: str, attrs: dict[str, str] | None = None) -> None:
-        self.name, self.attrs, self.children = name, attrs or {}, []
+    """A place in a Page: `at` is its own number in the page's nodes, `end` that of the first node after it."""
+
+    __slots__ = ("page", "name", "attrs", "at", "end", "said", "told", "dense", "inner")
+
+    def __init__(self, page: Page, name: str, attrs: dict[str, str | None]) -> None:
+        self.page, self.name, self.attrs = page, name, attrs
+        self.at = self.end = len(page.nodes)
+        #: Where its text begins and ends in the page's, its characters without white space, and the blocks and headings in it.
+        self.said = self.told = page.length
+        self.dense, self.inner = page.dense, page.flowing
 
     def get(self, key: str, default: str = "") -> str:
         return self.attrs.get(key) or default
@@ -41,81 +51,165 @@ class Tag:
     def classes(self) -> str:
         return " ".join(self.get("class").split()).lower()
 
+    @property
+    def children(self) -> Iterator[Tag | str]:
+        i = self.at + 1
+        while i < self.end:
+            node = self.page.nodes[i]
+            yield node
+            i = i + 1 if isinstance(node, str) else node.end
+
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return self.page.text[self.said : self.told]
 
     def all(self, *names: str) -> Iterator[Tag]:
-        for c in self.children:
-            if isinstance(c, Tag):
-                if not names or c.name in names:
-                    yield c
-                yield from c.all(*names)
+        nodes = self.page.nodes
+        self.page.look(self.end - self.at)
+        for i in range(self.at + 1, self.end):
+            if not isinstance(nodes[i], str) and (not names or nodes[i].name in names):
+                yield nodes[i]
 
     def first(self, *names: str) -> Tag | None:
         return next(self.all(*names), None)
 
-    def without(self, gone) -> Tag:
-        """A copy without the tags of which gone is true."""
-        out = Tag(self.name, self.attrs)
-        out.children = [c if isinstance(c, str) else c.without(gone) for c in self.children if isinstance(c, str) or not gone(c)]
-        return out
+    def without(self, gone: Callable[[Tag], bool]) -> Tag:
+        """A copy, of a page of its own, without the tags of which gone is true."""
+        page = Page()
+        open_: list[int] = []
+        page.start(self.name, self.attrs)
+        i = self.at + 1
+        while True:
+            while open_ and i >= open_[-1]:
+                open_.pop()
+                page.stop()
+            if i >= self.end:
+                return page.done()
+            node = self.page.nodes[i]
+            i += 1
+            if isinstance(node, str):
+                page.say(node)
+            elif gone(node):
+                i = node.end
+            else:
+                page.start(node.name, node.attrs)
+                open_.append(node.end)
+
+
+class Page:
+    """A document as the row of its tags and texts in the order in which they begin, however deep they lie in each other.
+
+    Rules over it go along the row, with a stack of their own where they need one, so depth costs no more than length.
+    """
+
+    def __init__(self) -> None:
+        self.nodes: list[Tag | str] = []
+        self.open: list[Tag] = []
+        self.names: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.length = self.dense = self.flowing = self.steps = 0
+
+    def start(self, name: str, attrs: dict[str, str | None]) -> None:
+        if name in FLOWING:
+            self.flowing += 1
+        tag = Tag(self, name, attrs)
+        self.nodes.append(tag)
+        self.open.append(tag)
+        self.names[name] += 1
+
+    def stop(self) -> str:
+        tag = self.open.pop()
+        self.names[tag.name] -= 1
+        tag.end, tag.told, tag.dense, tag.inner = len(self.nodes), self.length, self.dense - tag.dense, self.flowing - tag.inner
+        return tag.name
+
+    def say(self, text: str) -> None:
+        self.nodes.append(text)
+        self.parts.append(text)
+        self.length += len(text)
+        self.dense += sum(map(len, text.split()))
+
+    def done(self) -> Tag:
+        while self.open:
+            self.stop()
+        self.text = "".join(self.parts)
+        return self.nodes[0]
+
+    def look(self, n: int) -> None:
+        """Rules may look at each node so many times on average; those that tell what lies in each other could go on."""
+        self.steps += n
+        if self.steps > 1_000_000 + 50 * len(self.nodes):
+            raise ValueError("quotations or tables lie too deep in each other")
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Tag("root")
-        self.open = [self.root]
+        self.page = Page()
+        self.page.start("root", {})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.open[-1].name in CLOSES.get(tag, ()):
-            while self.open[-1].name in CLOSES[tag]:
-                self.open.pop()
-        node = Tag(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        while self.page.open[-1].name in CLOSES.get(tag, ()):
+            self.page.stop()
+        self.page.start(tag, dict(attrs))
+        if tag in VOID:
+            self.page.stop()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.open[-1].children.append(Tag(tag, dict(attrs)))
+        self.page.start(tag, dict(attrs))
+        self.page.stop()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.name == tag for n in self.open[1:]):
-            while self.open.pop().name != tag:
+        if self.page.names[tag] and tag != "root":
+            while self.page.stop() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        self.page.say(data)
 
 
 def tree(html: str) -> Tag:
+    """The root of a page. A comment that isn't closed goes on to the end."""
     builder = _Builder()
     builder.feed(html)
-    builder.close()
-    return builder.root
+    if not builder.rawdata.startswith("<!--"):
+        builder.close()
+    return builder.page.done()
 
 
 def squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
+def _is_arrow(tag: Tag) -> bool:
+    return tag.dense <= 2 and tag.text().strip() in ARROWS
+
+
 def _leads_back(tag: Tag) -> bool:
-    return "backlink" in tag.get("epub:type") or tag.get("role") == "doc-backlink" or tag.text().strip() in ARROWS
+    return "backlink" in tag.get("epub:type") or tag.get("role") == "doc-backlink" or _is_arrow(tag)
 
 
 def inline(element: Tag) -> tuple[str, list[tuple[str, str]]]:
     """Markdown of what is in an element, and the (marker, id) of the footnotes that it refers to."""
     parts: list[str] = []
     notes: list[tuple[str, str]] = []
-    for child in element.children:
+    closing: list[tuple[int, str]] = []  # where open tags end, and what is put there
+    i = element.at + 1
+    while i < element.end or closing:
+        if closing and i >= closing[-1][0]:
+            parts.append(closing.pop()[1])
+            continue
+        element.page.look(1)
+        child = element.page.nodes[i]
         if isinstance(child, str):
             parts.append(child)
+            i += 1
             continue
+        i = child.end
         if _leads_back(child):
             continue
         href, kind = child.get("href"), child.get("epub:type")
-        marker = child.text().strip("[]^ ")
         refers = "noteref" in kind or "footnote" in kind or any(x in href for x in ("#fn", "#footnote", "#note"))
+        marker = child.text().strip("[]^ ") if refers else ""
         if refers and _NOTE_MARKER.fullmatch(marker):
             notes.append((marker, href.rsplit("#", 1)[-1] if "#" in href else marker))
             parts.append(f"{FOOTNOTE_MARK}{marker}{FOOTNOTE_MARK}")
@@ -124,28 +218,33 @@ def inline(element: Tag) -> tuple[str, list[tuple[str, str]]]:
         elif child.name == "br":
             parts.append("\n")
         else:
-            text, more = inline(child)
-            notes += more
             mark = INLINE.get(child.name, "")
             link = child.name == "a" and href and not href.startswith("#")
-            parts.append(f"[{text}]({href})" if link else f"{mark}{text}{mark}")
+            parts.append("[" if link else mark)
+            closing.append((child.end, f"]({href})" if link else mark))
+            i = child.at + 1
     return re.sub(r"[ \t]+", " ", "".join(parts)), notes
 
 
 def flow(container: Tag) -> Iterator[tuple[str, Tag | str]]:
     """text, heading, hgroup and block elements in order; what only holds such ones is looked into."""
-    for child in container.children:
+    i = container.at + 1
+    while i < container.end:
+        child = container.page.nodes[i]
         if isinstance(child, str):
+            i += 1
             if child.strip():
                 yield "text", child.strip()
-        elif child.name in HEADINGS:
+            continue
+        i = child.end
+        if child.name in HEADINGS:
             yield "heading", child
         elif child.name == "hgroup":
             yield "hgroup", child
         elif child.name in BLOCKS or any(x in child.classes for x in (*BOXES, "highlight")):
             yield "block", child
-        elif child.first(*BLOCKS, *HEADINGS, "hgroup"):
-            yield from flow(child)
+        elif child.inner:
+            i = child.at + 1
         else:
             yield "block", child
 
@@ -226,9 +325,9 @@ def note_definitions(root: Tag) -> tuple[Tag, dict[str, str]]:
 
     texts = {}
     for tag in root.all():
-        if defines(tag):
-            whole = tag.without(lambda t: (t.name in ("a", "span") and "backlink" == t.get("epub:type")) or (t.name == "a" and (t.get("role") == "doc-backlink" or t.text().strip() in ARROWS))).text().strip()
-            texts.setdefault(tag.get("id"), NOTE_TAIL.sub("", NOTE_MARK.sub("", whole).strip()).strip() or whole)
+        if defines(tag) and tag.get("id") not in texts:
+            whole = tag.without(lambda t: (t.name in ("a", "span") and "backlink" == t.get("epub:type")) or (t.name == "a" and (t.get("role") == "doc-backlink" or _is_arrow(t)))).text().strip()
+            texts[tag.get("id")] = NOTE_TAIL.sub("", NOTE_MARK.sub("", whole).strip()).strip() or whole
     return root.without(defines), texts
 
 

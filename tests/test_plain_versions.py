@@ -7,7 +7,6 @@ from difflib import SequenceMatcher
 import pytest
 from test_rendering import item
 
-from leafmill.functions.text import TERM_STOP_WORDS
 from leafmill.plans import layout_queries, registry
 from leafmill.plans.document_queries import running
 from leafmill.plans.tables import blocks, read
@@ -114,38 +113,6 @@ def test_fuzzy_headers(spark):
     assert got == want and len(got) > 10
 
 
-def term(line):
-    """A plain version of the rule of terms."""
-    for i, c in enumerate(line):
-        if c in ":—–" or (c == "-" and line[i + 1 : i + 2] in (" ", "\t")):
-            raw, after = line[:i].strip(), line[i + 1 :]
-            ws = raw.split()
-            good = after[:1] in (" ", "\t") and after.strip() and 1 <= len(ws) <= 8 and len(raw) <= 60 and re.match(r"[A-Za-z0-9(\[\"']", raw) and raw[-1] not in "?!;"
-            if not good or (len(ws) > 2 and ws[0].lower() in TERM_STOP_WORDS):
-                return None
-            return re.sub(r"[ :—–.-]+$", "", re.sub(r"^[*_]+|[*_]+$", "", raw)).strip(), after.strip().lstrip(" :—–.-").strip()
-    return None
-
-
-def test_glossary_run(spark):
-    pages = defaultdict(list)
-    for r in blocks(spark, SF).collect():
-        text = chr(65 + r.seq % 26) if r.seq % 5 == 0 else f"Term {r.seq}: {r.text}" if r.seq % 5 < 3 else r.text
-        pages[r.book, r.page].append((r.seq, text.strip()))
-    want = set()
-    for key, found in pages.items():
-        letter, entries = None, []
-        for _, line in sorted(found):
-            if re.fullmatch("[A-Z]", line):
-                letter = line
-            elif line and (hit := term(line)):
-                entries.append([letter, *hit])
-            elif line and entries:
-                entries[-1][2] = f"{entries[-1][2]} {line}".strip()
-        want |= {(*key, i, *e) for i, e in enumerate(entries, 1)}
-    assert {(r.book, r.page, r.entry, r.letter, r.term, r.definition) for r in rows(spark, "glossary_run")} == want
-
-
 def test_html(spark):
     pages = {r.page_id: page_items(r.html or "") for r in read(spark, SF, "pages").collect()}
     want = {(k, x["section"], x["item"], x["section_title"], x.get("kind"), x.get("text")) for k, xs in pages.items() for x in xs}

@@ -77,7 +77,7 @@ def test_watch(spark, tmp_path):
 
 def test_sequential(spark):
     from leafmill.operators import pages as P
-    from leafmill.operators import sequential as S
+    from leafmill.operators.glossary import glossary
 
     shape = "book string, page long, seq int, kind string, text string, bold boolean, x0 double, y0 double, x1 double, y1 double"
     rows = [
@@ -88,4 +88,5 @@ def test_sequential(spark):
     df = spark.createDataFrame(rows, shape)
     assert sorted(r.seq for r in P.without_layers(df.filter("page = 1")).collect()) == [0, 2]
     assert sorted((r.image, r.caption) for r in P.captioned(df.filter("page = 2 AND kind = 'image'"), df.filter("page = 2 AND kind = 'text'")).collect()) == [(0, 1), (2, 3)]
-    assert [(r.letter, r.term, r.definition) for r in S.glossary(df.filter("page = 3")).orderBy("entry").collect()] == [("A", "Ape", "an animal with: hands"), ("A", "Axe", "a tool")]
+    entries, rest = glossary(df.filter("page = 3").selectExpr("*", "1L AS section", "10.0D AS size"))
+    assert rest.count() == 0 and [(r.letter, r.term, r.definition) for r in entries.orderBy("entry").collect()] == [("A", "Ape", "an animal with: hands"), ("A", "Axe", "a tool")]
