@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.operators.spans import in_spans
 
 
 def ocr_lines(words: DataFrame, scale: float = 72 / 300) -> DataFrame:
@@ -120,12 +121,14 @@ def unique_stems(titles: DataFrame) -> DataFrame:
 
 
 def skeleton(headings: DataFrame, blocks: DataFrame, snippet: int = 80) -> DataFrame:
-    """book, outline: a line for each heading, set in by level, with the beginning of the block after it."""
+    """book, outline: a line for each heading, set in by level, with the beginning of the block after it; a longer one is
+    cut to `snippet` characters, the last three of them full stops."""
     after = F.lead("text").over(Window.partitionBy("book", "page").orderBy("seq"))
     rows = headings.join(blocks.select("book", "page", "seq", after.alias("after")), ["book", "page", "seq"], "left")
     number = F.row_number().over(Window.partitionBy("book").orderBy("page", "seq"))
-    rows = rows.withColumn("id", number)
-    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("["), "id", F.lit("] p"), "page", F.lit(" "), "text", F.when(F.col("after").isNull(), "").otherwise(F.concat(F.lit(" | "), F.substring("after", 1, snippet))))
+    rows = rows.withColumn("id", number).withColumn("after", T.stripped(F.regexp_replace("after", "\n", " ")))
+    cut = F.when(F.length("after") > snippet, F.concat(F.substring("after", 1, snippet - 3), F.lit("..."))).otherwise(F.col("after"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("["), "id", F.lit("] p"), "page", F.lit(" "), "text", F.when(F.col("after").isNull(), "").otherwise(F.concat(F.lit(" | "), cut)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"])
     return rows.groupBy("book").agg(F.array_join(parts, "\n").alias("outline"))
 
@@ -141,5 +144,5 @@ def reviewed(headings: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def in_zones(pages: DataFrame, zones: DataFrame) -> DataFrame:
     """pages (book, page) with the zone (book, start_page, end_page, zone) that holds them, body if none does."""
-    hit = pages.join(zones, "book").filter(F.col("page").between(F.col("start_page"), F.col("end_page"))).groupBy("book", "page").agg(F.min("zone").alias("zone"))
+    hit = in_spans(pages, zones).groupBy("book", "page").agg(F.min("zone").alias("zone"))
     return pages.join(hit, ["book", "page"], "left").select("book", "page", F.coalesce("zone", F.lit("body")).alias("zone"))

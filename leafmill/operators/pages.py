@@ -7,6 +7,8 @@ compared with each other is of one line or one page, so the arrays below are as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,17 +134,19 @@ def inserted(blocks: DataFrame, figures: DataFrame) -> DataFrame:
     return both.select("book", "page", F.posexplode(whole).alias("place", "r")).select("book", "page", "place", "r.kind", "r.seq")
 
 
-def extracted(pages: DataFrame, spans: DataFrame, lines: DataFrame, grids: DataFrame, images: DataFrame, words: DataFrame, page_area: float) -> tuple[DataFrame, DataFrame]:
+def extracted(pages: DataFrame, spans: DataFrame, lines: DataFrame, grids: DataFrame, images: DataFrame, words: DataFrame | Callable[[DataFrame], DataFrame], page_area: float, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """blocks (text, image and table, with their new seq) and the states of pages, from all that a decoder gives.
 
     Tables need two rows of two cells; images are neither the page nor specks; captions leave the text for their image.
+    words: those recognised, or a function of the states that gives them. keep(df, name) saves a table and reads it again.
     """
+    keep = keep or (lambda df, name: df)
     numbered = Window.partitionBy("book", "page").orderBy("y0", "x0")
     tables = document.tables_found(grids).withColumn("seq", F.row_number().over(numbered) - 1)
     pictures = assembly.placed_images(images, page_area).withColumn("seq", F.row_number().over(Window.partitionBy("book", "page").orderBy("image")) - 1)
-    native = native_blocks(spans, tables)
-    states = page_states(pages, native, lines, images)
-    texts = recognised_blocks(native, states, words, tables)
+    native = keep(native_blocks(spans, tables), "native")
+    states = keep(page_states(pages, native, lines, images), "states")
+    texts = keep(recognised_blocks(native, states, words(states) if callable(words) else words, tables), "texts")
     taken = captioned(pictures, texts)
     said = texts.join(taken.select("book", "page", F.col("caption").alias("seq")), ["book", "page", "seq"], "left_anti")
     captions = taken.join(texts.select("book", "page", F.col("seq").alias("caption"), F.col("text").alias("_caption")), ["book", "page", "caption"]).select("book", "page", F.col("image").alias("seq"), "_caption")

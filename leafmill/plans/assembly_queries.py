@@ -116,7 +116,7 @@ def unique_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {BLOCKS_SQL}, {_HEADING_SQL}, a AS (SELECT book, page, seq, lead(text) OVER (PARTITION BY book, page ORDER BY seq) AS after FROM blocks), r AS (SELECT h.*, after, row_number() OVER (PARTITION BY h.book ORDER BY h.page, h.seq) AS id FROM headings h LEFT JOIN a USING (book, page, seq))
-    SELECT book, string_agg(concat(repeat('  ', level - 1), '[', id, '] p', page, ' ', text, CASE WHEN after IS NULL THEN '' ELSE concat(' | ', substr(after, 1, 80)) END), chr(10) ORDER BY id) AS outline FROM r GROUP BY book"""
+    SELECT book, string_agg(concat(repeat('  ', level - 1), '[', id, '] p', page, ' ', text, CASE WHEN after IS NULL THEN '' ELSE concat(' | ', CASE WHEN length({_STRIP.format("after")}) > 80 THEN concat(substr({_STRIP.format("after")}, 1, 77), '...') ELSE {_STRIP.format("after")} END) END), chr(10) ORDER BY id) AS outline FROM r GROUP BY book"""
 )
 def review_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outline of each book that a reviewer is shown."""

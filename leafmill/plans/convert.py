@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import rendering
 from leafmill.sources import books
-from leafmill.sources.shared import shared_folder
+from leafmill.sources.shared import Told, shared_folder, written
 
 
-def staged(rows: DataFrame, spark: SparkSession, label: str = "books") -> DataFrame:
+def staged(rows: DataFrame, spark: SparkSession, label: str = "books", told: Told | None = None) -> DataFrame:
     """rows of books, written once to the shared folder by their kind: who asks for one kind reads that alone, and
-    nothing but the pictures' reader touches pictures."""
+    nothing but the pictures' reader touches pictures. told gets the numbers of rows, books, pages and errors."""
     folder = f"{shared_folder(spark, label)}/rows"
-    rows.write.partitionBy("row").parquet(folder)
+    kinds = {f"{kind}s": F.col("row") == kind for kind in ("book", "page", "error")}
+    written(rows, spark, label, "rows", lambda x: x.write.partitionBy("row").parquet(folder), told, **kinds)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
@@ -92,19 +93,19 @@ def write_books(rows: DataFrame, out: str, day: str, places: DataFrame, single_f
     shown = t["items"].filter("kind = 'image'").select("book", "image", rendering.attachment_name(F.col("label"), F.col("image")).alias("name"))
     one = shown.groupBy("book", "name").agg(F.min("image").alias("image"))  # of equal names one is kept
     pictures = one.join(t["images"].dropDuplicates(["book", "image"]), ["book", "image"]).select("book", F.concat(F.lit("attachments/"), "name").alias("file"), "content")
-    written = write_files(texts.unionByName(pictures).join(places.select("book", "folder"), "book"), out)
+    done = write_files(texts.unionByName(pictures).join(places.select("book", "folder"), "book"), out)
     failed = rows.filter("row = 'error'").select("path", F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("size"), "error")
-    return written.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
 def today(spark: SparkSession) -> str:
     return spark.sql("SELECT CAST(current_date() AS STRING)").first()[0]
 
 
-def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool = False, single_file: bool = False, core_only: bool = False, profile: str = "auto", converted: str | None = None, readers: dict[str, Callable] | None = None) -> DataFrame:
+def convert_books(spark: SparkSession, folder: str, out: str, recursive: bool = False, single_file: bool = False, core_only: bool = False, profile: str = "auto", converted: str | None = None, readers: dict[str, Callable] | None = None, told: Told | None = None) -> DataFrame:
     """Converts the books of a folder; path, folder, file, size of each file written, and path and error of each book
     that can't be read. Images that the text shows go to attachments. converted: the date in the files; today without.
-    Each file is parsed once: its rows are staged by kind in the shared folder."""
-    rows = staged(books.read_books(spark, folder, readers, recursive, profile), spark)
+    Each file is parsed once: its rows are staged by kind in the shared folder. told: see staged."""
+    rows = staged(books.read_books(spark, folder, readers, recursive, profile), spark, told=told)
     day = converted or today(spark)
     return write_books(rows, out, day, folders(tables(rows, day)["books"]), single_file, core_only)
