@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.sources.shared import opened, put, shared_folder
+
+#: Titles of one automaton, automata that a task keeps between its batches, and rests by which characters are counted.
+MOST_TITLES, HELD_FILES, BINS = 100_000, 4, 64
 
 #: Labels of front and back matter, as alternatives of a pattern.
 FRONT = "table of contents|contents|preface|foreword|dedication|acknowledgments|acknowledgements"
@@ -48,21 +58,67 @@ def monotone(rows: DataFrame, book: str, at: str) -> DataFrame:
     return rows.withColumn("seen", seen).withColumn("division", F.when(F.col("seen") & (F.col("division") == "front"), "body").otherwise(F.col("division"))).drop("seen")
 
 
-def contained(pages: DataFrame, titles: DataFrame, longest: int, most_titles: int = 2_000) -> DataFrame:
-    """page, title of the titles (4 to `longest` characters) in each page's text t.
+def title_files(titles: DataFrame, folder: str, most: int = MOST_TITLES) -> None:
+    """Writes automata of `most` titles each to a folder that all machines share."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(folder)
+        fs.create_dir(root, recursive=True)
+        part, n, have = TaskContext.get().partitionId(), 0, []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal n, have
+            search = ahocorasick.Automaton()
+            for title in have:
+                search.add_word(title, title)
+            search.make_automaton()
+            put(fs, f"{root}/{part:05d}-{n:05d}.titles", pickle.dumps(search))
+            told = pa.RecordBatch.from_pydict({"n": [len(have)]})
+            n, have = n + 1, []
+            return told
+
+        for batch in batches:
+            for title in batch["title"].to_pylist():
+                have.append(title)
+                if len(have) == most:
+                    yield flush()
+        if have:
+            yield flush()
 
-    Up to most_titles titles, which are counted first, are looked for in each text as they are; more are joined with
-    the texts' pieces of the titles' lengths, so that no page meets a title that it doesn't hold.
+    titles.select("title").mapInArrow(task, "n long").write.format("noop").mode("overwrite").save()
+
+
+def contained(pages: DataFrame, titles: DataFrame, longest: int, most: int = MOST_TITLES) -> DataFrame:
+    """page, title of the titles (4 to `longest` characters) in each page's text t, once each.
+
+    Titles are looked for all at once, by automata of `most` titles each that are kept in the shared folder; a text is
+    read once for each of those, however many titles it could hold. Null texts hold none.
     """
-    titles = titles.filter(F.length("title").between(4, longest)).distinct()
-    few = [r["title"] for r in titles.limit(most_titles + 1).collect()]
-    if len(few) <= most_titles:
-        held = F.filter(F.lit(few).cast("array<string>"), lambda x: F.contains("t", x)) if few else F.array().cast("array<string>")
-        return pages.select("page", F.explode(held).alias("title")).distinct()
-    lengths = titles.select(F.length("title").alias("n")).distinct()
-    pieces = pages.select("page", "t", F.explode(F.sequence(F.lit(4), F.lit(longest))).alias("n")).join(lengths, "n").filter("length(t) >= n")
-    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substr("t", i, F.col("n"))))
-    return pieces.select("page", F.explode(cut).alias("title")).join(titles, "title").select("page", "title").distinct()
+    folder = shared_folder(pages.sparkSession, "titles")
+    title_files(titles.filter(F.length("title").between(4, longest)).distinct(), folder, most)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(folder)
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        names, held = sorted(x.path for x in found if x.path.endswith(".titles")), {}
+
+        def automaton(name: str) -> ahocorasick.Automaton:
+            if name in held:
+                return held[name]
+            with fs.open_input_stream(name) as src:
+                made = pickle.loads(src.read())
+            if len(held) < HELD_FILES:  # the others are read again for each batch
+                held[name] = made
+            return made
+
+        for batch in batches:
+            texts = batch["t"].to_pylist()
+            for name in names:
+                search = automaton(name)
+                rows = [(i, title) for i, t in enumerate(texts) if t for title in {x for _, x in search.iter(t)}]
+                yield pa.RecordBatch.from_arrays([batch["page"].take(pa.array([i for i, _ in rows], pa.int64())), pa.array([x for _, x in rows], pa.string())], names=["page", "title"])
+
+    return pages.select("page", "t").mapInArrow(task, f"page {pages.schema['page'].dataType.simpleString()}, title string").distinct()
 
 
 def is_decorative(c: Column) -> Column:
@@ -151,6 +207,37 @@ def corrections(answers: DataFrame, key: str) -> DataFrame:
     return first.withColumn("gone", gone).filter("NOT (action = 'demote' AND gone >= n_headings)").select(key, "id", "action", "new_level")
 
 
+def clusters(lines: list[tuple[str, int]], ratio: float) -> tuple[list[tuple[str, int, list[str]]], int]:
+    """(first line, number, lines) of the clusters of distinct lines (and how often each comes), in order, and how many pairs
+    were compared.
+
+    Two lines can't be more alike than the characters that they share: twice the sum of the lesser numbers of each, over
+    both lengths. That is asked of all first lines at once, of the numbers of characters by the rest of their code modulo
+    BINS (which can only be more); only where it reaches the ratio are the lines themselves compared.
+    """
+    found: list[list] = []
+    room = 64
+    counts, sizes, compared = np.zeros((room, BINS), np.int32), np.zeros(room, np.int64), 0
+    for norm, n in lines:
+        own = np.bincount(np.frombuffer(norm.encode("utf-32-le"), "<u4") % BINS, minlength=BINS).astype(np.int32)
+        near = np.flatnonzero(2 * np.minimum(counts[: len(found)], own).sum(axis=1) >= ratio * (sizes[: len(found)] + len(norm)) - 1e-9)
+        best, most = None, 0.0
+        for k in near.tolist():  # of those that are alike the most, the first of equal ones
+            compared += 1
+            m = SequenceMatcher(None, norm, found[k][0])
+            if m.quick_ratio() >= max(ratio, most) and (now := m.ratio()) > most:
+                best, most = found[k], now
+        if best is not None and most >= ratio:
+            best[1] += n
+            best[2].append(norm)
+            continue
+        if len(found) == room:
+            counts, sizes, room = np.concatenate([counts, np.zeros_like(counts)]), np.concatenate([sizes, np.zeros_like(sizes)]), 2 * room
+        counts[len(found)], sizes[len(found)] = own, len(norm)
+        found.append([norm, n, [norm]])
+    return [tuple(c) for c in found], compared
+
+
 def alike(edges: DataFrame, least: int = 5, ratio: float = 0.82) -> DataFrame:
     """book, band, first, n_lines, members: clusters of `least` lines or more that are like their first one.
 
@@ -160,20 +247,8 @@ def alike(edges: DataFrame, least: int = 5, ratio: float = 0.82) -> DataFrame:
     distinct = edges.groupBy("book", "band", "norm").agg(F.min(F.struct("page", "seq")).alias("at"), F.count("*").alias("n")).select("book", "band", "norm", "at.page", "at.seq", "n")
 
     def cluster(key: tuple, rows: pa.Table) -> pa.Table:
-        found: list[list] = []
-        for _, _, norm, n in sorted(zip(*(rows[c].to_pylist() for c in ("page", "seq", "norm", "n")), strict=True)):
-            best, most = None, 0.0
-            m = SequenceMatcher(None, norm)
-            for c in found:  # of those that are alike the most, the first of equal ones
-                m.set_seqs(norm, c[0])
-                if m.real_quick_ratio() >= max(ratio, most) and m.quick_ratio() >= max(ratio, most) and (now := m.ratio()) > most:
-                    best, most = c, now
-            if best is not None and most >= ratio:
-                best[1] += n
-                best[2].append(norm)
-            else:
-                found.append([norm, n, [norm]])
-        kept = [c for c in found if c[1] >= least]
+        lines = [(norm, n) for _, _, norm, n in sorted(zip(*(rows[c].to_pylist() for c in ("page", "seq", "norm", "n")), strict=True))]
+        kept = [c for c in clusters(lines, ratio)[0] if c[1] >= least]
         return pa.table({"book": [key[0].as_py()] * len(kept), "band": [key[1].as_py()] * len(kept), "first": [c[0] for c in kept], "n_lines": [c[1] for c in kept], "members": [c[2] for c in kept]}, schema=pa.schema([("book", pa.string()), ("band", pa.string()), ("first", pa.string()), ("n_lines", pa.int64()), ("members", pa.list_(pa.string()))]))
 
     return distinct.groupBy("book", "band").applyInArrow(cluster, "book string, band string, first string, n_lines long, members array<string>")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import rendering
 from leafmill.sources import books
-from leafmill.sources.shared import Told, shared_folder, written
+from leafmill.sources.shared import Told, opened, put, shared_folder, written
 
 
 def staged(rows: DataFrame, spark: SparkSession, label: str = "books", told: Told | None = None) -> DataFrame:
@@ -65,16 +63,13 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     path, folder, file and size. The folder is a URI that all machines share. To write the same again changes nothing."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = (pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder)
+        fs, root = opened(folder)
         for batch in batches:
             sizes = []
             for own, file, content in zip(*(batch[c].to_pylist() for c in ("folder", "file", "content")), strict=True):
                 path = f"{root}/{own}/{file}"
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                with fs.open_output_stream(part) as out:
-                    out.write(content)
-                fs.move(part, path)
+                put(fs, path, content)
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([batch["book"], batch["folder"], batch["file"], pa.array(sizes, pa.int64())], names=["path", "folder", "file", "size"])
 
