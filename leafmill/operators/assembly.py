@@ -60,17 +60,15 @@ def bookmark_blocks(bookmarks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 #: What may stand before the number of a chapter.
 LABEL_WORDS = ["chapter", "ch", "part", "section", "book", "no", "number"]
-#: The numerals of a thousand, and of hundreds, tens and units from none to nine.
-ROMAN = ["M", "C CC CCC CD D DC DCC DCCC CM", "X XX XXX XL L LX LXX LXXX XC", "I II III IV V VI VII VIII IX"]
+#: Fixed value: a number in Roman numerals.
+ROMAN = "^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
 def is_chapter_label(c: Column) -> Column:
     """A number in digits or Roman numerals, with one of LABEL_WORDS before it or alone, and a full stop or none."""
     t = F.upper(F.regexp_replace(T.stripped(c), "[.]$", ""))
     named = F.regexp_replace(t, rf"^({'|'.join(w.upper() for w in LABEL_WORDS)})[.]?{T.SPACES}*", "")
-    digit = lambda names: "(?:" + "|".join(sorted(names.split(), key=len, reverse=True)) + ")?"
-    roman = "^" + ROMAN[0] + "{0,4}" + "".join(digit(x) for x in ROMAN[1:]) + "$"
-    is_number = lambda x: (x != "") & (x.rlike("^[0-9]+$") | x.rlike(roman))
+    is_number = lambda x: (x != "") & (x.rlike("^[0-9]+$") | x.rlike(ROMAN))
     return is_number(named) | is_number(t)
 
 

@@ -42,18 +42,20 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book", "page", "line", "seq", "text", *(F.round(c, 6).alias(c) for c in ("x0", "x1", "size")))
 
 
-_SPAN = {"text": "substr(text, 1 + (seq * 3) % 9, 12)", "flags": "CAST(CASE WHEN (page + seq) % 4 = 0 THEN 18 WHEN (page + seq) % 4 = 1 THEN 1 ELSE 0 END AS INTEGER)", "size": "CAST(10 + (page + seq) % 3 * 0.04 AS DOUBLE)", "x0": "CAST(50 * seq + CASE WHEN seq % 2 = 0 THEN 5 ELSE 0 END AS DOUBLE)", "x1": "CAST(50 * seq + 50 AS DOUBLE)"}
+#: A line is two spans, the first up to a place in it and the second the rest, of a style that they share or don't.
+_SPAN = {"text": "CASE WHEN half = 0 THEN substr(text, 1, 4 + seq % 9) ELSE substr(text, 5 + seq % 9) END", "flags": "CAST(CASE WHEN (page + seq) % 4 = 0 THEN 18 WHEN (page + seq) % 4 = 1 THEN 1 ELSE 0 END AS INTEGER)", "size": "CAST(10 + (page + seq) % 3 * 0.04 AS DOUBLE)", "x0": "CAST(50 * seq + CASE WHEN seq % 2 = 0 THEN 5 ELSE 0 END AS DOUBLE)", "x1": "CAST(50 * seq + 50 AS DOUBLE)"}
 
 
 @query(
-    f"""WITH {BLOCKS_SQL}, s AS (SELECT book, page, seq, font, {', '.join(f'{v} AS {k}' for k, v in _SPAN.items())} FROM (SELECT book, page // 2 AS page, CAST(seq * 2 + page % 2 AS INTEGER) AS seq, text, font FROM blocks)),
+    f"""WITH {BLOCKS_SQL}, s AS (SELECT book, page, seq, font, {', '.join(f'{v} AS {k}' for k, v in _SPAN.items())} FROM (SELECT book, page, CAST(seq * 2 + half AS INTEGER) AS seq, half, text, font FROM blocks, (VALUES (0), (1)) AS halves(half))),
     n AS (SELECT *, lag(flags) OVER w AS f0, lag(text) OVER w AS t0, lag(x1) OVER w AS e0 FROM s WHERE text <> '' WINDOW w AS (PARTITION BY book, page ORDER BY seq)),
     r AS (SELECT *, CASE WHEN f0 = flags AND x0 - e0 > 0.2 * size AND NOT regexp_matches(text, '^[  ]') AND NOT regexp_matches(t0, '[  ]$') THEN concat(' ', text) ELSE text END AS part, sum(CASE WHEN f0 = flags THEN 0 ELSE 1 END) OVER (PARTITION BY book, page ORDER BY seq) AS run FROM n)
     SELECT book, page, CAST(run AS BIGINT) AS run, string_agg(part, '' ORDER BY seq) AS text, arg_min(flags, seq) & 1 <> 0 AS superscript, arg_min(flags, seq) & 2 <> 0 AS italic, arg_min(flags, seq) & 16 <> 0 AS bold, max(x1) AS x1 FROM r GROUP BY book, page, run"""
 )
 def span_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans (pieces of a page's lines, as if on one line) grouped by style."""
-    rows = blocks(spark, sf_dir).select("book", F.expr("page div 2").alias("page"), F.expr("seq * 2 + page % 2").alias("seq"), "text", "font").select("book", "page", F.lit(0).alias("line"), "seq", "font", *(F.expr(v).alias(k) for k, v in _SPAN.items()))
+    """Spans (each line of a page in two, as if all were on one line) grouped by style."""
+    halves = blocks(spark, sf_dir).select("book", "page", "seq", "text", "font", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    rows = halves.select("book", "page", (F.col("seq") * 2 + F.col("half")).alias("seq"), "half", "text", "font").select("book", "page", F.lit(0).alias("line"), "seq", "font", *(F.expr(v).alias(k) for k, v in _SPAN.items()))
     return A.span_groups(rows.withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(10.0))).select("book", "page", "run", "text", "superscript", "italic", "bold", "x1")
 
 
@@ -165,7 +167,15 @@ def duplicate_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.without_layers(rows.unionByName(again)).groupBy("book", "page").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {BLOCKS_SQL}, t AS (SELECT * REPLACE (CASE WHEN seq % 3 = 1 THEN concat('Figure ', seq, '. A view.') ELSE text END AS text) FROM blocks),
+    c AS (SELECT * FROM t WHERE seq % 3 <> 0 AND regexp_matches({_STRIP.format("text")}, '(?i)^(Figure|Fig[.]?|Diagram|Illustration|Plate)') AND len({_WORDS.format("text")}) <= 40),
+    p AS (SELECT i.book, i.page, i.seq AS image, c.seq AS caption, CASE WHEN c.y0 >= i.y1 THEN c.y0 - i.y1 ELSE i.y0 - c.y1 END AS d FROM t i JOIN c ON c.book = i.book AND c.page = i.page WHERE i.seq % 3 = 0 AND (c.y0 >= i.y1 OR i.y0 >= c.y1)),
+    g AS (SELECT book, page, image, list(caption ORDER BY d, caption) AS captions, row_number() OVER (PARTITION BY book, page ORDER BY image) AS k FROM p WHERE d <= 30 GROUP BY book, page, image),
+    walk AS (SELECT DISTINCT book, page, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS taken, CAST(NULL AS INTEGER) AS image, CAST(NULL AS INTEGER) AS caption FROM g
+      UNION ALL SELECT w.book, w.page, g.k, list_append(w.taken, list_filter(g.captions, lambda x: NOT list_contains(w.taken, x))[1]), g.image, list_filter(g.captions, lambda x: NOT list_contains(w.taken, x))[1] FROM walk w JOIN g ON g.book = w.book AND g.page = w.page AND g.k = w.k + 1)
+    SELECT book, page, image, caption FROM walk WHERE caption IS NOT NULL"""
+)
 def caption_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images (every third line's place) with captions, each taken once."""
     rows = blocks(spark, sf_dir)

@@ -9,7 +9,7 @@ from leafmill.functions import text as T
 from leafmill.operators import document as D
 from leafmill.operators import rendering as R
 from leafmill.operators import layout
-from leafmill.plans.layout_queries import _VERSE_SQL, boxes, verse_blocks
+from leafmill.plans.layout_queries import _BOX_SQL, _VERSE_SQL, boxes, verse_blocks
 from leafmill.plans.tables import BLOCKS_SQL, LINES_SQL, PAGE_HEIGHT, PAGE_WIDTH, blocks, lines, read
 from leafmill.plans.text_queries import _COLLAPSE, _STRIP
 from leafmill.sources import html as H
@@ -303,7 +303,14 @@ def fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.alike(D.edge_bands(running(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)).withColumn("members", F.array_sort("members"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_BOX_SQL}, linked AS (SELECT a.book, a.page, a.seq AS a, b.seq AS b FROM boxes a JOIN boxes b USING (book, page) WHERE greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 10 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 10),
+    reach AS (SELECT book, page, seq AS a, seq AS b FROM boxes UNION SELECT r.book, r.page, r.a, l.b FROM reach r JOIN linked l ON l.book = r.book AND l.page = r.page AND l.a = r.b),
+    named AS (SELECT book, page, a AS seq, min(b) AS region FROM reach GROUP BY book, page, a),
+    found AS (SELECT book, page, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes JOIN named USING (book, page, seq) GROUP BY book, page, region),
+    taken AS (SELECT * FROM boxes WHERE seq = 1 AND page % 4 = 0)
+    SELECT f.* FROM found f WHERE x1 - x0 >= 30 AND y1 - y0 >= 30 AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.book = f.book AND t.page = f.page AND f.x0 < t.x1 AND t.x0 < f.x1 AND f.y0 < t.y1 AND t.y0 < f.y1)"""
+)
 def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a page within ten points of each other as one region, unless it is small or covers a place taken before."""
     taken = boxes(spark, sf_dir).filter("seq = 1 AND page % 4 = 0")

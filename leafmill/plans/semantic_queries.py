@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import assembly, document, layout, pages, semantic
 from leafmill.plans import books
-from leafmill.plans.layout_queries import _CHAPTER_SQL, _HEADING_SQL, _SIZE_SQL, boxes
+from leafmill.plans.layout_queries import _BOX_SQL, _CHAPTER_SQL, _HEADING_SQL, _SIZE_SQL, boxes
 from leafmill.plans.tables import BLOCKS_SQL, LINES_SQL, PAGE_HEIGHT, blocks, lines, read
 from leafmill.plans.text_queries import _COLLAPSE, _STRIP, _WORDS
 
@@ -131,7 +131,14 @@ def tables_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.tables_found(rows.withColumn("cells", cells)).select("book", "page", F.size("cells").alias("n_rows"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_BOX_SQL}, x AS (SELECT *, CASE seq % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'text' ELSE 'table' END AS kind FROM boxes),
+    f AS (SELECT book, page, struct_pack(kind := kind, seq := seq, y0 := y0) AS r, row_number() OVER (PARTITION BY book, page ORDER BY kind, seq) AS k FROM x WHERE kind <> 'text'),
+    walk AS (SELECT book, page, 0 AS k, list(struct_pack(kind := kind, seq := seq, y0 := y0) ORDER BY seq) FILTER (kind = 'text') AS done FROM x GROUP BY book, page
+      UNION ALL SELECT w.book, w.page, w.k + 1, coalesce(list_filter(w.done, lambda y, i: i < coalesce(nullif(list_position(list_transform(w.done, lambda z: z.y0 > f.r.y0), true), 0), 1000)), []) || [f.r] || coalesce(list_filter(w.done, lambda y, i: i >= coalesce(nullif(list_position(list_transform(w.done, lambda z: z.y0 > f.r.y0), true), 0), 1000)), []) FROM walk w JOIN f ON f.book = w.book AND f.page = w.page AND f.k = w.k + 1),
+    whole AS (SELECT book, page, arg_max(done, k) AS done FROM walk GROUP BY book, page), each AS (SELECT book, page, unnest(done) AS r, generate_subscripts(done, 1) - 1 AS place FROM whole)
+    SELECT book, page, CAST(place AS INTEGER) AS place, r.kind AS kind, r.seq AS seq FROM each"""
+)
 def inserted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of a page's blocks with its images and tables put in by where they begin."""
     rows = boxes(spark, sf_dir)
@@ -139,7 +146,17 @@ def inserted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.inserted(rows.filter(kind == "text"), rows.withColumn("kind", kind).filter("kind <> 'text'"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_BOX_SQL}, s AS (SELECT *, seq // 4 AS line, CASE WHEN seq % 5 = 0 THEN '' ELSE concat('w', seq % 2) END AS t, row_number() OVER (PARTITION BY book, page, seq // 4 ORDER BY seq) AS k FROM boxes),
+    near AS (SELECT b.book, b.page, b.line, b.seq, list(a.seq) AS earlier FROM s a JOIN s b USING (book, page, line) WHERE a.seq < b.seq AND a.t = b.t AND b.t <> ''
+      AND ((least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.7)
+        OR (abs(a.x0 - b.x0) <= 2 AND abs(a.y0 - b.y0) <= 2 AND abs(a.x1 - b.x1) <= 2 AND abs(a.y1 - b.y1) <= 2)) GROUP BY ALL),
+    n AS (SELECT s.book, s.page, s.line, s.seq, s.k, coalesce(earlier, []) AS earlier FROM s LEFT JOIN near USING (book, page, line, seq)),
+    walk AS (SELECT DISTINCT book, page, line, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM n
+      UNION ALL SELECT w.book, w.page, w.line, n.k, CASE WHEN list_has_any(w.kept, n.earlier) THEN w.kept ELSE list_append(w.kept, n.seq) END FROM walk w JOIN n ON n.book = w.book AND n.page = w.page AND n.line = w.line AND n.k = w.k + 1),
+    whole AS (SELECT book, page, line, arg_max(kept, k) AS kept FROM walk GROUP BY book, page, line)
+    SELECT book, page, line, unnest(kept) AS seq FROM whole"""
+)
 def distinct_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans without shadows; two items of an order are of one line here, and of one text if their parts end alike."""
     rows = boxes(spark, sf_dir).withColumn("line", F.expr("seq div 4")).withColumn("text", F.expr("CASE WHEN seq % 5 = 0 THEN ' ' ELSE concat('w', seq % 2) END"))
