@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leafmill.operators import assembly as A
 from leafmill.operators import layout, pages
 from leafmill.operators.glossary import glossary
+from leafmill.operators.rendering import WORK_TITLES
+from leafmill.plans.books import WORKS
 from leafmill.plans.layout_queries import _HEADING_SQL, _SIZE_SQL
 from leafmill.plans.tables import BLOCKS_SQL, PAGE_HEIGHT, blocks, read
 from leafmill.plans.text_queries import _COLLAPSE, _STRIP, _WORDS, TERMS_SQL
@@ -107,6 +109,19 @@ def endnote_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.entry_markers(rows, ["notes", "endnotes"], r"^\s*\[?(\d{1,3})[\]\.\):]?\s+")
 
 
+_LISTED = "CASE WHEN seq = 0 AND page % 11 = 5 THEN 'Works  Cited' WHEN seq = 0 AND page % 13 = 6 THEN 'Bibliography.' WHEN seq % 4 = 1 THEN concat('[', page % 90, '] ', text) ELSE text END"
+
+
+@query(
+    rf"""WITH {BLOCKS_SQL}, l AS (SELECT book, page, seq, {_LISTED} AS text FROM blocks), f AS (SELECT *, rtrim({_COLLAPSE.format('text')}, '.:') IN ({", ".join(f"'{x}'" for x in WORK_TITLES)}) AS label FROM l),
+    r AS (SELECT *, max(CAST(label AS INTEGER)) OVER (PARTITION BY book ORDER BY page, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside, regexp_extract(text, '^\s*\[?([0-9]{{1,3}})[\].):]?\s+', 1) AS marker FROM f)
+    SELECT DISTINCT book, marker FROM r WHERE inside = 1 AND NOT label AND marker <> ''"""
+)
+def work_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the entries after a label of a bibliography."""
+    return A.entry_markers(blocks(spark, sf_dir).withColumn("text", F.expr(_LISTED)), WORK_TITLES, WORKS)
+
+
 @query(
     """WITH t AS (SELECT p_brand AS book, p_partkey AS number, trim(regexp_replace(concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN ': x?' ELSE ': X' END), '[\\\\/:*?"<>|]', '', 'g')) AS stem FROM part),
     n AS (SELECT *, row_number() OVER (PARTITION BY book, lower(stem) ORDER BY number) AS n FROM t) SELECT book, number, CASE WHEN n = 1 THEN stem ELSE concat(stem, ' ', n) END AS stem FROM n"""

@@ -45,13 +45,30 @@ def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.count_of(F.col("html"), "(?i)<li[ >]").alias("n_items"), T.count_of(F.col("html"), "(?i)<p[ >]").alias("n_paragraphs"))
 
 
-@query()
+#: Pages of these tables: a list of links, a box of text, an article of a heading and paragraphs, and a foot. A paragraph whose
+#: bold text isn't closed holds all that comes after it in the article.
+_SAID = r"regexp_replace(regexp_replace(replace(replace(regexp_replace({0}, '</?p>', '', 'g'), '<b>', '**'), '<br>', chr(10)), '[ \t]+', ' ', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
+_DECODED = "replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_HTML_SQL = rf"""c AS (SELECT page_id, regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', '', 'g') AS h FROM pages WHERE html IS NOT NULL),
+    r AS (SELECT page_id, regexp_extract_all(h, '<li><a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(h, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS links, regexp_extract(h, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(h, '(?s)</h1>(.*?)</article>', 1) AS s, regexp_extract(h, '(?s)<footer>(.*?)</footer>', 1) AS foot FROM c),
+    q AS (SELECT *, regexp_extract(s, '(?s)^((?:<p>[^<]*</p>)*)', 1) AS lead FROM r), w AS (SELECT *, regexp_extract_all(lead, '<p>([^<]*)</p>', 1) AS closed, substr(s, length(lead) + 1) AS rest FROM q),
+    t AS (SELECT page_id, hrefs, list_transform(links, lambda x: {_DECODED.format("x")}) AS links, {_DECODED.format(_SAID.format("ad"))} AS ad, {_DECODED.format(_STRIP.format("h1"))} AS h1, list_transform(list_filter(list_transform(closed, lambda x: {_SAID.format("x")}) || [{_SAID.format("concat(rest, repeat('**', CAST((length(rest) - length(replace(rest, '<b>', ''))) / 3 AS INTEGER)))")}, {_SAID.format("foot")}], lambda x: x <> ''), lambda x: {_DECODED.format("x")}) AS body FROM w)"""
+
+
+@query(
+    f"""WITH {_HTML_SQL}, one AS (SELECT page_id, 0 AS section, 0 AS item, NULL AS section_title, 2 AS section_level, 'list' AS kind, NULL AS text FROM t
+      UNION ALL SELECT page_id, 0, 1, NULL, 2, 'paragraph', ad FROM t WHERE ad <> '' UNION ALL SELECT page_id, 1, CAST(generate_subscripts(body, 1) - 1 AS INTEGER), h1, 1, 'paragraph', unnest(body) FROM t)
+    SELECT *, CAST(NULL AS VARCHAR[]) AS lines FROM one"""
+)
 def html_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content items of each page in order, with their sections."""
     return H.items(read(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "section", "item", "section_title", "section_level", "kind", "text", "lines")
 
 
-@query()
+@query(
+    f"""WITH {_HTML_SQL} SELECT page_id, regexp_replace(concat(array_to_string(list_transform(links, lambda x, i: concat('- [', x, '](', hrefs[i], ')')), chr(10)), chr(10) || chr(10), CASE WHEN ad <> '' THEN concat(ad, chr(10) || chr(10)) ELSE '' END,
+      '# ', h1, chr(10) || chr(10), array_to_string(body, chr(10) || chr(10))), '[ \t\n]+$', '') AS markdown FROM t"""
+)
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as one Markdown text."""
     rows = H.items(read(spark, sf_dir, "pages"), "page_id", "html")

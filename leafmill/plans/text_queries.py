@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import layout
 from leafmill.plans.tables import LINES_SQL, lines, read
+from leafmill.sources.shared import shared_folder
+from leafmill.streaming.tables import into_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,12 +55,25 @@ _PUNCT = "".join("\\" + x if x.isascii() else x for x in T.PUNCTUATION if x != "
 )
 def page_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each page's text is usable, and whether the page should be recognised again."""
-    parts = read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in T.quality_parts(F.col("text")).items()))
+    return scored(read(spark, sf_dir, "documents"))
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    parts = docs.select("doc_id", *(c.alias(k) for k, c in T.quality_parts(F.col("text")).items()))
     score = 0.4 * F.col("char_score") + 0.3 * F.col("validity") + 0.3 * F.col("word_likeness")
     rounded = lambda c: F.round(c + 1e-9, 6)  # noqa: E731  off the ties of halves
     return parts.select("doc_id", *(rounded(F.col(k)).alias(k) for k in ("char_score", "validity", "word_likeness")), rounded(score).alias("score"), (score < 0.5).alias("needs_ocr"))
 
 
+@query(ORACLE_SQL["page_quality_score"])
+def streamed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of pages that come as a stream, in batches that are each in the table once."""
+    folder, path = shared_folder(spark, "stream"), f"{sf_dir}/documents.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")  # a file or a folder of files
+    into_table(rows, scored, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/table").drop("batch")
+
+
 @query(
     r"""WITH p AS (SELECT source AS book, length(regexp_replace(text, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')) AS n,
       row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS total FROM documents),

@@ -14,6 +14,7 @@ from leafmill.plans.convert import convert_books
 from leafmill.sources import books, datasource
 from leafmill.sources.html import items, page_items
 from leafmill.streaming.conversion import convert_new_books, manifest
+from leafmill.streaming.tables import into_table
 
 NAMES = books.ROWS_DDL
 
@@ -141,3 +142,22 @@ def test_faulty_pages(spark):
     for r in sorted(rows, key=lambda r: (r.id, r.section or 0, r.item or 0)):
         got.setdefault(r.id, []).append(r.error.split(":")[0] if r.error else r.text)
     assert got == {1: ["corrupt"], 2: ["fine"], 4: ["text"], 5: ["a", "c"]}
+
+
+def test_a_table_has_each_batch_once(spark, tmp_path):
+    """The first run ends after the batch is written, before the stream knows of it."""
+    (tmp_path / "in").mkdir()
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in")
+    rows = lambda: spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    run = lambda rule: into_table(rows(), rule, f"{tmp_path}/out", f"{tmp_path}/cp", once=True)
+    doubled = lambda df: df.selectExpr("id * 2 AS id")
+
+    def killed(df):
+        doubled(df).write.mode("overwrite").parquet(f"{tmp_path}/out/batch=0")
+        raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        run(killed).awaitTermination()
+    for _ in range(2):
+        run(doubled).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 2, 4, 6, 8]
