@@ -118,8 +118,9 @@ class ByteNet:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = MAX_LABELLED) -> ByteNet:
-    """Fits on the driver, on `most` whole documents at most, none of them over labelled.LONGEST characters."""
-    rows = training_sample(docs, labels, label, folds, held_out, most).select("doc_id", "label", "text").toArrow().sort_by("doc_id")
+    """Fits on the driver, on `most` whole documents at most, or stretches of longer ones."""
+    order = ("doc_id", "key", "place")
+    rows = training_sample(docs, labels, label, folds, held_out, most).select(*order, "label", "text").toArrow().sort_by([(x, "ascending") for x in order])
     texts, y = byte_texts(rows["text"].combine_chunks()), rows["label"].to_numpy().astype(np.float32)
     net = ByteNet()
     if len(y):

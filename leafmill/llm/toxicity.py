@@ -170,16 +170,17 @@ class Toxicity:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, most: int = MAX_LABELLED) -> Toxicity:
-    """Fits on the driver. Words are hashed on the executors, so that the driver gets numbers of `most` texts at most, none of
-    them over labelled.LONGEST characters. One rule holds at all sizes; of few documents few words have an embedding."""
+    """Fits on the driver. Words are hashed on the executors, so that the driver gets numbers of `most` texts at most, or of
+    stretches of longer ones. One rule holds at all sizes; of few documents few words have an embedding."""
+    names = ("doc_id", "key", "place", "label", "part")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = Words(byte_texts(batch["text"]))
             lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(words.hashed.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["part"], lists], names=["doc_id", "label", "part", "words"])
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), lists], names=[*names, "words"])
 
-    rows = training_sample(docs, labels, label, folds, held_out, most).mapInArrow(task, "doc_id long, label int, part long, words array<int>").toArrow().sort_by("doc_id")
+    rows = training_sample(docs, labels, label, folds, held_out, most).mapInArrow(task, "doc_id long, key long, place int, label int, part long, words array<int>").toArrow().sort_by([(x, "ascending") for x in names[:3]])
     y, part = rows["label"].to_numpy().astype(np.float64), rows["part"].to_numpy()
     lists = [x.values.to_numpy() for x in rows["words"]]
     learn = np.flatnonzero(part >= APART)

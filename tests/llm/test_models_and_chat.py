@@ -67,6 +67,29 @@ def test_samples_leave_out_the_fold(spark, tables):
     assert quality_classifier.quality(tables[0], quality_classifier.train(tables[0], empty)).count() == 1000
 
 
+def test_samples_of_long_and_repeated_texts(spark):
+    """Long texts come in stretches, whole; rows of one id are each taken, in one order whatever the partitions."""
+    long = "".join(f"word{i} " for i in range(2_000))
+    docs = spark.createDataFrame([(1, long), (2, "b"), (2, "a"), (2, "a"), (3, None), (4, "")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 5)], "doc_id long, toxic int, quality int")
+    rows = training_sample(docs, known, "quality", 5, 4, 1_000, stretch=1_000).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.key, r.place)):
+        found.setdefault((r.doc_id, r.key), []).append(r.text)
+    assert sorted("".join(x) for x in found.values()) == sorted([long, "a", "b", "", ""]) and max(len(r.text) for r in rows) == 1_000
+    few = [sorted((r.doc_id, r.place, r.text) for r in training_sample(docs.repartition(n), known, "quality", 5, 4, 4, stretch=1_000).collect()) for n in (1, 3, 7)]
+    assert few[0] == few[1] == few[2] and len(few[0]) == 4
+
+
+def test_long_texts_are_learned_from(spark, tables):
+    few = [(r.doc_id, r.text) for r in tables[0].orderBy("doc_id").limit(150).collect()]
+    known = spark.createDataFrame([(i, int(i % 2)) for i, _ in few] + [(10_005, 1)], "doc_id long, quality int")
+    with_long = spark.createDataFrame([*few, (10_005, "zq " * 350_000)], "doc_id long, text string")
+    nets = [quality_classifier.train(d, known) for d in (spark.createDataFrame(few, "doc_id long, text string"), with_long, with_long.repartition(5))]
+    one, two, three = (float(n.scores([b"zq " * 200])[0]) for n in nets)
+    assert two == three and two > one
+
+
 def test_lm_base(spark, docs, texts):
     rows = lm_scoring.lm_scores(docs, spark).collect()
     want = brute.base_scores(texts)
