@@ -56,7 +56,7 @@ def test_as_of(spark):
 def test_titles_beyond_the_bound(spark):
     pages = spark.createDataFrame([(1, "xxalphayybetazz"), (2, "none")], "page int, t string")
     titles = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "title string")
-    few, many = D.contained(pages, titles, 12), D.contained(pages, titles, 12, most_titles=1)
+    few, many = D.contained(pages, titles, 12), D.contained(pages, titles, 12, most=1)
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == {(1, "alpha"), (1, "beta")}
 
 
