@@ -52,3 +52,21 @@ def test_few_pairs_are_compared():
     lines = list({" ".join(rng.choice(words) for _ in range(rng.randint(3, 8))): 1 for _ in range(10_000)}.items())
     found, compared = D.clusters(lines, 0.82)
     assert len(lines) > 9_900 and len(found) > 9_000 and compared < 1_000_000
+
+
+@pytest.mark.parametrize("most", [1, 2, 100])
+def test_titles_held(spark, most):
+    """Titles of a page's own book, as often as they come; without a list of all titles beside each page."""
+    pages = [("a", 1, "onetwothreefour"), ("a", 2, "threethree"), ("b", 1, "onetwothreefour"), ("b", 2, None), (None, 1, "three"), ("c", 1, "three")]
+    titles = [("a", "three"), ("a", "three"), ("a", "four"), ("a", "one"), ("a", "twothree"), ("b", "three"), ("b", None), (None, "three")]
+    got = D.titles_held(spark.createDataFrame(pages, "book string, page long, t string"), spark.createDataFrame(titles, "book string, title string"), most).collect()
+    assert {(r.book, r.page): r.held for r in got} == {("a", 1): 4, ("a", 2): 2, ("b", 1): 1, ("b", 2): 0, (None, 1): 0, ("c", 1): 0}
+
+
+def test_pairs_leave_in_parts(spark, monkeypatch):
+    """A batch's pairs of pages and titles are not held at once: no batch that leaves a task has more than a page's over the limit."""
+    monkeypatch.setattr(D, "SOME_PAIRS", 10)
+    titles = spark.range(40).selectExpr("concat('t', 100 + id, 'x') AS title")
+    every = "".join(f"t{100 + i}x" for i in range(40))
+    pages = spark.range(300).selectExpr("id AS page", f"'{every}' AS t").coalesce(1)
+    assert D.contained(pages, titles, 6).count() == 300 * 40
