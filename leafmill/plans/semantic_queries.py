@@ -46,9 +46,9 @@ _NUM_SQL = f"""{LINES_SQL}, ranked AS (SELECT source AS book, doc_id AS page, ro
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
     number = F.row_number().over(Window.partitionBy("book").orderBy("page"))
-    total = docs.groupBy("book").agg(F.count("*").alias("total"))
-    numbers = docs.select("book", "page").withColumn("number", number)  # numbers first, lines after
-    rows = docs.join(numbers, ["book", "page"]).join(total, "book").select("book", "page", "number", "total", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
+    total = F.count("*").over(Window.partitionBy("book"))
+    numbers = docs.select("book", "page").withColumn("number", number).withColumn("total", total)  # numbers first, lines after
+    rows = docs.join(numbers, ["book", "page"]).select("book", "page", "number", "total", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
     return rows.withColumn("text", F.expr(_ZONED))
 
 
