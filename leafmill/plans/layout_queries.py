@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -324,6 +324,16 @@ def column_reorder_rtl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.column_order(rows, PAGE_WIDTH, literature=True)
 
 
+def _capital(c: Column) -> Column:
+    """The one capital of a letter, as in the SQL: upper makes two letters of ß, and more of others."""
+    return F.when(c == "ß", "ẞ").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+
+
+def _small(c: Column) -> Column:
+    """Letter by letter, as in the SQL: lower makes two of İ, and looks at what is around Σ."""
+    return F.lower(F.translate(c, "İΣ", "iσ"))
+
+
 @query(
     f"""WITH {BLOCKS_SQL}, {_SIZE_SQL}, capped AS (SELECT * REPLACE (CASE WHEN size = 18 THEN upper(substr(text, 1, 1)) WHEN size = 10 THEN lower(text) ELSE text END AS text, CASE WHEN size = 18 THEN 30.0 ELSE size END AS size) FROM blocks),
     bs AS (SELECT book, round(size, 1) AS body_size FROM (SELECT book, size, row_number() OVER (PARTITION BY book ORDER BY sum(greatest(length(text), 1)) DESC, min(page * 100000 + seq)) AS n FROM capped GROUP BY book, size) WHERE n = 1),
@@ -334,7 +344,7 @@ def column_reorder_rtl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large initials, here the first letters of the lines of the largest size, fused with the lines after them."""
     rows = blocks(spark, sf_dir)
-    text = F.when(F.col("size") == 18, F.upper(F.substring("text", 1, 1))).when(F.col("size") == 10, F.lower("text")).otherwise(F.col("text"))
+    text = F.when(F.col("size") == 18, _capital(F.substring("text", 1, 1))).when(F.col("size") == 10, _small(F.col("text"))).otherwise(F.col("text"))
     return layout.drop_caps(rows.withColumn("text", text).withColumn("size", F.when(F.col("size") == 18, 30.0).otherwise(F.col("size")))).select("book", "page", "seq", "text", "fused")
 
 
