@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from leafmill.operators import document as D
@@ -70,3 +71,47 @@ def test_pairs_leave_in_parts(spark, monkeypatch):
     every = "".join(f"t{100 + i}x" for i in range(40))
     pages = spark.range(300).selectExpr("id AS page", f"'{every}' AS t").coalesce(1)
     assert D.contained(pages, titles, 6).count() == 300 * 40
+
+
+def test_long_lines_of_prose_are_told_apart():
+    """Lines of one vocabulary share most letters, and those of 200 characters or more have frequent ones, which begin no match."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)] + ["ß", "λόγος", "#"]
+    heads = [" ".join(rng.choice(words) for _ in range(n)) for n in [*range(1, 80), 400, 1200]]
+    lines = dict.fromkeys(heads, 1)
+    for _ in range(80):
+        text = list(rng.choice(heads))
+        for _ in range(rng.randint(0, 1 + len(text) // 6)):
+            text[rng.randrange(len(text))] = rng.choice("etaoinzq ")
+        lines["".join(text)] = 2
+    lines = list(lines.items())
+    assert D.clusters(lines, 0.82)[0] == plain(lines, 0.82)
+    prose = [(" ".join(rng.choice(words) for _ in range(40)), 1) for _ in range(300)]
+    assert D.clusters(prose, 0.82)[1] < 300
+
+
+def test_common_lengths(monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    line, others = word(130), [word(n) for n in (0, 1, 63, 64, 65, 128, 200)]
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le"), "<u4")
+    size = np.array([len(x) for x in others])
+    got = D.common_lengths(codes(line), codes("".join(others)), np.cumsum(size) - size, size)
+    rows = []
+    for other in others:
+        row = [0] * (len(other) + 1)
+        for a in line:
+            row = [0, *(0 for _ in other)] if not other else [0, *_next(row, a, other)]
+        rows.append(row[-1])
+    assert got.tolist() == rows
+    lines = [(word(rng.randint(20, 40)), 1) for _ in range(300)]
+    first = D.clusters(lines, 0.82)[0]
+    monkeypatch.setattr(D, "MANY_NEAR", 0)
+    assert D.clusters(lines, 0.82)[0] == first == plain(lines, 0.82)
+
+
+def _next(row, a, other):
+    out = [0]
+    for j, b in enumerate(other):
+        out.append(row[j] + 1 if a == b else max(row[j + 1], out[-1]))
+    return out[1:]
