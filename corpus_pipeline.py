@@ -86,9 +86,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at once: texts and their ids are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setting of BATCH_ROWS holds for the stages, all of which are written here, and is then as it was."""
     folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = saved(stage(spark, docs, sf_dir), spark, f"{folder}/{i}-{name}")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = saved(stage(spark, docs, sf_dir), spark, f"{folder}/{i}-{name}")
+    finally:
+        spark.conf.set(setting, before)
     return docs

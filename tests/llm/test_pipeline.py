@@ -5,6 +5,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pytest
 from test_shingle_dedup import brute as first_similar
 from tokenizers import Tokenizer
 
@@ -76,3 +77,24 @@ def test_odd_rows_and_columns(spark):
     assert ids["packing"] == [0, 0, 1, 1, 2, 3, 4]
     tail = {r.doc_id: r for r in made["substring_dedup"].collect()}[4]
     assert tail.text == "tail." and tail["my col"] == {"b": 2} and tail["a.b"] == [2]
+
+
+@pytest.mark.parametrize("fails", [False, True])
+def test_batches_are_small_in_the_stages_only(spark, tmp_path, monkeypatch, fails):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(setting)))
+        if fails:
+            raise KeyError("no stage")
+        return docs
+
+    spark.range(3).selectExpr("id AS doc_id", "'a b' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage)])
+    if fails:
+        with pytest.raises(KeyError):
+            corpus_pipeline.run(spark, str(tmp_path))
+    else:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
+    assert seen == [corpus_pipeline.BATCH_ROWS] and spark.conf.get(setting) == before
