@@ -74,18 +74,18 @@ def is_chapter_label(c: Column) -> Column:
     return is_number(named) | is_number(t)
 
 
-def titled(headings: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+def titled(headings: DataFrame, blocks: DataFrame, sizes: DataFrame, is_label=is_chapter_label) -> DataFrame:
     """headings (book, page, seq, text) with title and taken: a bare chapter's label takes the next block's text as its title.
 
-    That block begins below the label by four of its sizes at most, has one to twelve words, is no label itself, and is
-    bold or larger than the body (sizes: book, body_size); taken is its seq.
+    That block begins below the label by four of its sizes at most, has one to twelve words, is no label itself (as
+    is_label tells of its text), and is bold or larger than the body (sizes: book, body_size); taken is its seq.
     """
     order = Window.partitionBy("book", "page").orderBy("seq")
     after = F.struct(*(F.lead(c).over(order).alias(c) for c in ("seq", "text", "size", "bold", "y0")), F.col("y1").alias("end"), F.col("size").alias("own"))
     following = blocks.select("book", "page", "seq", after.alias("after"))
     both = headings.join(following, ["book", "page", "seq"], "left").join(sizes, "book", "left")
     a, gap = F.col("after"), F.col("after.y0") - F.col("after.end")
-    use = is_chapter_label(F.col("text")) & a["text"].isNotNull() & gap.between(0, 4 * a["own"]) & T.n_words(a["text"]).between(1, 12) & ~is_chapter_label(a["text"])
+    use = is_chapter_label(F.col("text")) & a["text"].isNotNull() & gap.between(0, 4 * a["own"]) & T.n_words(a["text"]).between(1, 12) & ~is_label(a["text"])
     use = use & (F.col("body_size").isNull() | (a["size"] > F.col("body_size") + 0.5) | a["bold"])
     title = F.when(use, F.concat_ws(" ", T.stripped(F.col("text")), T.stripped(a["text"]))).otherwise(F.col("text"))
     return both.select("book", "page", "seq", title.alias("title"), F.when(use, a["seq"]).alias("taken"))

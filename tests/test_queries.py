@@ -37,3 +37,16 @@ def test_query(spark, duck, name):
     assert sorted(found.columns) == columns
     at = [found.columns.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
+
+
+def test_titles_that_letters_of_numerals_make(spark, tmp_path):
+    """Lines that tell a numeral from any letters of one, and words before a number, are judged as the SQL does."""
+    second = ["Cimi.", "XIV", "iix", "DIM.", "Novi", "Section 3", "No. 4", "Part 7.", "chapter lcd", "12.", " Mild ", "\tvi", "vi\t", "A Name", "vi ", "", "12\u0085"]
+    rows = [(page, f"label\n{second[page // 60]}\nthe rest of the page, which is longer than its head is", f"s{page % 2}") for page in range(60 * len(second))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ("book", "page", "seq", "title", "taken")
+    got = sorted((tuple(r[c] for c in columns) for r in registry.QUERIES["chapter_titles"](spark, str(tmp_path)).collect()), key=repr)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE_SQL['chapter_titles']})").fetchall()
+    assert got == sorted(want, key=repr) and sum(r[4] is not None for r in got) > 20
