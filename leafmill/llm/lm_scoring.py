@@ -6,8 +6,9 @@ the two, three and five bytes before. How often a bit was 0 and 1 is counted ove
 tree apart. For each document a mixer, gated by the bit's depth in the tree, adds the predictors' logits with weights
 that follow the errors made so far, and a second stage refines the sum by what came true at like sums. Both learn as
 the document goes, after each stretch of 64 bytes, however long it is, so that the probability of a bit depends on
-what is before it alone, and the bits' sum is the code length of the text. The weights start from those that training
-documents of a few homes end with on average.
+what is before it alone, and the bits' sum is the code length of the text. The weights start from a step of Newton's
+method on the bits of all training documents: each home adds up gradient and curvature over its distinct symbols in
+context, as often as its training documents have them.
 
 The texts of a batch are scored side by side, all bits of a stretch at once. What is gathered from the corpus grows
 with it: each home (see homes.py) sends its distinct words, and its distinct symbols in context, with their counts, in as
@@ -53,9 +54,8 @@ GATES = 8
 STRIDE = 64
 #: Texts, and bytes of them, that are scored side by side.
 SIDE_TEXTS, SIDE_BYTES = 256, 2 << 20
-#: Homes, and bytes of text of each, from whose training documents the first weights are learned.
-START_HOMES, START_BYTES = 8, 1 << 20
-START = 0.45
+#: Where the step to the first weights begins, and how far it may lead.
+START, START_RANGE = 0.45, (-1.0, 2.0)
 #: LAG: how many bits the refinement's first guess counts for.
 RATE, LAG, BUCKETS = 0.004, 16, 24
 HOMES = "home long, learned long, pairs array<int>, counts array<long>"
@@ -126,8 +126,29 @@ def cell_counts(texts: list[bytes]) -> np.ndarray:
     return np.bincount(np.concatenate([[NONE], before[:-1]]) * SYMBOLS + symbol, minlength=SYMBOLS * SYMBOLS) if len(before) else np.zeros(SYMBOLS * SYMBOLS, np.int64)
 
 
-class Symbols:
-    """The symbols of some texts in a row, and for each predictor the keys of the symbols in context."""
+class Contexts:
+    """Symbols in context: the longest one, the byte before first, RANK_BITS for each; and where they are in the trees."""
+
+    def __init__(self, context: np.ndarray, cell: np.ndarray):
+        self.context, self.cell = context, cell
+
+    @classmethod
+    def of_seen(cls, seen: np.ndarray) -> Contexts:
+        """Of longest contexts with their symbols, as seen_symbols gives them."""
+        context = seen >> U64(RANK_BITS)
+        before = (context >> U64(RANK_BITS * (ORDERS[-1] - 1))).astype(np.int64) - 1
+        before[before < 0] = NONE
+        return cls(context, before * SYMBOLS + (seen & U64((1 << RANK_BITS) - 1)).astype(np.int64))
+
+    def keys(self, tree: Tree) -> list[np.ndarray]:
+        return [context_keys(tree, self.context >> U64(RANK_BITS * (ORDERS[-1] - order)), self.cell, k) for k, order in enumerate(ORDERS)]
+
+    def seen(self) -> np.ndarray:
+        return self.context << U64(RANK_BITS) | (self.cell % SYMBOLS).astype(np.uint64)
+
+
+class Symbols(Contexts):
+    """The symbols of some texts in a row."""
 
     def __init__(self, texts: list[bytes]):
         # as many places of nothing as the longest context before each text, one of which takes the end of the one before
@@ -152,16 +173,10 @@ class Symbols:
         before = np.empty(len(raw), np.int32)
         before[0], before[1:] = NONE, value[:-1].astype(np.int32) - 1
         before[before < 0] = NONE
-        #: Where each symbol is in the trees.
-        self.cell = before.take(places) * SYMBOLS + symbol.take(places)
         total = np.zeros_like(value)
         for b in range(1, room + 1):
             total[b:] |= value[:-b] << U64(RANK_BITS * (room - b))
-        #: The longest context, the byte before first, RANK_BITS for each; and with the symbol.
-        self.context = total.take(places)
-
-    def keys(self, tree: Tree) -> list[np.ndarray]:
-        return [context_keys(tree, self.context >> U64(RANK_BITS * (ORDERS[-1] - order)), self.cell, k) for k, order in enumerate(ORDERS)]
+        super().__init__(total.take(places), before.take(places) * SYMBOLS + symbol.take(places))
 
 
 def context_keys(tree: Tree, context: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
@@ -172,38 +187,64 @@ def context_keys(tree: Tree, context: np.ndarray, cell: np.ndarray, k: int) -> n
     return hashed << U64(ORDER_BITS + 2 * RANK_BITS) | (low | U64(k << 2 * RANK_BITS))
 
 
+class Places:
+    """Where something begins, by key. Only keys that it has may be looked for."""
+
+    def __init__(self, keys: np.ndarray, first: np.ndarray):
+        spun = keys * SPIN
+        order = np.argsort(spun)
+        self.keys, self.first = spun[order], first[order]
+        # about one key begins with each number of so many bits
+        self.shift = U64(64 - max(1, len(keys).bit_length()))
+        self.table = np.searchsorted(self.keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        key = key * SPIN
+        at = self.table.take((key >> self.shift).view(np.int64))
+        left = np.flatnonzero(self.keys.take(at) != key)
+        still, now = key.take(left), at.take(left)
+        while len(left):
+            now += 1
+            off = self.keys.take(now) != still
+            at[left] = now
+            left, still, now = left[off], still[off], now[off]
+        return self.first.take(at)
+
+
 class Known:
-    """Logits of symbols in context: sorted keys, and the logits of each one's path in a row."""
+    """Logits of symbols in context: sorted keys, and the logits of each one's path in a row.
 
-    def __init__(self, tree: Tree, keys: np.ndarray, flat: np.ndarray):
+    seen: longest contexts with their symbols of the texts that are to be scored, sorted; without, they are sought in
+    the texts of each call.
+    """
+
+    def __init__(self, tree: Tree, keys: np.ndarray, flat: np.ndarray, seen: np.ndarray | None = None):
         self.tree, self.flat = tree, flat
         lens = path_lens(tree, keys)
         first = (np.cumsum(lens) - lens).astype(np.int32)
-        self.by_order = []
-        for k in range(PREDICTORS):
-            mine = np.flatnonzero(keys >> U64(2 * RANK_BITS) & U64((1 << ORDER_BITS) - 1) == k)
-            spun = keys[mine] * SPIN
-            order = np.argsort(spun)
-            # about one key begins with each number of so many bits
-            shift = U64(64 - max(1, len(mine).bit_length()))
-            table = np.searchsorted(spun[order], np.arange(1 << int(64 - shift), dtype=np.uint64) << shift).astype(np.int32)
-            self.by_order.append((spun[order], first[mine[order]], shift, table))
-
-    def places(self, s: Symbols) -> list[np.ndarray]:
+        of = [np.flatnonzero(keys >> U64(2 * RANK_BITS) & U64((1 << ORDER_BITS) - 1) == k) for k in range(PREDICTORS)]
+        self.by_order = [Places(keys[mine], first[mine]) for mine in of]
+        self.paths = None if seen is None else Paths(self, Contexts.of_seen(seen))
+
+    def places(self, s: Contexts) -> list[np.ndarray]:
         """For each predictor and symbol, where the logits of its path begin."""
-        out = []
-        for key, (keys, first, shift, table) in zip(s.keys(self.tree), self.by_order, strict=True):
-            key *= SPIN
-            at = table.take((key >> shift).view(np.int64))
-            left = np.flatnonzero(keys.take(at) != key)
-            still, now = key.take(left), at.take(left)
-            while len(left):
-                now += 1
-                off = keys.take(now) != still
-                at[left] = now
-                left, still, now = left[off], still[off], now[off]
-            out.append(first.take(at))
-        return out
+        return [find(key) for key, find in zip(s.keys(self.tree), self.by_order, strict=True)]
+
+
+class Paths:
+    """The paths of distinct symbols in their longest context: four bytes a bit, the predictors' logits and its mark.
+
+    A text has its symbols many times, so they are looked up here at once, not for each predictor.
+    """
+
+    def __init__(self, known: Known, s: Contexts):
+        tree, self.lens = known.tree, known.tree.lens.take(s.cell).astype(np.int64)
+        four = np.empty((int(self.lens.sum()), 4), np.int8)
+        for k, place in enumerate(known.places(s)):
+            four[:, k] = known.flat.take(spread(place, self.lens))
+        four[:, 3] = tree.marks.take(spread(tree.path.take(s.cell), self.lens))
+        self.flat = four.view(np.int32).reshape(-1)
+        self.places = Places(s.seen(), (np.cumsum(self.lens) - self.lens).astype(np.int32))
 
 
 class Mixer:
@@ -214,7 +255,6 @@ class Mixer:
         self.tree, self.known = tree, known
         x = np.arange(-LIMIT * FINE, LIMIT * FINE + 1) / FINE
         self.chance = (1 / (1 + np.exp(-x))).astype(np.float32)
-        self.bucket = np.minimum((self.chance * BUCKETS).astype(np.int64), BUCKETS - 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log2 of the probability of each text and its end."""
@@ -229,7 +269,8 @@ class Mixer:
         Texts of the last two are in descending order of length.
         """
         s, tree = Symbols(texts), self.tree
-        looked = self.known.places(s)
+        paths = self.known.paths or Paths(self.known, Contexts.of_seen(np.unique(s.seen())))
+        looked, path_len = paths.places(s.seen()), tree.lens.take(s.cell)
         order = np.argsort(-s.size, kind="stable")
         size, start = s.size[order], s.start[order]
         total = np.zeros(len(texts))
@@ -242,16 +283,17 @@ class Mixer:
             live = int(np.searchsorted(-size, -a, "left"))  # texts longer than a
             n = np.minimum(size[:live] - a, STRIDE)
             at = spread(start[:live] + a, n)
-            cells = s.cell.take(at)
-            lens = tree.lens.take(cells).astype(np.int64)  # indices of 64 bits are taken as they are
+            lens = path_len.take(at).astype(np.int64)  # indices of 64 bits are taken as they are
             ends = np.cumsum(lens)
-            step, before = np.arange(ends[-1]), ends - lens
-            mark = tree.marks.take(np.repeat(tree.path.take(cells) - before, lens) + step)
+            where = np.repeat(looked.take(at) - (ends - lens), lens)
+            where += np.arange(ends[-1])
+            four = paths.flat.take(where).view(np.int8).reshape(-1, 4)
+            mark = four[:, 3].copy()
             bit = mark & 1
             last = ends[np.cumsum(n) - 1]  # of each text's bits
             owner = np.repeat(np.arange(live), np.diff(last, prepend=0))
             gate = owner * GATES + (mark >> 1)
-            given = [self.known.flat.take(np.repeat(x.take(at) - before, lens) + step).astype(np.float32) for x in looked]
+            given = four.T[:PREDICTORS].astype(np.float32, order="C")
             mixed = given[0] * weights[0].reshape(-1).take(gate)
             for k in range(1, PREDICTORS):
                 mixed += given[k] * weights[k].reshape(-1).take(gate)
@@ -260,7 +302,7 @@ class Mixer:
             np.clip(mixed, 0, 2 * LIMIT * FINE, out=mixed)
             fine = mixed.astype(np.int64)
             chance = self.chance.take(fine)
-            cell = owner * BUCKETS + self.bucket.take(fine)
+            cell = owner * BUCKETS + (chance * BUCKETS).astype(np.int64)
             final = np.float32(0.75) * chance + np.float32(0.25) * refined.reshape(-1).take(cell)
             told = np.log2(np.abs(final - (bit ^ 1)))
             total[:live] += np.add.reduceat(told, np.concatenate([[0], last[:-1]]))
@@ -313,7 +355,7 @@ def counted(key: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def seen_symbols(texts: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The longest contexts of texts with their symbols, sorted, and how often each comes where texts are learned from."""
     s = Symbols(texts)
-    return counted(s.context << U64(RANK_BITS) | (s.cell % SYMBOLS).astype(np.uint64), np.repeat(learn, s.size).astype(np.uint64))
+    return counted(s.seen(), np.repeat(learn, s.size).astype(np.uint64))
 
 
 def symbol_keys(tree: Tree, seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,10 +383,18 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return word_hashes(words)[0] >> U64(1)
 
 
+def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, A-Z lower-cased; the number of each word of the texts in a row; how many each text has."""
+    split = [x.lower().split() for x in texts]
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(w, len(number)) for x in split for w in x], np.int64)
+    return list(number), which, np.array([len(x) for x in split], np.int64)
+
+
 def word_counts(texts: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the distinct words, A-Z lower-cased, and how often each comes in texts that are learned from."""
-    words = [x.lower().split() for x in texts]
-    return counted(word_keys([w for x in words for w in x]), np.repeat(learn.astype(np.uint64), [len(x) for x in words]))
+    words, which, sizes = numbered_words(texts)
+    return added(word_keys(words), np.bincount(which, np.repeat(learn, sizes), len(words)).astype(np.int64))
 
 
 def path_lens(tree: Tree, keys: np.ndarray) -> np.ndarray:
@@ -408,14 +458,14 @@ def _received(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def home_counts(tree: Tree, rows: pa.Table, trained: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and counts of a home's words and of its symbols in context."""
+    """Sorted keys and counts of a home's words, of its symbols in context, and of those in the longest context."""
     words, seen = [], []
     for piece in text_slices(rows):
         texts, learn = byte_texts(piece["text"]), np.array(piece[trained].to_pylist(), bool)
         words.append(word_counts(texts, learn))
         seen.append(seen_symbols(texts, learn))
     words, seen = (added(*(np.concatenate(x) for x in zip(*parts, strict=True))) for parts in (words, seen))
-    return [words, symbol_keys(tree, *seen)]
+    return [words, symbol_keys(tree, *seen), seen]
 
 
 def _answers(homes: DataFrame, folder: str, tree: Tree, trained: str, buckets: int) -> DataFrame:
@@ -431,8 +481,9 @@ def _answers(homes: DataFrame, folder: str, tree: Tree, trained: str, buckets: i
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for home in batch["home"].to_pylist():
-                (word, n_word), (key, n) = home_counts(tree, read_home(folder, home), trained)
+                (word, n_word), (key, n), (seen, n_seen) = home_counts(tree, read_home(folder, home), trained)
                 fs, root = open_folder(folder)
+                put_file(fs, f"{root}/{home}.seen", struct.pack("<Q", len(seen)) + _packed(np.diff(seen, prepend=U64(0)), n_seen.astype(np.uint64)))
                 put_file(fs, f"{root}/{home}.keys", b"".join([struct.pack(_HEAD, len(word), len(key), 0), _packed(np.diff(np.concatenate([word, key]), prepend=U64(0)))]))
                 of_words, of_keys = _bounds(word, buckets, 63).tolist(), _bounds(key, buckets, KEY_BITS).tolist()
                 for b in range(buckets):
@@ -469,8 +520,9 @@ def _answers(homes: DataFrame, folder: str, tree: Tree, trained: str, buckets: i
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, ANSWERS)
 
 
-def _learned(group: pa.Table, tree: Tree, folder: str, home: int) -> tuple[np.ndarray, np.ndarray, Known]:
-    """Sorted keys and counts of a home's words, and its logits, from its rows of _answers."""
+def _learned(group: pa.Table, tree: Tree, folder: str, home: int) -> tuple[np.ndarray, np.ndarray, Known, np.ndarray]:
+    """Sorted keys and counts of a home's words, and its logits, from its rows of _answers; and how often its training
+    documents have each of its paths."""
     fs, root = open_folder(folder)
     with fs.open_input_stream(f"{root}/{home}.keys") as src:
         data = src.read()
@@ -482,30 +534,53 @@ def _learned(group: pa.Table, tree: Tree, folder: str, home: int) -> tuple[np.nd
         n, size, cut = struct.unpack_from(_HEAD, data)
         counts.append(_unpacked(data[_HEAD_SIZE : _HEAD_SIZE + cut], n, 1)[0].astype(np.int64))
         told.append(np.frombuffer(pa.decompress(data[_HEAD_SIZE + cut :], size, codec="zstd", asbytes=True), np.int8))
-    return word, np.concatenate(counts), Known(tree, key, np.concatenate(told))
+    with fs.open_input_stream(f"{root}/{home}.seen") as src:
+        data = src.read()
+    seen, times = _unpacked(data[8:], struct.unpack_from("<Q", data)[0], 2)
+    return word, np.concatenate(counts), Known(tree, key, np.concatenate(told), np.cumsum(seen, dtype=np.uint64)), times.astype(np.int64)
+
+
+def evidence(paths: Paths, times: np.ndarray) -> np.ndarray:
+    """(GATES, PREDICTORS, 1 + PREDICTORS): the gradient and the curvature of the likelihood of the bits of all paths, each
+    so many times, where all weights are START."""
+    out = np.zeros((GATES, PREDICTORS, 1 + PREDICTORS))
+    n = np.repeat(times, paths.lens)
+    four = paths.flat.view(np.int8).reshape(-1, 4)[n > 0]
+    n, gate = n[n > 0], four[:, 3] >> 1
+    order = np.argsort(gate, kind="stable")
+    cut = np.searchsorted(gate[order], np.arange(GATES + 1))
+    for g in range(GATES):
+        at = order[cut[g] : cut[g + 1]]
+        x, bit = four[at, :PREDICTORS].astype(np.float64) / STEP, four[at, 3] & 1
+        chance = 1 / (1 + np.exp(-np.clip(START * x.sum(axis=1), -LIMIT, LIMIT)))
+        out[g, :, 0] = x.T @ (n[at] * (bit - chance))
+        out[g, :, 1:] = x.T @ (x * (n[at] * chance * (1 - chance))[:, None])
+    return out
 
 
-def _start(answers: DataFrame, homes: DataFrame, folder: str, tree: Tree, trained: str) -> np.ndarray:
-    """(GATES, PREDICTORS): the mean of the last weights of training documents, by the bits they have seen."""
-    some = [r["home"] for r in homes.orderBy(F.xxhash64("home"), "home").limit(START_HOMES).collect()]
+def first_weights(told: np.ndarray) -> np.ndarray:
+    """(GATES, PREDICTORS): one step of Newton's method from START, where evidence tells of any bits."""
+    out = np.full((GATES, PREDICTORS), START)
+    for g, (gradient, curve) in enumerate(zip(told[:, :, 0], told[:, :, 1:], strict=True)):
+        if np.trace(curve) > 0:
+            out[g] += np.linalg.solve(curve + 1e-3 * np.trace(curve) * np.eye(PREDICTORS), gradient)
+    return np.clip(out, *START_RANGE).astype(np.float32)
+
+
+def _start(answers: DataFrame, folder: str, tree: Tree) -> np.ndarray:
+    """(GATES, PREDICTORS): the first weights, from the training documents of all homes."""
 
     def learn(group: pa.Table) -> pa.Table:
-        home = group["home"][0].as_py()
-        piece = next(text_slices(read_home(folder, home), START_BYTES))
-        texts = [x for x, t in zip(byte_texts(piece["text"]), piece[trained].to_pylist(), strict=True) if t]
-        sums, bits = np.zeros((GATES, PREDICTORS)), np.zeros(GATES)
-        if texts:
-            mixer = Mixer(tree, _learned(group, tree, folder, home)[2])
-            for part in side_by_side(texts):
-                _, weights, heard = mixer.mixed([texts[i] for i in part])
-                sums += (weights * heard[:, None]).sum(axis=2, dtype=np.float64)
-                bits += heard.sum(axis=1)
-        return pa.table({"sums": pa.array([sums.reshape(-1).tolist()]), "bits": pa.array([bits.tolist()])})
-
-    rows = answers.filter(F.col("home").isin(some)).groupBy("home").applyInArrow(learn, "sums array<double>, bits array<double>").collect()
-    sums = sum((np.array(r["sums"]).reshape(GATES, PREDICTORS) for r in rows), np.zeros((GATES, PREDICTORS)))
-    bits = sum((np.array(r["bits"]) for r in rows), np.zeros(GATES))[:, None]
-    return np.divide(sums, bits, out=np.full(sums.shape, START), where=bits > 0).astype(np.float32)
+        known, times = _learned(group, tree, folder, group["home"][0].as_py())[2:]
+        told = evidence(known.paths, times).reshape(-1)
+        return pa.table({"at": pa.array(np.arange(len(told)), pa.int32()), "x": pa.array(told)})
+
+    # decimals: sums that no order of the rows changes
+    rows = answers.filter("home >= 0").groupBy("home").applyInArrow(learn, "at int, x double").groupBy("at").agg(F.sum(F.col("x").cast("decimal(28,6)")).cast("double").alias("x")).collect()
+    told = np.zeros(GATES * PREDICTORS * (1 + PREDICTORS))
+    for r in rows:  # one for each place
+        told[r["at"]] = r["x"]
+    return first_weights(told.reshape(GATES, PREDICTORS, -1))
 
 
 def lm_scores(docs: DataFrame, spark: SparkSession, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -542,20 +617,20 @@ def lm_scores(docs: DataFrame, spark: SparkSession, folds: int = FOLDS, held_out
     answers = saved(_answers(homes, folder, tree, trained, buckets), spark, f"{folder}/answers")
     sums = answers.filter("home = -1").agg(F.sum("words").alias("n"), F.sum("known").alias("v")).first()
     n_train, vocabulary = int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0)
-    start = _start(answers, homes, folder, tree, trained)
+    start = _start(answers, folder, tree)
     floor = np.log10(n_train + vocabulary + 1)
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def finish(group: pa.Table) -> pa.Table:
         home = group["home"][0].as_py()
         rows = read_home(folder, home)
-        words, n, known_paths = _learned(group.filter(pc.is_valid(group["data"])), tree, folder, home)
+        words, n, known_paths, _ = _learned(group.filter(pc.is_valid(group["data"])), tree, folder, home)
         mixer, out = Mixer(tree, known_paths, start), []
         for piece in text_slices(rows):
             texts = byte_texts(piece["text"])
-            split = [x.lower().split() for x in texts]
-            c = n[np.searchsorted(words, word_keys([w for x in split for w in x]))]
-            tokens = np.array([len(x) + 1 for x in split], np.int64)
+            distinct, which, sizes = numbered_words(texts)
+            c = n[np.searchsorted(words, word_keys(distinct))][which]
+            tokens = sizes + 1
             first = np.concatenate([[0], np.cumsum(tokens - 1)])
             known, logs = (np.concatenate([[0], np.cumsum(x)]) for x in (c > 0, np.log10(c + 1.0)))
             base = logs[first[1:]] - logs[first[:-1]] + np.log10(ends + 1.0) - tokens * floor

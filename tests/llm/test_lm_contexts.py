@@ -96,3 +96,27 @@ def test_weights_start_from_training_documents(spark, monkeypatch):
     rows = [(i, f"the cat number {i % 7} sat on the mat and looked at the dog " * 40) for i in range(40)]
     assert lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark).count() == 40
     assert starts[0].shape == (lm_scoring.GATES, lm_scoring.PREDICTORS) and starts[0][0, -1] > lm_scoring.START
+
+
+def test_first_weights_come_from_all_training_documents(spark, monkeypatch):
+    """Every document is a home: all of them, copies too, have a part in the weights, bit by bit."""
+    starts, real = [], lm_scoring._start
+    monkeypatch.setattr(lm_scoring, "_start", lambda *x: starts.append(real(*x)) or starts[-1])
+    monkeypatch.setattr(lm_scoring, "HOME_BYTES", 1)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", f"w{i % 9}"], k=30))) for i in range(24)]
+    rows.append((24, rows[23][1]))
+    assert lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark).count() == 25
+    texts = [t.encode() for i, t in rows if lm_scoring.fold(i, lm_scoring.FOLDS) != lm_scoring.HELD_OUT]
+    tree = tree_of(texts)
+    keys, n = lm_scoring.symbol_counts(tree, texts, np.ones(len(texts), bool))
+    flat, s = lm_scoring.node_logits(tree, keys, n), lm_scoring.Symbols(texts)
+    places = lm_scoring.Known(tree, keys, flat).places(s)
+    told = np.zeros((lm_scoring.GATES, lm_scoring.PREDICTORS, 1 + lm_scoring.PREDICTORS))
+    for i, cell in enumerate(s.cell):
+        for j in range(tree.lens[cell]):
+            x = np.array([flat[at[i] + j] for at in places]) / lm_scoring.STEP
+            p = 1 / (1 + math.exp(-lm_scoring.START * x.sum()))
+            told[min(j, lm_scoring.GATES - 1), :, 0] += x * (int(tree.bits[j, cell]) - p)
+            told[min(j, lm_scoring.GATES - 1), :, 1:] += np.outer(x, x) * p * (1 - p)
+    assert np.allclose(starts[0], lm_scoring.first_weights(told), atol=1e-4)
