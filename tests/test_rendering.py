@@ -183,3 +183,10 @@ def test_odd_marks(spark):
     """A mark without another stays, empty lists and tables give no lines."""
     rows = spark.createDataFrame([("a1b2",), ("none",), ("",)], "t string")
     assert [r[0] for r in rows.select(R.footnote_references(rows.t)).collect()] == ["a[^1]b2", "none", ""]
+
+
+def test_lines_of_a_book_are_not_sorted_in_one_task(spark):
+    """Single documents: the lines of a part become text before anything is partitioned by the book alone."""
+    plan = Q.render_single_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan
+    assert not re.search(r"windowspecdefinition\(book#\d+L?, part#\d+L? ASC NULLS FIRST, specifiedwindowframe\(RangeFrame", plan)
