@@ -170,8 +170,7 @@ def write_id_files(docs: DataFrame, spark: SparkSession, folder: str, tokenizer:
                     yield flush()
         if names:
             yield flush()
-        words.forget()
-        give_back()
+        give_back()  # the tokenizer, and the units that it has met, stay for the worker's next task
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
@@ -188,6 +187,7 @@ def read_id_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files; one file a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WordTokenizer.drop()
         fs, root = open_folder(folder)
         for batch in batches:
             for row in batch.to_pylist():

@@ -72,6 +72,11 @@ class WordTokenizer:
             _here[key] = cls(path, drops_space, special_text=special_text)
         return _here[key]
 
+    @staticmethod
+    def drop() -> None:
+        """Those of this worker, if it now has tasks of another kind."""
+        _here.clear()
+
     def forget(self) -> None:
         """At the end of a task: the worker may live on for tasks of another kind."""
         for kept in (self.ids, self.recent, self.marks, _here):
