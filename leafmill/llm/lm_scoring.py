@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -54,6 +55,8 @@ GATES = 8
 STRIDE = 64
 #: Texts, and bytes of them, that are scored side by side.
 SIDE_TEXTS, SIDE_BYTES = 256, 2 << 20
+#: Bits whose evidence is added up at once.
+EVIDENCE_BITS = 1 << 17
 #: Where the step to the first weights begins, and how far it may lead.
 START, START_RANGE = 0.45, (-1.0, 2.0)
 #: LAG: how many bits the refinement's first guess counts for.
@@ -244,7 +247,12 @@ class Paths:
             four[:, k] = known.flat.take(spread(place, self.lens))
         four[:, 3] = tree.marks.take(spread(tree.path.take(s.cell), self.lens))
         self.flat = four.view(np.int32).reshape(-1)
-        self.places = Places(s.seen(), (np.cumsum(self.lens) - self.lens).astype(np.int32))
+        self.of = s
+
+    @cached_property
+    def places(self) -> Places:
+        """Sorted when first asked for: the first weights need the paths alone."""
+        return Places(self.of.seen(), (np.cumsum(self.lens) - self.lens).astype(np.int32))
 
 
 class Mixer:
@@ -544,17 +552,21 @@ def evidence(paths: Paths, times: np.ndarray) -> np.ndarray:
     """(GATES, PREDICTORS, 1 + PREDICTORS): the gradient and the curvature of the likelihood of the bits of all paths, each
     so many times, where all weights are START."""
     out = np.zeros((GATES, PREDICTORS, 1 + PREDICTORS))
-    n = np.repeat(times, paths.lens)
-    four = paths.flat.view(np.int8).reshape(-1, 4)[n > 0]
-    n, gate = n[n > 0], four[:, 3] >> 1
-    order = np.argsort(gate, kind="stable")
-    cut = np.searchsorted(gate[order], np.arange(GATES + 1))
-    for g in range(GATES):
-        at = order[cut[g] : cut[g + 1]]
-        x, bit = four[at, :PREDICTORS].astype(np.float64) / STEP, four[at, 3] & 1
-        chance = 1 / (1 + np.exp(-np.clip(START * x.sum(axis=1), -LIMIT, LIMIT)))
-        out[g, :, 0] = x.T @ (n[at] * (bit - chance))
-        out[g, :, 1:] = x.T @ (x * (n[at] * chance * (1 - chance))[:, None])
+    every = np.repeat(times, paths.lens)
+    # the chance follows from the sum of the logits, a whole number of steps
+    most = PREDICTORS * 127
+    table = 1 / (1 + np.exp(-np.clip(START / STEP * np.arange(-most, most + 1), -LIMIT, LIMIT)))
+    for first in range(0, len(every), EVIDENCE_BITS):
+        at = first + np.flatnonzero(every[first : first + EVIDENCE_BITS])
+        n, (*steps, mark) = every.take(at), paths.flat.take(at).view(np.int8).reshape(-1, 4).T.astype(np.int64)
+        x, gate = [k / STEP for k in steps], mark >> 1
+        chance = table.take(sum(steps) + most)
+        miss, curve = n * ((mark & 1) - chance), n * chance * (1 - chance)
+        for i in range(PREDICTORS):
+            out[:, i, 0] += np.bincount(gate, miss * x[i], GATES)
+            for j in range(i + 1):
+                out[:, i, 1 + j] += np.bincount(gate, curve * x[i] * x[j], GATES)
+                out[:, j, 1 + i] = out[:, i, 1 + j]
     return out
 
 
