@@ -1,11 +1,12 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands for candidates, then the sets compared.
+"""Near duplicates of the pipeline: SimHash as in operator 2, MinHash bands for pairs beyond it, then the sets compared.
 
-This is operator 2's stage in the pipeline, whose near duplicates have 0.8 or more of their five-word shingles in
-common. At that similarity 64-bit SimHash fingerprints differ in ten bits on average (an angle of 27 degrees), so the
-blocks of a pigeonhole search would have four bits and put every text next to a sixteenth of all others. The blocks
-that close pairs share are therefore bands of minima; joining on them and verifying the pairs stays as it is.
+The stage's near duplicates have 0.8 or more of their five-word shingles in common. Documents with one set of shingles
+are one class. Classes are linked by operator 2's method first: a fingerprint of their shingles, pigeonhole blocks, a
+join on them, and the Hamming distance of two bits. Each such link is then verified by the exact similarity.
 
-Documents with one set of shingles are one class. Of each class BANDS keys of ROWS minima are exchanged; a pair of
+At 0.8 64-bit fingerprints differ in ten bits on average (an angle of 27 degrees), so the blocks of a pigeonhole search
+for all pairs would have four bits and put every text next to a sixteenth of all others. What fingerprints can't tell
+comes from bands of minima besides: of each class BANDS keys of ROWS minima are exchanged; a pair of
 similarity 0.8 shares no key with a chance of (1 - 0.8^4)^24, 3 in a million. Classes that share a key are first
 compared with the least of them alone, so that n near copies of one text cost n comparisons, spread over tasks. The
 links make components. Only where a key's classes are in several components then, those of different components are
@@ -14,7 +15,7 @@ compared with each other, by blocks of BLOCK classes: a task holds two blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm import simhash
 from leafmill.llm.common import U64, Flat, byte_texts, give_back, mix, shared_folder, slices, window_hashes, word_hashes
 from leafmill.llm.tables import components, kept_rows, saved, text_key
 
@@ -76,7 +78,8 @@ def _class_of(sets: list[np.ndarray]) -> pa.Array:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = shingle_sets(byte_texts(batch["text"]))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], _class_of(sets), pa.array(band_keys(sets).view(np.int64).tolist(), pa.list_(pa.int64()))], names=["doc_id", "text_key", "of", "bands"])
+        prints = pa.array(np.array([simhash.majority(x.view(np.uint8).reshape(-1, 8)) for x in sets], U64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], _class_of(sets), prints, pa.array(band_keys(sets).view(np.int64).tolist(), pa.list_(pa.int64()))], names=["doc_id", "text_key", "of", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +122,26 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def similar_links(classes: DataFrame, sets: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Edges (a, b) that connect all similar classes. classes: of, bands; sets: of, shingles of all classes that share a key."""
+def fingerprint_pairs(classes: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs (a, b) of classes that operator 2's links connect: those of one fingerprint with the least of them, and the
+    least ones of fingerprints within its distance."""
+    heads = saved(classes.groupBy("fp").agg(F.min("of").alias("head")), spark, f"{folder}/heads")
+    same = classes.join(heads, "fp").filter("of <> head").select(F.col("of").alias("a"), F.col("head").alias("b"))
+    of = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"of_{x}"))
+    near = simhash.links(heads.select("fp"), spark, f"{folder}/simhash").join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return saved(same.unionByName(near), spark, f"{folder}/fingerprint_pairs")
+
+
+def similar_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
+    """Edges (a, b) that connect all similar classes. classes: of, fp, bands; sets gives of, shingles of the classes that it
+    is called with."""
+    by_prints = fingerprint_pairs(classes, spark, folder)
     keys = saved(classes.select("of", F.explode("bands").alias("key")), spark, f"{folder}/keys")
     least = keys.groupBy("key").agg(F.min("of").alias("b"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(of))").alias("who")).filter("n > 1")
     shared = saved(keys.join(least, "key"), spark, f"{folder}/shared")
-    found = saved(sets(shared.select("of").distinct()), spark, f"{folder}/sets")
-    pairs = shared.filter("of <> b").select(F.col("of").alias("a"), "b").distinct()
+    wanted = shared.select("of").unionByName(by_prints.select(F.explode(F.array("a", "b")).alias("of")))
+    found = saved(sets(wanted.distinct()), spark, f"{folder}/sets")
+    pairs = by_prints.unionByName(shared.filter("of <> b").select(F.col("of").alias("a"), "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mine, theirs = found.select(F.col("of").alias("a"), F.col("shingles").alias("mine")), found.select(F.col("of").alias("b"), F.col("shingles").alias("theirs"))
     stars = saved(pairs.join(mine, "a").join(theirs, "b").mapInArrow(_verified, "a long, b long"), spark, f"{folder}/stars")
     roots = components(stars, spark, f"{folder}/first")
@@ -152,8 +168,8 @@ def keep_first_similar(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """
     folder = shared_folder(spark, "shingles")
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
-    signed = saved(texts.mapInArrow(_signatures, "doc_id long, text_key long, of long, bands array<long>"), spark, f"{folder}/signatures")
-    classes = signed.groupBy("of").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("bands").alias("bands"))
+    signed = saved(texts.mapInArrow(_signatures, "doc_id long, text_key long, of long, fp long, bands array<long>"), spark, f"{folder}/signatures")
+    classes = signed.groupBy("of").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
 
     def sets(wanted: DataFrame) -> DataFrame:
         one = classes.join(wanted, "of", "left_semi").select("least.*")

@@ -42,7 +42,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in map(b" ".join, grams)]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in map(b" ".join, grams)]), np.uint8).reshape(-1, 8))
+
+
+def majority(digests: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes, rows of eight bytes: the bits that over half of them have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(digests), 1 << 14):
         ones += np.unpackbits(digests[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
