@@ -50,3 +50,14 @@ def test_titles_that_letters_of_numerals_make(spark, tmp_path):
     got = sorted((tuple(r[c] for c in columns) for r in registry.QUERIES["chapter_titles"](spark, str(tmp_path)).collect()), key=repr)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE_SQL['chapter_titles']})").fetchall()
     assert got == sorted(want, key=repr) and sum(r[4] is not None for r in got) > 20
+
+
+def test_lines_of_odd_ends(spark, tmp_path):
+    """Empty documents and lines, and white space at the ends of lines, are kept as the SQL keeps them."""
+    texts = ["", "\n", " a\nb ", "one-\n\ntwo", "\n\n x-\ny\n\n", "-\nb\n-\nc", "e -\nf", "--\ng- \nh-\t\ni", "a-\r\nb\r\n", "a-\u2028\nb \u0085\nc", "ß-\nß\nßß-\nÉ-\né", None, "the end"]
+    rows = [(page, texts[page // 20], f"s{page % 2}") for page in range(20 * len(texts))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r["page"], r["text"]) for r in registry.QUERIES["hyphen_rejoin"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(f"SELECT page, text FROM ({registry.ORACLE_SQL['hyphen_rejoin']})").fetchall()) and len(got) == 240

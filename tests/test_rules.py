@@ -47,6 +47,12 @@ def test_hyphens(spark):
     assert rows.select(T.joined(F.col("t"))).first()[0] == "wellknown fact A- B"
 
 
+def test_lines_joined_as_they_are(spark):
+    rows = spark.createDataFrame([([" a- ", "", "b", "-", "c "],), (["", " "],), ([],), ([" -", "d"],)], "t array<string>")
+    assert [r[0] for r in rows.select(T.joined(F.col("t"))).collect()] == ["ab c", "", "", "d"]
+    assert [r[0] for r in rows.select(T.joined(F.col("t"), as_they_are=True)).collect()] == [" a-   b c ", " ", "", " d"]
+
+
 def test_as_of(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, at int")
     marks = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y")], "k string, at int, v string")
