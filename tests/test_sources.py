@@ -161,3 +161,11 @@ def test_a_table_has_each_batch_once(spark, tmp_path):
     for _ in range(2):
         run(doubled).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_references_without_semicolons():
+    from leafmill.sources.html import closed_references, page_items
+
+    text = "a &amp b &ampx; &amp; &#38; &#38 &nosuch; &"
+    assert page_items(f"<p>{text}</p>")[0]["text"] == "a & b &x; & & & &nosuch; &"
+    assert page_items(closed_references(f"<p>{text}</p>"))[0]["text"] == "a &amp b &ampx; & & &#38 &nosuch; &"
