@@ -63,7 +63,7 @@ def test_lines_of_odd_ends(spark, tmp_path):
     assert got == sorted(con.sql(f"SELECT page, text FROM ({registry.ORACLE_SQL['hyphen_rejoin']})").fetchall()) and len(got) == 240
 
 
-@pytest.mark.parametrize("name", ["html_flow"])
+@pytest.mark.parametrize("name", ["html_flow", "html_markdown"])
 def test_references_that_titles_cut(spark, tmp_path, name):
     """What is left of a reference at the end of a title is text, as the SQL has it."""
     cut = ["A &amp;&amp", "B &quot", "C &am", "D &amp;", "E &copy", "F &", "G &amp;amp;lt", "H &ampx;", "I &#38", "J &lt;&lt K &lt;"]
