@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,20 @@ def test_stems_are_taken_as_they_are(spark, stem):
     assert got == [f"a{show('7')}{show(chr(10))} $1 \\ b{mark}9", None, f"[^]{other}1"]
     mapped = R.references(rows.t, rows.stem, F.lit(None).cast("string"), F.create_map(F.lit("1"), F.lit("5")))
     assert [r[0] for r in rows.select(mapped).collect()] == got
+
+
+def test_no_group_has_the_text_of_a_book(spark):
+    """Single documents: no aggregate or window of the JVM by the book alone has its lines; they come in order, part by part."""
+    plan = Q.render_single_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    by_book = [x for x in plan.splitlines() if re.search(r"Aggregate \[book#\d+L?\], ", x) or re.search(r"Window \[.*\], \[book#\d+L?\]", x)]
+    assert by_book and not any("collect_list" in x or "_text" in x for x in by_book)
+
+
+def test_pieces_put_together():
+    """Line feeds meet over pieces, heads without text stand alone, and pieces of books that have no head are left out."""
+    rows = [("a", -1, "a.md", "# A\n"), ("a", 1, None, "x\n\n\n\ny\n"), ("a", 1, None, "\n\n"), ("a", 1, None, ""), ("a", 1, None, "\n z \n"), ("a", 4, None, " \t\n"), ("b", 1, None, "lost"), ("c", -1, None, "# C\n"), (None, -1, "n.md", "é")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("book", "rank", "file", "line"), x)) for x in rows], schema=pa.schema([("book", pa.string()), ("rank", pa.int32()), ("file", pa.string()), ("line", pa.string())]))
+    got = [tuple(r.values()) for n in (1, 9) for x in R._put_together(batch.slice(i, n) for i in range(0, 9, n)) for r in x.to_pylist()]
+    assert got == 2 * [("a", "a.md", "# A\n\nx\n\ny\n\n z\n"), ("c", None, "# C\n"), (None, "n.md", "é\n")]
+    text = "\n".join(x[3] for x in rows if x[0] == "a")
+    assert got[0][2] == re.sub(r"\n{3,}", "\n\n", text.rstrip(" \t\n\x0b\f\r") + "\n")
